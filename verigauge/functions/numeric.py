@@ -33,19 +33,19 @@ def next_above(c: Column) -> Column:
         c + F.abs(c) * F.lit(_HALF_ULP))
 
 
-def ordinal(c: Column) -> Column:
-    """A 63-bit integer that never decreases as the double grows.
+def ordinal_sql(name: str) -> str:
+    """SQL text of a 63-bit integer that never decreases as the double column grows.
 
     Used to cut a score axis into buckets whose size has a bound that does not
     depend on the data: dropping the low k bits leaves at most 2**k distinct
     doubles in a bucket.
     """
-    size = F.least(F.abs(c), F.lit(_LARGEST))
-    exponent = F.greatest(F.floor(F.log2(size)), F.lit(-1022).cast("bigint"))
-    mantissa = size * F.pow(F.lit(2.0), -exponent.cast("double")) - 1.0
-    code = (exponent + 1023) * F.lit(2 ** 52).cast("bigint") + F.floor(
-        mantissa * F.lit(2.0 ** 52))
-    return F.when(size == 0.0, F.lit(0).cast("bigint")).when(c < 0, -code).otherwise(code)
+    size = f"least(abs({name}), {_LARGEST!r}D)"
+    exponent = f"greatest(floor(log2({size})), -1022L)"
+    mantissa = f"({size} * power(2.0D, -cast({exponent} AS double)) - 1.0D)"
+    code = f"(({exponent} + 1023L) * {2 ** 52}L + floor({mantissa} * {2 ** 52}.0D))"
+    return (f"CASE WHEN {size} = 0.0D THEN 0L WHEN {name} < 0.0D THEN -{code} "
+            f"ELSE {code} END")
 
 
 def grid_bin(c: Column, bins: int) -> Column:

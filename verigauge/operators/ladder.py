@@ -3,17 +3,19 @@
 Every ranking metric (AUC, average precision, curves, thresholds, quantiles) is
 a fold over this one table. A plain ``Window.orderBy(score)`` would put a whole
 score set into one task, and one condition or group may hold a third of all
-rows, so the running sums are built over three nested levels instead:
+rows, so the running sums are built bucket by bucket instead:
 
 * rows are first counted per (keys, score), with map-side combine;
-* a *fine* bucket holds the scores that agree in all but the lowest 20 bits, so
-  it has at most 2**20 distinct scores whatever the data looks like;
-* a *coarse* bucket holds the fine buckets that agree in all but 40 bits, again
-  at most 2**20 of them.
-
-Each level's buckets send one header row, carrying the counts above the bucket,
-into the level below, where it takes part in the running sum as first row. No
-join, no broadcast, nothing sampled and nothing collected.
+* a bucket holds the scores that agree in all but the lowest 44 bits: 256
+  buckets per power of two, so their totals are few enough to be summed per key
+  in one window. Single-precision scores put at most 32,768 values into one;
+* a bucket with more than ``HOT_RUNGS`` distinct scores is cut again, into up to
+  262,144 parts by the next 18 bits. There are at most rows / HOT_RUNGS such
+  buckets, so the list of them is safe to broadcast; most data has none.
+
+Each bucket sends one header row, carrying the counts above the bucket, into
+the window below it, where it takes part in the running sum as first row.
+Nothing is sampled and nothing is collected.
 """
 
 from __future__ import annotations
@@ -22,56 +24,62 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from verigauge.functions.numeric import nan_to_null, ordinal
+from verigauge.functions.numeric import nan_to_null, ordinal_sql
 
-FINE_BITS = 20
-COARSE_BITS = 40
+BUCKET_BITS = 44
+PART_BITS = 26
+HOT_RUNGS = 1 << 20
 
 
 def score_counts(df: DataFrame, keys: Sequence[str] = (), score: str = "s",
                  truth: str = "y") -> DataFrame:
     """Positives and negatives per distinct score; only labelled and scored rows count."""
-    s, y = nan_to_null(F.col(score)), F.col(truth).cast("int")
     return (
-        df.select(*keys, s.alias("score"), y.alias("truth"))
-        .where(F.col("score").isNotNull() & F.col("truth").isNotNull())
+        df.select(*keys, nan_to_null(F.col(score)).alias("score"),
+                  F.col(truth).cast("int").alias("truth"))
+        .where("score IS NOT NULL AND truth IS NOT NULL")
         .groupBy(*keys, "score")
-        .agg(F.sum(F.when(F.col("truth") == 1, 1).otherwise(0)).alias("pos"),
-             F.sum(F.when(F.col("truth") == 0, 1).otherwise(0)).alias("neg"))
+        .agg(F.expr("count_if(truth = 1)").alias("pos"),
+             F.expr("count_if(truth = 0)").alias("neg"))
     )
 
 
+def _names(cols: Sequence[str]) -> str:
+    return ", ".join(f"`{c}`" for c in cols)
+
+
+def _partition(cols: Sequence[str]) -> str:
+    return f"PARTITION BY {_names(cols)}" if cols else ""
+
+
 def _running(df: DataFrame, part: Sequence[str], order: str) -> DataFrame:
     """Running counts inside a bucket; its header row comes first and is then dropped."""
-    ordered = Window.partitionBy(*part).orderBy(F.col("header").desc(), F.col(order).desc())
-    w = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cols = [
-        "*",
-        F.sum("pos").over(w).alias("tp"), F.sum("neg").over(w).alias("fp"),
-        F.first("total_pos").over(w).alias("n_pos"),
-        F.first("total_neg").over(w).alias("n_neg"),
-    ]
+    ordered = f"{_partition(part)} ORDER BY header DESC, {order} DESC"
+    w = f"{ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    cols = ["*", f"sum(pos) OVER ({w}) AS tp", f"sum(neg) OVER ({w}) AS fp",
+            f"first(total_pos) OVER ({w}) AS n_pos", f"first(total_neg) OVER ({w}) AS n_neg"]
     if "top" in df.columns:
-        cols.append(F.coalesce(F.lead("top").over(ordered),
-                               F.first("tail").over(w)).alias("below"))
-    return df.select(*cols).where(~F.col("header"))
+        cols.append(f"coalesce(lead(top) OVER ({ordered}), first(tail) OVER ({w})) AS below")
+    return df.selectExpr(*cols).where("NOT header")
 
 
 def _headers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    out = [*cols, F.lit(True).alias("header"),
-           (F.col("tp") - F.col("pos")).alias("pos"),
-           (F.col("fp") - F.col("neg")).alias("neg"),
-           F.col("n_pos").alias("total_pos"), F.col("n_neg").alias("total_neg")]
-    if "below" in df.columns:
-        out.append(F.col("below").alias("tail"))
-    return df.select(*out)
+    tail = ["below AS tail"] if "below" in df.columns else []
+    return df.selectExpr(*[f"`{c}`" for c in cols], "true AS header", "tp - pos AS pos",
+                         "fp - neg AS neg", "n_pos AS total_pos", "n_neg AS total_neg", *tail)
 
 
 def _details(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return df.select(*cols, F.lit(False).alias("header"), "pos", "neg",
-                     *[c for c in ("top",) if c in df.columns])
+    top = ["top"] if "top" in df.columns else []
+    return df.selectExpr(*[f"`{c}`" for c in cols], "false AS header", "pos", "neg", *top)
+
+
+def _stack(*frames: DataFrame) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f, allowMissingColumns=True)
+    return out
 
 
 def ladder_from_counts(counts: DataFrame, keys: Sequence[str] = (),
@@ -82,41 +90,47 @@ def ladder_from_counts(counts: DataFrame, keys: Sequence[str] = (),
     ``n_pos``/``n_neg``. ``extra`` columns ride along untouched. With ``below``
     a struct holds the counts of the next lower score, NULL at the lowest.
     """
-    keys = list(keys)
-    code = ordinal(F.col("score"))
-    base = counts.select(
-        *keys, "score", *extra, "pos", "neg",
-        F.shiftright(code, COARSE_BITS).alias("coarse"),
-        F.shiftright(code, FINE_BITS).alias("fine"))
-    sums = [F.sum("pos").alias("pos"), F.sum("neg").alias("neg")]
-    if below:
-        base = base.withColumn("top", F.struct("pos", "neg"))
-        sums.append(F.max_by("top", "score").alias("top"))
-    fine = base.groupBy(*keys, "coarse", "fine").agg(*sums)
-    coarse = base.groupBy(*keys, "coarse").agg(*sums)
-
-    whole = Window.partitionBy(*keys)
-    down = whole.orderBy(F.col("coarse").desc())
-    above = down.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    totals = [
-        *keys, "coarse", "pos", "neg",
-        F.sum("pos").over(above).alias("tp"), F.sum("neg").over(above).alias("fp"),
-        F.sum("pos").over(whole).alias("n_pos"), F.sum("neg").over(whole).alias("n_neg")]
+    keys, extra = list(keys), list(extra)
+    quoted = [f"`{c}`" for c in keys]
+    code = ordinal_sql("score")
+    base = counts.selectExpr(
+        *quoted, "score", *extra, "pos", "neg", f"shiftright({code}, {BUCKET_BITS}) AS bucket",
+        f"shiftright({code}, {PART_BITS}) AS fine",
+        *(["struct(pos, neg) AS top"] if below else []))
+    sums = [F.expr("sum(pos)").alias("pos"), F.expr("sum(neg)").alias("neg")]
     if below:
-        totals.append(F.lead("top").over(down).alias("below"))
-    coarse = coarse.select(*totals)
-
-    fine_cols = [*keys, "coarse", "fine"]
-    fine = _running(
-        _details(fine, fine_cols).unionByName(
-            _headers(coarse, [*keys, "coarse"]), allowMissingColumns=True),
-        [*keys, "coarse"], "fine")
-    rows = _running(
-        _details(base, [*fine_cols, "score", *extra]).unionByName(
-            _headers(fine, fine_cols), allowMissingColumns=True),
-        fine_cols, "score")
-    return rows.select(*keys, "score", *extra, "pos", "neg", "tp", "fp", "n_pos", "n_neg",
-                       *(["below"] if below else []))
+        sums.append(F.expr("max_by(top, score)").alias("top"))
+    buckets = base.groupBy(*keys, "bucket").agg(F.expr("count(*)").alias("rungs"), *sums)
+
+    whole = _partition(keys)
+    down = f"{whole} ORDER BY bucket DESC"
+    above = f"{down} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+    heads = buckets.selectExpr(
+        *quoted, "bucket", "rungs", "pos", "neg",
+        f"sum(pos) OVER ({above}) AS tp", f"sum(neg) OVER ({above}) AS fp",
+        f"sum(pos) OVER ({whole}) AS n_pos", f"sum(neg) OVER ({whole}) AS n_neg",
+        *([f"lead(top) OVER ({down}) AS below"] if below else []))
+
+    # hot buckets: at most rows / HOT_RUNGS of them
+    hot = buckets.where(f"rungs > {HOT_RUNGS}").selectExpr(
+        *[f"`{c}` AS `_k_{c}`" for c in keys], "bucket AS _k_bucket")
+    same = " AND ".join(f"`{c}` <=> `_k_{c}`" for c in [*keys, "bucket"])
+    rows = base.join(F.broadcast(hot), F.expr(same), "left").selectExpr(
+        *[f"`{c}`" for c in base.columns], "IF(_k_bucket IS NULL, NULL, fine) AS part")
+
+    place = [*keys, "bucket", "part"]
+    parts = rows.where("part IS NOT NULL").groupBy(*place).agg(*sums)
+    parts = _running(
+        _stack(_details(parts, place),
+               _headers(heads.where(f"rungs > {HOT_RUNGS}"), [*keys, "bucket"])),
+        [*keys, "bucket"], "part")
+    out = _running(
+        _stack(_details(rows, [*place, "score", *extra]),
+               _headers(heads.where(f"rungs <= {HOT_RUNGS}"), [*keys, "bucket"]),
+               _headers(parts, place)),
+        place, "score")
+    return out.select(*keys, "score", *extra, "pos", "neg", "tp", "fp", "n_pos", "n_neg",
+                      *(["below"] if below else []))
 
 
 def score_ladder(df: DataFrame, keys: Sequence[str] = (), score: str = "s",
