@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from verigauge.functions.numeric import ratio, sigmoid
+from verigauge.functions.numeric import nan_to_null, ratio, sigmoid
 from verigauge.operators.ladder import score_counts, score_ladder
 from verigauge.operators.metrics import (
     ap_fold, auc_fold, flagged_fold, metrics_from_ladder)
@@ -216,3 +216,21 @@ def threshold_diagnostic(deployed: DataFrame, best: DataFrame,
                     F.col("value").alias("swept_balanced")), keys)
     diff = F.col("swept_balanced") - F.col("deployed_balanced")
     return both.select("*", diff.alias("gap"), (diff > gap).alias("mis_set"))
+
+
+def mean_scores(df: DataFrame, keys: Sequence[str] = CELL, score: str = "s",
+                truth: str = "y") -> DataFrame:
+    """Mean score per class and condition: one partial aggregate, no ladder."""
+    s, y = nan_to_null(F.col(score)), F.col(truth)
+    return df.groupBy(*keys).agg(F.avg(F.when(y == 0, s)).alias("score_mean_real"),
+                                 F.avg(F.when(y == 1, s)).alias("score_mean_fake"))
+
+
+def transfer_gap(reference: DataFrame, probe: DataFrame, threshold: float, score: str = "s",
+                 truth: str = "y") -> DataFrame:
+    """Recall of two score sets at one threshold and their difference."""
+    def recall(df: DataFrame, name: str) -> DataFrame:
+        hit = (nan_to_null(F.col(score)) >= threshold).cast("int")
+        return df.where(F.col(truth) == 1).groupBy().agg(F.avg(hit).alias(name))
+    both = attach_per_key(recall(reference, "recall_reference"), recall(probe, "recall_probe"), [])
+    return both.withColumn("gap", F.col("recall_reference") - F.col("recall_probe"))
