@@ -127,16 +127,21 @@ def delta_band(delta: Column) -> Column:
             .otherwise("bad"))
 
 
-def text_or_dash(pattern: str, value: Column) -> Column:
-    return F.when(value.isNotNull(), F.format_string(pattern, value)).otherwise("—")
+def text_or_dash(digits: int, value: Column, unit: str = "") -> Column:
+    """Fixed-point text; values that lie exactly halfway go to the even digit."""
+    scale = 10.0 ** digits
+    exact = value * 1048576.0 == F.floor(value * 1048576.0).cast("double")
+    shown = F.when(exact, F.rint(value * scale) / scale).otherwise(value)
+    pattern = f"%.{digits}f" + unit.replace("%", "%%")
+    return F.when(value.isNotNull(), F.format_string(pattern, shown)).otherwise("—")
 
 
 def percent_text(value: Column, digits: int = 1) -> Column:
-    return text_or_dash(f"%.{digits}f%%", nan_to_null(value) * 100)
+    return text_or_dash(digits, nan_to_null(value) * 100, "%")
 
 
 def ratio_text(value: Column) -> Column:
-    return text_or_dash("%.3f", nan_to_null(value))
+    return text_or_dash(3, nan_to_null(value))
 
 
 def delta_text(delta: Column) -> Column:

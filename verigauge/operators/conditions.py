@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verigauge.functions.numeric import nan_to_null, ratio, sigmoid
-from verigauge.operators.ladder import score_counts, score_ladder
+from verigauge.operators.ladder import quantile_of, score_counts, score_ladder
 from verigauge.operators.metrics import (
     ap_fold, auc_fold, flagged_fold, metrics_from_ladder)
 from verigauge.operators.scalars import attach_per_key
-from verigauge.operators.thresholds import fpr_at_tpr_from_ladder
+from verigauge.operators.thresholds import counts_at
 
 GRID_FAMILIES = ("jpeg", "blur", "resize", "noise", "color", "crop")
 CELL = ("key", "family", "severity", "label")
@@ -66,21 +66,20 @@ def condition_metrics(df: DataFrame, threshold: float, keys: Sequence[str] = CEL
                       score: str = "s", truth: str = "y", tpr: float = 0.95) -> DataFrame:
     """AUROC, AP, accuracy, TPR, FPR, FPR at a fixed TPR and mean score per class."""
     keys = list(keys)
-    lad = score_ladder(df, keys, score, truth)
     thr = F.lit(float(threshold))
-    cells = lad.groupBy(*keys).agg(
+    fold = score_ladder(df, keys, score, truth).groupBy(*keys).agg(
         auc_fold().alias("auroc"), ap_fold().alias("ap"),
         F.max("n_pos").alias("n_ai"), F.max("n_neg").alias("n_real"),
         flagged_fold("pos", thr).alias("tp"), flagged_fold("neg", thr).alias("fp"),
         F.sum(F.col("score") * F.col("pos")).alias("sum_ai"),
-        F.sum(F.col("score") * F.col("neg")).alias("sum_real"))
-    far = fpr_at_tpr_from_ladder(lad, tpr, keys).select(
-        *keys, F.col("fpr_at_tpr").alias("fpr_at_95tpr"))
+        F.sum(F.col("score") * F.col("neg")).alias("sum_real"),
+        quantile_of("pos", 1.0 - tpr).alias("at"))
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "n_ai", "n_real"))
-    return attach_per_key(cells, far, keys).select(
+    return counts_at(df, fold, [F.col("at")], keys, score, truth).select(
         *keys, "n_ai", "n_real", "auroc", "ap",
         ratio(tp + neg - fp, pos + neg).alias("acc"),
-        ratio(tp, pos).alias("tpr"), ratio(fp, neg).alias("fpr"), "fpr_at_95tpr",
+        ratio(tp, pos).alias("tpr"), ratio(fp, neg).alias("fpr"),
+        F.when(F.col("at").isNotNull(), ratio(F.col("fps")[0], neg)).alias("fpr_at_95tpr"),
         ratio(F.col("sum_real"), neg).alias("score_mean_real"),
         ratio(F.col("sum_ai"), pos).alias("score_mean_fake"))
 
@@ -192,18 +191,32 @@ def sweep_summary(cells: DataFrame) -> DataFrame:
              F.col("w.change").alias("worst_drop"))
 
 
-def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int = 0,
+def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int | str = 0,
                  score: str = "s", truth: str = "y") -> DataFrame:
-    """Clean, mean, worst and pooled AUC over views, and pooled FPR at 95% TPR."""
-    per_view = score_ladder(df, [view], score, truth).groupBy(view).agg(auc_fold().alias("auc"))
-    spread = per_view.groupBy().agg(
-        F.max(F.when(F.col(view) == clean_view, F.col("auc"))).alias("auc_clean"),
-        F.avg("auc").alias("auc_mean"), F.min("auc").alias("auc_worst"))
-    pooled = score_ladder(df, [], score, truth)
-    area = pooled.groupBy().agg(auc_fold().alias("auc_pooled"))
-    far = fpr_at_tpr_from_ladder(pooled, 0.95).select(
-        F.col("fpr_at_tpr").alias("fpr95_pooled"))
-    return attach_per_key(attach_per_key(spread, area, []), far, [])
+    """Clean, mean, worst and pooled AUC over views, and pooled FPR at 95% TPR.
+
+    Each row counts once in its view and once in the pooled set, so one ladder
+    serves both.
+    """
+    name = F.col(view).cast("string")
+    sets = F.array(F.struct(name.alias("subset"), F.lit(False).alias("pooled")),
+                   F.struct(F.lit("").alias("subset"), F.lit(True).alias("pooled")))
+    both = df.select(F.col(score).alias("s"), F.col(truth).alias("y"), F.inline(sets))
+    fold = score_ladder(both, ["pooled", "subset"]).groupBy("pooled", "subset").agg(
+        auc_fold().alias("auc"), quantile_of("pos", 0.05).alias("at"),
+        F.max("n_neg").alias("n_neg"))
+    one_view = F.when(~F.col("pooled"), F.col("auc"))
+    whole = F.col("pooled")
+    summary = fold.groupBy().agg(
+        F.max(F.when(F.col("subset") == str(clean_view), one_view)).alias("auc_clean"),
+        F.avg(one_view).alias("auc_mean"), F.min(one_view).alias("auc_worst"),
+        F.max(F.when(whole, F.col("auc"))).alias("auc_pooled"),
+        F.max(F.when(whole, F.col("at"))).alias("at"),
+        F.max(F.when(whole, F.col("n_neg"))).alias("n_neg"))
+    return counts_at(df, summary, [F.col("at")], [], score, truth).select(
+        "auc_clean", "auc_mean", "auc_worst", "auc_pooled",
+        F.when(F.col("at").isNotNull(), ratio(F.col("fps")[0], F.col("n_neg")))
+        .alias("fpr95_pooled"))
 
 
 def threshold_diagnostic(deployed: DataFrame, best: DataFrame,

@@ -6,16 +6,17 @@ score set into one task, and one condition or group may hold a third of all
 rows, so the running sums are built bucket by bucket instead:
 
 * rows are first counted per (keys, score), with map-side combine;
-* a bucket holds the scores that agree in all but the lowest 44 bits: 256
-  buckets per power of two, so their totals are few enough to be summed per key
-  in one window. Single-precision scores put at most 32,768 values into one;
-* a bucket with more than ``HOT_RUNGS`` distinct scores is cut again, into up to
-  262,144 parts by the next 18 bits. There are at most rows / HOT_RUNGS such
-  buckets, so the list of them is safe to broadcast; most data has none.
-
-Each bucket sends one header row, carrying the counts above the bucket, into
-the window below it, where it takes part in the running sum as first row.
-Nothing is sampled and nothing is collected.
+* a *part* holds the scores that agree in all but the lowest 26 bits, a *bucket*
+  the parts that agree in all but the lowest 44 bits: 256 buckets per power of
+  two and up to 262,144 parts in a bucket. A part has few rungs even where
+  scores crowd together; single precision leaves it at most one;
+* running sums are taken inside each part, then over the parts of a bucket, then
+  over the buckets, and the offsets are handed down again. At the upper levels
+  only one row per unit (its lowest rung) takes part in the window; the others
+  are kept in lanes of their own, so no lane grows with the data.
+
+The whole chain is one line of windows over one input: nothing is joined,
+broadcast, sampled or collected, and a costly input is computed once.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from verigauge.functions.numeric import nan_to_null, ordinal_sql
 
 BUCKET_BITS = 44
 PART_BITS = 26
-HOT_RUNGS = 1 << 20
 
 
 def score_counts(df: DataFrame, keys: Sequence[str] = (), score: str = "s",
@@ -45,41 +45,11 @@ def score_counts(df: DataFrame, keys: Sequence[str] = (), score: str = "s",
     )
 
 
-def _names(cols: Sequence[str]) -> str:
-    return ", ".join(f"`{c}`" for c in cols)
-
-
-def _partition(cols: Sequence[str]) -> str:
-    return f"PARTITION BY {_names(cols)}" if cols else ""
-
-
-def _running(df: DataFrame, part: Sequence[str], order: str) -> DataFrame:
-    """Running counts inside a bucket; its header row comes first and is then dropped."""
-    ordered = f"{_partition(part)} ORDER BY header DESC, {order} DESC"
-    w = f"{ordered} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    cols = ["*", f"sum(pos) OVER ({w}) AS tp", f"sum(neg) OVER ({w}) AS fp",
-            f"first(total_pos) OVER ({w}) AS n_pos", f"first(total_neg) OVER ({w}) AS n_neg"]
-    if "top" in df.columns:
-        cols.append(f"coalesce(lead(top) OVER ({ordered}), first(tail) OVER ({w})) AS below")
-    return df.selectExpr(*cols).where("NOT header")
-
-
-def _headers(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    tail = ["below AS tail"] if "below" in df.columns else []
-    return df.selectExpr(*[f"`{c}`" for c in cols], "true AS header", "tp - pos AS pos",
-                         "fp - neg AS neg", "n_pos AS total_pos", "n_neg AS total_neg", *tail)
-
-
-def _details(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    top = ["top"] if "top" in df.columns else []
-    return df.selectExpr(*[f"`{c}`" for c in cols], "false AS header", "pos", "neg", *top)
-
-
-def _stack(*frames: DataFrame) -> DataFrame:
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f, allowMissingColumns=True)
-    return out
+def _over(part: Sequence[str], order: str = "") -> str:
+    """Running window text; without an order the whole partition."""
+    by = f"PARTITION BY {', '.join(part)}" if part else ""
+    return f"({by} ORDER BY {order} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)" \
+        if order else f"({by})"
 
 
 def ladder_from_counts(counts: DataFrame, keys: Sequence[str] = (),
@@ -91,46 +61,72 @@ def ladder_from_counts(counts: DataFrame, keys: Sequence[str] = (),
     a struct holds the counts of the next lower score, NULL at the lowest.
     """
     keys, extra = list(keys), list(extra)
-    quoted = [f"`{c}`" for c in keys]
+    k = [f"`{c}`" for c in keys]
+    keep = [*k, "score", *extra, "pos", "neg"]
     code = ordinal_sql("score")
-    base = counts.selectExpr(
-        *quoted, "score", *extra, "pos", "neg", f"shiftright({code}, {BUCKET_BITS}) AS bucket",
-        f"shiftright({code}, {PART_BITS}) AS fine",
-        *(["struct(pos, neg) AS top"] if below else []))
-    sums = [F.expr("sum(pos)").alias("pos"), F.expr("sum(neg)").alias("neg")]
+    top = ["struct(pos, neg) AS top"] if below else []
+    rows = counts.selectExpr(*keep, f"shiftright({code}, {PART_BITS}) AS part",
+                             f"shiftright({code}, {BUCKET_BITS}) AS bucket", *top)
+
+    # up, inside a part: every rung takes part
+    lanes = [*k, "part"]
+    run, nxt = _over(lanes, "score DESC"), f"({_over(lanes, 'score DESC')[1:].split(' ROWS')[0]})"
+    peek = [f"lead(top) OVER {nxt} AS below", f"first(top) OVER {run} AS top"] if below else []
+    rows = rows.selectExpr(
+        *keep, "part", "bucket", f"sum(pos) OVER {run} AS tp", f"sum(neg) OVER {run} AS fp",
+        f"lead(score) OVER {nxt} IS NULL AS carry", *peek)
+
+    # up, inside a bucket: only the lowest rung of each part carries its part's counts;
+    # all others stay apart by part
+    lane = "IF(carry, NULL, part)"
+    rows = _climb(rows, [*k, "bucket", lane], "part", "part_tp", "part_fp",
+                  [*keep, "part", "bucket", "tp", "fp", "carry"], below)
+
+    # up, over the buckets: the lowest rung of each bucket carries
+    lane = "IF(carry_on, NULL, part)"
+    whole = _over([*k, lane])
+    rows = _climb(rows, [*k, lane], "bucket", "bucket_tp", "bucket_fp",
+                  [*keep, "part", "bucket", "tp", "fp", "carry", "carry_on",
+                   "part_tp", "part_fp",
+                   f"IF(carry_on, sum(IF(carry_on, own_tp, 0L)) OVER {whole}, NULL) AS n_pos",
+                   f"IF(carry_on, sum(IF(carry_on, own_fp, 0L)) OVER {whole}, NULL) AS n_neg"],
+                  below)
+
+    # down: the bucket's offset and the totals reach the carriers, then everyone
+    tail = ["below"] if below else []
+    lane = _over([*k, "bucket", "IF(carry, NULL, part)"])
+    rows = rows.selectExpr(
+        *keep, "part", "tp", "fp", *tail,
+        f"part_tp + max(bucket_tp) OVER {lane} AS part_tp",
+        f"part_fp + max(bucket_fp) OVER {lane} AS part_fp",
+        f"max(n_pos) OVER {lane} AS n_pos", f"max(n_neg) OVER {lane} AS n_neg")
+    lane = _over(lanes)
+    return rows.selectExpr(
+        *keep, f"tp + max(part_tp) OVER {lane} AS tp", f"fp + max(part_fp) OVER {lane} AS fp",
+        f"max(n_pos) OVER {lane} AS n_pos", f"max(n_neg) OVER {lane} AS n_neg", *tail)
+
+
+def _climb(rows: DataFrame, lanes: Sequence[str], order: str, tp: str, fp: str,
+           keep: Sequence[str], below: bool) -> DataFrame:
+    """One level up: carriers of a lane sum what lies above them and elect the next carrier.
+
+    A row's own sum is that of its unit so far (``own``); what the units above
+    it hold is written to ``tp``/``fp``, NULL for rows that do not carry.
+    """
+    flag = "carry_on" if "carry_on" in rows.columns else "carry"
+    own_tp, own_fp = ("own_tp", "own_fp") if flag == "carry_on" else ("tp", "fp")
+    run = _over(lanes, f"{order} DESC")
+    nxt = run.split(" ROWS")[0] + ")"
+    out = [*keep,
+           f"IF({flag}, sum({own_tp}) OVER {run} - {own_tp}, NULL) AS {tp}",
+           f"IF({flag}, sum({own_fp}) OVER {run} - {own_fp}, NULL) AS {fp}"]
+    if flag == "carry":
+        out += [f"carry AND lead(score) OVER {nxt} IS NULL AS carry_on",
+                f"sum(tp) OVER {run} AS own_tp", f"sum(fp) OVER {run} AS own_fp"]
     if below:
-        sums.append(F.expr("max_by(top, score)").alias("top"))
-    buckets = base.groupBy(*keys, "bucket").agg(F.expr("count(*)").alias("rungs"), *sums)
-
-    whole = _partition(keys)
-    down = f"{whole} ORDER BY bucket DESC"
-    above = f"{down} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
-    heads = buckets.selectExpr(
-        *quoted, "bucket", "rungs", "pos", "neg",
-        f"sum(pos) OVER ({above}) AS tp", f"sum(neg) OVER ({above}) AS fp",
-        f"sum(pos) OVER ({whole}) AS n_pos", f"sum(neg) OVER ({whole}) AS n_neg",
-        *([f"lead(top) OVER ({down}) AS below"] if below else []))
-
-    # hot buckets: at most rows / HOT_RUNGS of them
-    hot = buckets.where(f"rungs > {HOT_RUNGS}").selectExpr(
-        *[f"`{c}` AS `_k_{c}`" for c in keys], "bucket AS _k_bucket")
-    same = " AND ".join(f"`{c}` <=> `_k_{c}`" for c in [*keys, "bucket"])
-    rows = base.join(F.broadcast(hot), F.expr(same), "left").selectExpr(
-        *[f"`{c}`" for c in base.columns], "IF(_k_bucket IS NULL, NULL, fine) AS part")
-
-    place = [*keys, "bucket", "part"]
-    parts = rows.where("part IS NOT NULL").groupBy(*place).agg(*sums)
-    parts = _running(
-        _stack(_details(parts, place),
-               _headers(heads.where(f"rungs > {HOT_RUNGS}"), [*keys, "bucket"])),
-        [*keys, "bucket"], "part")
-    out = _running(
-        _stack(_details(rows, [*place, "score", *extra]),
-               _headers(heads.where(f"rungs <= {HOT_RUNGS}"), [*keys, "bucket"]),
-               _headers(parts, place)),
-        place, "score")
-    return out.select(*keys, "score", *extra, "pos", "neg", "tp", "fp", "n_pos", "n_neg",
-                      *(["below"] if below else []))
+        out += [f"IF({flag}, coalesce(below, lead(top) OVER {nxt}), below) AS below",
+                f"IF({flag}, first(top) OVER {run}, NULL) AS top"]
+    return rows.selectExpr(*out)
 
 
 def score_ladder(df: DataFrame, keys: Sequence[str] = (), score: str = "s",

@@ -94,7 +94,7 @@ def result_view(df: DataFrame, threshold: float, kind: str = "all", item: str =
     return (
         df.where(N.result_filter(y, pred, kind))
         .select(item, F.coalesce(s, F.lit(-1.0)).alias("sort_score"),
-                N.text_or_dash("%.4f", s).alias("score_text"),
+                N.text_or_dash(4, s).alias("score_text"),
                 N.label_text(y).alias("truth"), N.result_text(y, pred).alias("result"))
     )
 

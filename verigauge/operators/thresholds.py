@@ -1,6 +1,7 @@
 """Decision thresholds: by criterion, by false-positive budget, by quantile.
 
-All searches are folds over the score ladder. Where several thresholds reach
+All searches are folds over one score ladder; counts at a threshold that was
+found this way come from a second, unordered pass over the rows. Where several thresholds reach
 the same value the lowest one is taken.
 """
 
@@ -11,11 +12,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verigauge.functions.numeric import next_above, ratio
+from verigauge.functions.numeric import nan_to_null, next_above, ratio
 from verigauge.operators.ladder import (
     ladder_from_counts, quantile_of, score_counts, score_ladder)
 from verigauge.operators.metrics import (
-    METRIC_COLUMNS, ap_fold, auc_fold, flagged_fold, rate_columns)
+    METRIC_COLUMNS, ap_fold, auc_fold, rate_columns)
 from verigauge.operators.scalars import attach_per_key
 
 NO_CHOICE = 0.5                                   # answer when a class is missing
@@ -157,39 +158,47 @@ def scan_threshold(df: DataFrame, mode: str = "balanced", max_fpr: float = 0.01,
         F.max(value).alias("value"))
 
 
-def fpr_at_tpr(df: DataFrame, target: float = 0.95, keys: Sequence[str] = (),
-               score: str = "s", truth: str = "y") -> DataFrame:
-    return fpr_at_tpr_from_ladder(score_ladder(df, keys, score, truth), target, keys)
+def counts_at(df: DataFrame, per_key: DataFrame, thresholds: Sequence[Column],
+              keys: Sequence[str] = (), score: str = "s", truth: str = "y") -> DataFrame:
+    """Adds ``tps`` and ``fps``: rows of each class at or above thresholds known per key.
+
+    ``thresholds`` are expressions over the columns of ``per_key``. This is a
+    second, plain pass over the rows; it does not order them again.
+    """
+    rows = df.select(*keys, nan_to_null(F.col(score)).alias("_s"),
+                     F.col(truth).cast("int").alias("_y")).where(
+        F.col("_s").isNotNull() & F.col("_y").isNotNull())
+    joined = attach_per_key(rows, per_key, keys)
+    others = [c for c in per_key.columns if c not in keys]
+
+    def hits(y: int) -> Column:
+        return F.array(*[F.count(F.when((F.col("_y") == y) & (F.col("_s") >= t), 1))
+                         for t in thresholds])
+    return joined.groupBy(*keys).agg(
+        *[F.first(c).alias(c) for c in others], hits(1).alias("tps"), hits(0).alias("fps"))
 
 
-def fpr_at_tpr_from_ladder(lad: DataFrame, target: float,
-                           keys: Sequence[str] = ()) -> DataFrame:
+def fpr_at_tpr(df: DataFrame, target: float = 0.95, keys: Sequence[str] = (),
+               score: str = "s", truth: str = "y") -> DataFrame:
     """FPR at the threshold where ``target`` of the positives are caught."""
-    thr = lad.groupBy(*keys).agg(quantile_of("pos", 1.0 - target).alias("at"))
-    both = (F.max("n_pos") > 0) & (F.max("n_neg") > 0)
-    caught = flagged_fold("neg", F.col("at"))
-    return attach_per_key(lad, thr, keys).groupBy(*keys).agg(
-        F.first("at").alias("threshold"),
-        F.when(both, ratio(caught, F.max("n_neg"))).alias("fpr_at_tpr"))
+    fold = score_ladder(df, keys, score, truth).groupBy(*keys).agg(
+        quantile_of("pos", 1.0 - target).alias("at"), F.max("n_neg").alias("n_neg"))
+    hit = counts_at(df, fold, [F.col("at")], keys, score, truth)
+    return hit.select(*keys, F.col("at").alias("threshold"),
+                      F.when(F.col("at").isNotNull(), ratio(F.col("fps")[0], F.col("n_neg")))
+                      .alias("fpr_at_tpr"))
 
 
-def metrics_at_points(ladder: DataFrame, points: DataFrame, count: int,
-                      keys: Sequence[str] = ()) -> DataFrame:
-    """Full metrics at several thresholds per key in one fold.
+def metrics_at_points(df: DataFrame, points: DataFrame, count: int, keys: Sequence[str] = (),
+                      score: str = "s", truth: str = "y") -> DataFrame:
+    """Full metrics at several thresholds per key.
 
-    ``points`` holds per key an array ``points`` of ``count`` structs
-    ``(ord, point, threshold)``.
+    ``points`` holds per key ``n_ai, n_real, auc, ap`` and an array ``points`` of
+    ``count`` structs ``(ord, point, threshold)``.
     """
-    joined = attach_per_key(ladder, points, keys)
     at = [F.col("points")[i]["threshold"] for i in range(count)]
-    agg = joined.groupBy(*keys).agg(
-        F.max("n_pos").alias("n_ai"), F.max("n_neg").alias("n_real"),
-        auc_fold().alias("auc"), ap_fold().alias("ap"), F.first("points").alias("points"),
-        F.array(*[flagged_fold("pos", t) for t in at]).alias("tps"),
-        F.array(*[flagged_fold("neg", t) for t in at]).alias("fps"))
-    rows = agg.select(
-        *keys, "n_ai", "n_real", "auc", "ap",
-        F.inline(F.arrays_zip("points", "tps", "fps"))
+    rows = counts_at(df, points, at, keys, score, truth).select(
+        *keys, "n_ai", "n_real", "auc", "ap", F.inline(F.arrays_zip("points", "tps", "fps"))
     ).select(*keys, "n_ai", "n_real", "auc", "ap", "points.ord", "points.point",
              "points.threshold", F.col("tps").alias("tp"), F.col("fps").alias("fp"))
     rates = rate_columns()
@@ -198,6 +207,15 @@ def metrics_at_points(ladder: DataFrame, points: DataFrame, count: int,
         *keys, "ord", "point", *METRIC_COLUMNS)
 
 
+def _points(ladder: DataFrame, named: Sequence[tuple[str, Column]],
+            keys: Sequence[str]) -> DataFrame:
+    return ladder.groupBy(*keys).agg(
+        F.max("n_pos").alias("n_ai"), F.max("n_neg").alias("n_real"),
+        auc_fold().alias("auc"), ap_fold().alias("ap"), F.array(*[
+            F.struct(F.lit(i).alias("ord"), F.lit(name).alias("point"), value.alias("threshold"))
+            for i, (name, value) in enumerate(named)]).alias("points"))
+
+
 def recommendations(df: DataFrame, deployed: float,
                     budgets: Sequence[float] = DEFAULT_BUDGETS, keys: Sequence[str] = (),
                     score: str = "s", truth: str = "y", capped: bool = False) -> DataFrame:
@@ -218,19 +236,16 @@ def recommendations(df: DataFrame, deployed: float,
     named = [("deployed", F.max(F.lit(float(deployed))))]
     named += [(f"FPR<={b * 100:g}%", _budget_pick(b)) for b in budgets]
     named += [("best F1", best("f1")), ("best balanced", best("youden"))]
-    points = lad.groupBy(*keys).agg(F.array(*[
-        F.struct(F.lit(i).alias("ord"), F.lit(name).alias("point"), value.alias("threshold"))
-        for i, (name, value) in enumerate(named)]).alias("points"))
-    out = metrics_at_points(lad, points, len(named), keys)
+    points = _points(lad, named, keys)
+    out = metrics_at_points(df, points, len(named), keys, score, truth)
     return out.withColumn("recommended", F.col("ord") == (1 if budgets else -1))
 
 
-def before_and_after(ladder: DataFrame, old: float, mode: str = "balanced",
-                     keys: Sequence[str] = ()) -> DataFrame:
-    """The old threshold and the rescanned one as points for ``metrics_at_points``."""
-    new = _best_score(_criterion(mode), F.lit(True))
-    return ladder.groupBy(*keys).agg(F.array(
-        F.struct(F.lit(0).alias("ord"), F.lit("old").alias("point"),
-                 F.lit(float(old)).alias("threshold")),
-        F.struct(F.lit(1).alias("ord"), F.lit(f"new ({mode})").alias("point"),
-                 new.alias("threshold"))).alias("points"))
+def before_and_after(df: DataFrame, old: float, mode: str = "balanced",
+                     keys: Sequence[str] = (), score: str = "s",
+                     truth: str = "y") -> DataFrame:
+    """Metrics at the old threshold and at the one a rescan finds."""
+    lad = score_ladder(df, keys, score, truth)
+    points = _points(lad, [("old", F.max(F.lit(float(old)))),
+                           (f"new ({mode})", _best_score(_criterion(mode), F.lit(True)))], keys)
+    return metrics_at_points(df, points, 2, keys, score, truth)

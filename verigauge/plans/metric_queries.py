@@ -349,7 +349,5 @@ SELECT ord, point, round(threshold, 6) AS threshold,
     round((tp::DOUBLE / n_ai + (n_real - fp)::DOUBLE / n_real) / 2, 6) AS balanced_accuracy,
     round(tp::DOUBLE / n_ai, 6) AS recall, round(fp::DOUBLE / n_real, 6) AS fpr FROM fold""")
 def a37_recalibration(spark, sf):
-    lad = L.score_ladder(X.scored_grid(spark, sf))
-    points = T.before_and_after(lad, 0.05, "balanced")
-    return r6(T.metrics_at_points(lad, points, 2).select(
+    return r6(T.before_and_after(X.scored_grid(spark, sf), 0.05, "balanced").select(
         "ord", "point", "threshold", "accuracy", "balanced_accuracy", "recall", "fpr"))
