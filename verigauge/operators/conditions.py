@@ -40,17 +40,38 @@ class Condition:
         return self.key == "clean"
 
 
-def _literal(c: Condition) -> Column:
+def _names(c: Condition) -> list[Column]:
+    return [F.lit(c.key).alias("key"), F.lit(c.family).alias("family"),
+            F.lit(c.severity).alias("severity"), F.lit(c.label).alias("label")]
+
+
+def _literal(cell: int, c: Condition) -> Column:
     entries = [x for k, v in sorted(c.params.items()) for x in (F.lit(k), F.lit(float(v)))]
     params = F.create_map(*entries) if entries else F.create_map().cast("map<string,double>")
-    return F.struct(F.lit(c.key).alias("key"), F.lit(c.family).alias("family"),
-                    F.lit(c.severity).alias("severity"), F.lit(c.label).alias("label"),
-                    params.alias("params"))
+    return F.struct(F.lit(cell).alias("cell"), *_names(c), params.alias("params"))
 
 
 def expand_conditions(items: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
-    """Each item once per condition, clean first; ``params`` holds the condition's numbers."""
-    return items.select("*", F.inline(F.array(*[_literal(c) for c in conditions])))
+    """Each item once per condition; ``cell`` is its position, ``params`` its numbers."""
+    return items.select("*", F.inline(F.array(*[
+        _literal(i, c) for i, c in enumerate(conditions)])))
+
+
+def named_cells(rows: DataFrame, conditions: Sequence[Condition]) -> DataFrame:
+    """Replace ``cell`` by the condition's key, family, severity and label."""
+    names = F.array(*[F.struct(*_names(c)) for c in conditions])
+    return rows.withColumn("_c", F.get(names, F.col("cell"))).select(
+        *[F.col(f"_c.{n}").alias(n) for n in CELL],
+        *[c for c in rows.columns if c not in ("cell", *CELL)])
+
+
+def _by(keys: Sequence[str], conditions: Sequence[Condition] | None) -> list[str]:
+    """Group by the short cell number where the list of conditions is known."""
+    return ["cell"] if conditions is not None else list(keys)
+
+
+def _named(rows: DataFrame, conditions: Sequence[Condition] | None) -> DataFrame:
+    return rows if conditions is None else named_cells(rows, conditions)
 
 
 def select_cells(conditions: Sequence[Condition], keys: Sequence[str] | None = None,
@@ -63,9 +84,13 @@ def select_cells(conditions: Sequence[Condition], keys: Sequence[str] | None = N
 
 
 def condition_metrics(df: DataFrame, threshold: float, keys: Sequence[str] = CELL,
-                      score: str = "s", truth: str = "y", tpr: float = 0.95) -> DataFrame:
-    """AUROC, AP, accuracy, TPR, FPR, FPR at a fixed TPR and mean score per class."""
-    keys = list(keys)
+                      score: str = "s", truth: str = "y", tpr: float = 0.95,
+                      conditions: Sequence[Condition] | None = None) -> DataFrame:
+    """AUROC, AP, accuracy, TPR, FPR, FPR at a fixed TPR and mean score per class.
+
+    With ``conditions`` rows are grouped by their ``cell`` number and named at the end.
+    """
+    keys = _by(keys, conditions)
     thr = F.lit(float(threshold))
     fold = score_ladder(df, keys, score, truth).groupBy(*keys).agg(
         auc_fold().alias("auroc"), ap_fold().alias("ap"),
@@ -75,13 +100,14 @@ def condition_metrics(df: DataFrame, threshold: float, keys: Sequence[str] = CEL
         F.sum(F.col("score") * F.col("neg")).alias("sum_real"),
         quantile_of("pos", 1.0 - tpr).alias("at"))
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "n_ai", "n_real"))
-    return counts_at(df, fold, [F.col("at")], keys, score, truth).select(
+    out = counts_at(df, fold, [F.col("at")], keys, score, truth).select(
         *keys, "n_ai", "n_real", "auroc", "ap",
         ratio(tp + neg - fp, pos + neg).alias("acc"),
         ratio(tp, pos).alias("tpr"), ratio(fp, neg).alias("fpr"),
         F.when(F.col("at").isNotNull(), ratio(F.col("fps")[0], neg)).alias("fpr_at_95tpr"),
         ratio(F.col("sum_real"), neg).alias("score_mean_real"),
         ratio(F.col("sum_ai"), pos).alias("score_mean_fake"))
+    return _named(out, conditions)
 
 
 def score_drift(cells: DataFrame, keys: Sequence[str] = CELL) -> DataFrame:
@@ -114,14 +140,14 @@ def family_rollup(cells: DataFrame) -> DataFrame:
 
 
 def group_vs_negatives(df: DataFrame, threshold: float, group: str = "grp",
-                       keys: Sequence[str] = CELL, score: str = "s",
-                       truth: str = "y") -> DataFrame:
+                       keys: Sequence[str] = CELL, score: str = "s", truth: str = "y",
+                       conditions: Sequence[Condition] | None = None) -> DataFrame:
     """Each positive group against *all* negatives of its condition, per condition.
 
     The negatives are ranked once per condition; a group's positives meet them
     by equal score, so negatives are never copied per group.
     """
-    keys = list(keys)
+    keys = _by(keys, conditions)
     lad = score_ladder(df, keys, score, truth).select(
         *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("score").alias("_score"),
         (F.col("n_neg") - F.col("fp")).alias("below"), F.col("neg").alias("tied"), "n_neg")
@@ -131,11 +157,12 @@ def group_vs_negatives(df: DataFrame, threshold: float, group: str = "grp",
         cond = cond & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     wins = F.col("pos").cast("double") * (
         F.lit(2) * F.col("below") + F.col("tied")).cast("double")
-    return pos.join(lad, cond).groupBy(*keys, group).agg(
+    out = pos.join(lad, cond).groupBy(*keys, group).agg(
         F.sum("pos").alias("n"),
         ratio(F.sum(wins), F.sum("pos") * F.max("n_neg") * 2.0).alias("auroc"),
         ratio(F.sum(F.when(F.col("score") >= threshold, F.col("pos")).otherwise(0)),
               F.sum("pos")).alias("recall"))
+    return _named(out, conditions)
 
 
 def group_means(per_condition: DataFrame, group: str = "grp") -> DataFrame:
@@ -145,16 +172,19 @@ def group_means(per_condition: DataFrame, group: str = "grp") -> DataFrame:
 
 
 def flag_rates(df: DataFrame, threshold: float, platt_a: float = 1.0, platt_b: float = 0.0,
-               keys: Sequence[str] = CELL, score: str = "s", truth: str = "y") -> DataFrame:
+               keys: Sequence[str] = CELL, score: str = "s", truth: str = "y",
+               conditions: Sequence[Condition] | None = None) -> DataFrame:
     """For a class never trained on: recall, FPR, AUROC, mean probability per condition."""
+    keys = _by(keys, conditions)
     lad = score_ladder(df, keys, score, truth)
     thr = F.lit(float(threshold))
     prob = sigmoid(F.col("score") * platt_a + platt_b)
-    return lad.groupBy(*keys).agg(
+    out = lad.groupBy(*keys).agg(
         ratio(flagged_fold("pos", thr), F.max("n_pos")).alias("recall"),
         ratio(flagged_fold("neg", thr), F.max("n_neg")).alias("fpr"),
         auc_fold().alias("auroc"),
         ratio(F.sum(prob * F.col("pos")), F.max("n_pos")).alias("mean_prob"))
+    return _named(out, conditions)
 
 
 def sweep_cells(df: DataFrame, threshold: float, conditions: Sequence[Condition],
@@ -163,13 +193,13 @@ def sweep_cells(df: DataFrame, threshold: float, conditions: Sequence[Condition]
 
     A cell where nothing could be scored still has its row, with n = 0.
     """
-    metrics = metrics_from_ladder(score_ladder(df, CELL, score, truth), threshold, CELL)
-    asked = df.sparkSession.createDataFrame(
-        [(c.key, c.family, c.severity, c.label) for c in conditions],
-        "key string, family string, severity int, label string")
-    full = asked.join(metrics, list(CELL), "left").fillna(
+    metrics = metrics_from_ladder(
+        score_ladder(df, ["cell"], score, truth), threshold, ["cell"])
+    asked = df.sparkSession.range(len(conditions)).select(F.col("id").cast("int").alias("cell"))
+    full = asked.join(metrics, "cell", "left").fillna(
         0, ["n", "n_real", "n_ai", "tp", "fp", "tn", "fn"]).fillna(
         float(threshold), ["threshold"])
+    full = named_cells(full, conditions)
     whole = Window.partitionBy(F.lit(1))          # one row per cell of the grid
     for name, col in (("accuracy", "accuracy"), ("auc", "auc")):
         base = F.max(F.when(F.col("key") == "clean", F.col(col))).over(whole)

@@ -16,6 +16,7 @@ from verigauge.plans.registry import query, r6
 
 CELL = "key, family, severity, label"
 THR = 0.05
+CONDS = X.table_conditions()
 GRID_LADDER = f"{X.G_SQL}, {X.ladder_sql('g', CELL)}"
 
 
@@ -50,7 +51,7 @@ SELECT cm.key, family, cm.severity, label, n_ai, n_real, round(auroc, 6) AS auro
     round(score_mean_fake, 6) AS score_mean_fake
 FROM cm JOIN fp95 ON cm.key = fp95.key AND cm.severity = fp95.severity""")
 def a15(spark, sf):
-    return r6(D.condition_metrics(X.scored_grid(spark, sf), THR))
+    return r6(D.condition_metrics(X.scored_grid(spark, sf), THR, conditions=CONDS))
 
 
 @query("a16_family_rollup", f"""WITH {GRID_LADDER}, {COND_METRIC_SQL},
@@ -63,7 +64,7 @@ SELECT part, count(*)::BIGINT AS n_conditions, round(avg(auroc), 6) AS mean_auro
     round(min(auroc), 6) AS worst_auroc, round((SELECT auroc FROM cm WHERE key = 'clean')
     - min(auroc), 6) AS "drop" FROM p GROUP BY part""")
 def a16(spark, sf):
-    return r6(D.family_rollup(D.condition_metrics(X.scored_grid(spark, sf), THR)))
+    return r6(D.family_rollup(D.condition_metrics(X.scored_grid(spark, sf), THR, conditions=CONDS)))
 
 
 GROUPS_SQL = f"""pos_c AS (SELECT {CELL}, grp, s AS score, count(*) AS k FROM g WHERE y = 1
@@ -78,7 +79,7 @@ gv AS (SELECT p.key, p.severity, p.grp, sum(p.k)::BIGINT AS n,
 @query("j9_group_vs_negatives", f"""WITH {GRID_LADDER}, {GROUPS_SQL}
 SELECT key, severity, grp, n, round(auroc, 6) AS auroc, round(recall, 6) AS recall FROM gv""")
 def j9(spark, sf):
-    return r6(D.group_vs_negatives(X.scored_grid(spark, sf), THR).select(
+    return r6(D.group_vs_negatives(X.scored_grid(spark, sf), THR, conditions=CONDS).select(
         "key", "severity", "grp", "n", "auroc", "recall"))
 
 
@@ -86,7 +87,7 @@ def j9(spark, sf):
 SELECT grp, max(n) AS n, round(avg(auroc), 6) AS mean_auroc, round(avg(recall), 6) AS mean_recall
 FROM gv GROUP BY grp""")
 def a17(spark, sf):
-    return r6(D.group_means(D.group_vs_negatives(X.scored_grid(spark, sf), THR)))
+    return r6(D.group_means(D.group_vs_negatives(X.scored_grid(spark, sf), THR, conditions=CONDS)))
 
 
 @query("a18_calibration_table", f"""WITH {X.G_SQL},
@@ -122,7 +123,7 @@ def a21(spark, sf):
     round({AUC_SQL}, 6) AS auroc, round(sum(pos / (1.0::DOUBLE + exp(-(3.0::DOUBLE * score
     - 0.7::DOUBLE)))) / max(n_pos), 6) AS mean_prob FROM lad GROUP BY {CELL}""")
 def a33(spark, sf):
-    return r6(D.flag_rates(X.scored_grid(spark, sf), THR, 3.0, -0.7).select(
+    return r6(D.flag_rates(X.scored_grid(spark, sf), THR, 3.0, -0.7, conditions=CONDS).select(
         "key", "severity", "recall", "fpr", "auroc", "mean_prob"))
 
 

@@ -297,7 +297,8 @@ def prepared_views(spark, sf):
 @query("v8_head_fit")
 def v8(spark, sf):
     rows = prepared_views(spark, sf)
-    fit = TR.fit_head(rows.where("fold > 0"), rows.where("fold = 0"), rounds=2, views=4)
+    fit = TR.fit_head(rows.where("fold > 0"), rows.where("fold = 0"), rounds=2, views=4,
+                      iterations=15)
     return r6(TR.history_rows(spark, fit))
 
 
