@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from verigauge.plans import (  # noqa: F401
-    label_queries, metric_queries, sampling_queries, sweep_queries, vector_queries)
+    image_queries, label_queries, metric_queries, sampling_queries, sweep_queries,
+    vector_queries)
 from verigauge.plans.registry import REGISTRY, Query
 
 
