@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from verigauge.plans import (  # noqa: F401
     image_queries, label_queries, metric_queries, sampling_queries, sweep_queries,
-    vector_queries)
+    stream_queries, vector_queries)
 from verigauge.plans.registry import REGISTRY, Query
 
 

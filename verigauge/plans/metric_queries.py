@@ -351,3 +351,11 @@ SELECT ord, point, round(threshold, 6) AS threshold,
 def a37_recalibration(spark, sf):
     return r6(T.before_and_after(X.scored_grid(spark, sf), 0.05, "balanced").select(
         "ord", "point", "threshold", "accuracy", "balanced_accuracy", "recall", "fpr"))
+
+
+@query("k5_operating_points", f"""WITH r AS ({recommend_sql()})
+SELECT point AS label, round(threshold, 6) AS threshold, accuracy, recall, fpr, f1 FROM r""")
+def k5(spark, sf):
+    points = T.recommendations(X.scored_events(spark, sf), THR)
+    return r6(points.select(F.col("point").alias("label"), "threshold", "accuracy", "recall",
+                            "fpr", "f1"))
