@@ -18,8 +18,10 @@ from verigauge.streaming import incremental as IN
     FROM u) SELECT item_id AS vec_id, round({prob_sql(HEADS[0], 'q')}, 6) AS score FROM z""")
 def t1(spark, sf):
     """Two runs over the same input: the second one finds nothing new."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
-    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    if spark.conf.get("spark.checkpoint.dir", None):
+        work = IN.checkpoint_folder(spark, f"stream-{uuid.uuid4().hex}")
+    else:
+        work = tempfile.mkdtemp(prefix="run-")
     table = X.table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     table.write.parquet(f"{work}/in")

@@ -6,9 +6,28 @@ On a cluster the caller hands over its own session; nothing here is needed.
 from __future__ import annotations
 
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import SparkSession
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make this package importable in the Python workers, once per application.
+
+    Same as ``--py-files`` on the command line; harmless where it is installed.
+    """
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    folder = tempfile.mkdtemp(prefix="run-")
+    archive = shutil.make_archive(os.path.join(folder, "verigauge"), "zip", home, "verigauge")
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
 
 def local_session(cores: str | int = "*", shuffle_partitions: int | None = None,
                   app: str = "verigauge") -> SparkSession:
