@@ -7,6 +7,8 @@ any particular imaging library.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import numpy as np
 
 # The quantisation tables printed in annex K of the JPEG standard.
@@ -54,6 +56,7 @@ FILTERS = {                                       # name: (support, weight funct
 }
 
 
+@lru_cache(maxsize=256)
 def _resample_matrix(old: int, new: int, method: str) -> np.ndarray:
     """Rows of weights; when shrinking the filter widens, so nothing is skipped."""
     support, weight = FILTERS[method]

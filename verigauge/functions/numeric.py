@@ -43,9 +43,9 @@ def ordinal_sql(name: str) -> str:
     size = f"least(abs({name}), {_LARGEST!r}D)"
     exponent = f"greatest(floor(log2({size})), -1022L)"
     mantissa = f"({size} * power(2.0D, -cast({exponent} AS double)) - 1.0D)"
-    code = f"(({exponent} + 1023L) * {2 ** 52}L + floor({mantissa} * {2 ** 52}.0D))"
-    return (f"CASE WHEN {size} = 0.0D THEN 0L WHEN {name} < 0.0D THEN -{code} "
-            f"ELSE {code} END")
+    # zero has no logarithm, so it takes the lowest exponent and comes out as 0
+    return (f"cast(sign({name}) AS bigint) * (({exponent} + 1023L) * {2 ** 52}L "
+            f"+ floor({mantissa} * {2 ** 52}.0D))")
 
 
 def grid_bin(c: Column, bins: int) -> Column:

@@ -15,8 +15,9 @@ SQUARENESS_GAP = 0.3
 # Edges of the edited-area bins, left closed.
 FRACTION_BINS = ((0.00, 0.02), (0.02, 0.05), (0.05, 0.10), (0.10, 0.20), (0.20, 0.40),
                  (0.40, 1.01))
-# what separates words: every character Python's str.split() treats as white space
-SPACES = r"[\s\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+# The characters Python's str.split() treats as white space.
+SPACES = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005"
+          "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 
 
 def geometry_audit(df: DataFrame, cls: str, width: str, height: str,
@@ -96,7 +97,8 @@ def manifest_profile(manifest: DataFrame, items: DataFrame, key: str,
 
 def term_counts(df: DataFrame, text: str, top: int = 30, min_length: int = 4) -> DataFrame:
     """The most frequent words of at least ``min_length`` letters; ties in alphabetical order."""
-    words = F.split(F.translate(F.lower(F.col(text)), ",", " "), SPACES)
+    breaks = "," + SPACES
+    words = F.split(F.translate(F.lower(F.col(text)), breaks, " " * len(breaks)), " ")
     return (df.select(F.explode(words).alias("term")).where(F.length("term") >= min_length)
             .groupBy("term").agg(F.count(F.lit(1)).alias("n"))
             .orderBy(F.col("n").desc(), "term").limit(top))

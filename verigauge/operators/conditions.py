@@ -228,9 +228,10 @@ def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int | str = 0
     Each row counts once in its view and once in the pooled set, so one ladder
     serves both.
     """
-    name = F.col(view).cast("string")
-    sets = F.array(F.struct(name.alias("subset"), F.lit(False).alias("pooled")),
-                   F.struct(F.lit("").alias("subset"), F.lit(True).alias("pooled")))
+    v = F.col(view)
+    sets = F.array(F.struct(F.lit(False).alias("pooled"), v.alias("subset")),
+                   F.struct(F.lit(True).alias("pooled"),
+                            F.lit(None).cast(df.schema[view].dataType).alias("subset")))
     both = df.select(F.col(score).alias("s"), F.col(truth).alias("y"), F.inline(sets))
     fold = score_ladder(both, ["pooled", "subset"]).groupBy("pooled", "subset").agg(
         auc_fold().alias("auc"), quantile_of("pos", 0.05).alias("at"),
@@ -238,7 +239,7 @@ def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int | str = 0
     one_view = F.when(~F.col("pooled"), F.col("auc"))
     whole = F.col("pooled")
     summary = fold.groupBy().agg(
-        F.max(F.when(F.col("subset") == str(clean_view), one_view)).alias("auc_clean"),
+        F.max(F.when(F.col("subset") == clean_view, one_view)).alias("auc_clean"),
         F.avg(one_view).alias("auc_mean"), F.min(one_view).alias("auc_worst"),
         F.max(F.when(whole, F.col("auc"))).alias("auc_pooled"),
         F.max(F.when(whole, F.col("at"))).alias("at"),

@@ -63,10 +63,10 @@ def ladder_from_counts(counts: DataFrame, keys: Sequence[str] = (),
     keys, extra = list(keys), list(extra)
     k = [f"`{c}`" for c in keys]
     keep = [*k, "score", *extra, "pos", "neg"]
-    code = ordinal_sql("score")
     top = ["struct(pos, neg) AS top"] if below else []
-    rows = counts.selectExpr(*keep, f"shiftright({code}, {PART_BITS}) AS part",
-                             f"shiftright({code}, {BUCKET_BITS}) AS bucket", *top)
+    rows = counts.selectExpr(*keep, f"{ordinal_sql('score')} AS code").selectExpr(
+        *keep, f"shiftright(code, {PART_BITS}) AS part",
+        f"shiftright(code, {BUCKET_BITS}) AS bucket", *top)
 
     # up, inside a part: every rung takes part
     lanes = [*k, "part"]

@@ -49,58 +49,59 @@ def shuffle_key(seed: int, ids: Sequence[str]) -> Column:
 Cuts = Callable[[DataFrame], DataFrame]
 
 
-def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str], cuts: Cuts,
-                seed: int = SAMPLE_SEED) -> DataFrame:
+def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
+                cuts: Sequence[Column] | Cuts, seed: int = SAMPLE_SEED) -> DataFrame:
     """Adds ``part``: in shuffled order, how many of a group's cuts lie at or before the row.
 
-    ``cuts`` maps the group totals (keys, total) to (keys, cuts array<bigint>) with
-    ascending positions: with cuts [a, b] the first a rows of the group are part 0,
-    those up to b part 1 and the rest part 2.
+    With cuts [a, b] the first a rows of a group are part 0, those up to b part 1
+    and the rest part 2. ``cuts`` are expressions over the group's ``total``, or a
+    function from the group totals (keys, total) to (keys, cut) if one group's cut
+    depends on other groups.
     """
     keys, ids = list(keys), list(ids)
     hashed = df.withColumn("_h", shuffle_key(seed, ids)).withColumn(
         "_b", F.shiftright(F.col("_h"), 48))
-    hist = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*keys).orderBy("_b").rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    hist = hist.select(*keys, "_b", "_n", (F.sum("_n").over(before) - F.col("_n")).alias("_at"))
-    totals = hist.groupBy(*keys).agg(F.sum("_n").alias("total"))
-    wanted = cuts(totals).select(*keys, "cuts")
-    # per group: for each cut the bucket it falls into and the rows before that bucket
-    inside = F.transform(F.col("cuts"), lambda c: F.when(
-        (c > F.col("_at")) & (c < F.col("_at") + F.col("_n")),
-        F.struct(c.alias("cut"), F.col("_b").alias("b"), F.col("_at").alias("at"))))
-    passed = F.transform(F.col("cuts"), lambda c: F.when(
-        c <= F.col("_at"), F.col("_b")))           # first bucket wholly after the cut
-    marks = attach_per_key(hist, wanted, keys).select(
-        *keys, F.posexplode(F.arrays_zip(inside.alias("inside"), passed.alias("passed"))))
-    marks = marks.groupBy(*keys, "pos").agg(
-        F.first("col.inside", ignorenulls=True).alias("inside"),
-        F.min("col.passed").alias("passed"))
-    marks = marks.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("pos", "inside", "passed"))).alias("_marks"))
-    marked = attach_per_key(hashed, marks, keys)
-    b = F.col("_b")
-    sure = F.aggregate("_marks", F.lit(0), lambda acc, m: acc + F.coalesce(
-        (b >= m["passed"]).cast("int"), F.lit(0)))
-    open_marks = F.filter("_marks", lambda m: m["inside"]["b"] == b)
-    marked = marked.withColumn("_sure", sure).withColumn("_open", open_marks)
-    plain = marked.where(F.size("_open") == 0).select(*df.columns, F.col("_sure").alias("part"))
-    in_bucket = Window.partitionBy(*keys, "_b").orderBy("_h", *ids)
-    ranked = marked.where(F.size("_open") > 0).withColumn(
-        "_row", F.row_number().over(in_bucket) - 1)
-    more = F.aggregate("_open", F.lit(0), lambda acc, m: acc + (
-        F.col("_row") + m["inside"]["at"] >= m["inside"]["cut"]).cast("int"))
-    ranked = ranked.select(*df.columns, (F.col("_sure") + more).alias("part"))
+    group = Window.partitionBy(*keys)
+    before = group.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    hist = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
+        *keys, "_b", "_n", (F.sum("_n").over(before) - F.col("_n")).alias("_at"),
+        F.sum("_n").over(group).alias("total"))
+    if callable(cuts):
+        totals = hist.groupBy(*keys).agg(F.first("total").alias("total"))
+        hist = attach_per_key(hist, cuts(totals).select(*keys, "cut"), keys)
+        cuts = [F.col("cut")]
+    # per cut: the bucket it falls into with the rows before it, and the first bucket after it
+    marks = []
+    for i, c in enumerate(cuts):
+        c = c.cast("bigint")
+        inside = (c > F.col("_at")) & (c < F.col("_at") + F.col("_n"))
+        marks += [
+            F.max(F.when(inside, F.col("_b"))).alias(f"_in{i}"),
+            F.max(F.when(inside, c - F.col("_at"))).alias(f"_rows{i}"),
+            F.min(F.when(c <= F.col("_at"), F.col("_b"))).alias(f"_after{i}")]
+    marked = attach_per_key(hashed, hist.groupBy(*keys).agg(*marks), keys)
+    b, n = F.col("_b"), range(len(cuts))
+    passed, inside = F.lit(0), F.lit(False)
+    for i in n:
+        passed = passed + F.coalesce((b >= F.col(f"_after{i}")).cast("int"), F.lit(0))
+        inside = inside | F.coalesce(b == F.col(f"_in{i}"), F.lit(False))
+    marked = marked.withColumn("_passed", passed)
+    plain = marked.where(~inside).select(*df.columns, F.col("_passed").alias("part"))
+    row = F.row_number().over(Window.partitionBy(*keys, "_b").orderBy("_h", *ids)) - 1
+    part = F.col("_passed")
+    for i in n:
+        part = part + F.coalesce(
+            ((b == F.col(f"_in{i}")) & (F.col("_row") >= F.col(f"_rows{i}"))).cast("int"),
+            F.lit(0))
+    ranked = marked.where(inside).withColumn("_row", row).select(
+        *df.columns, part.alias("part"))
     return plain.unionByName(ranked)
 
 
 def take_per_group(df: DataFrame, keys: Sequence[str], ids: Sequence[str], cap: int,
                    seed: int = SAMPLE_SEED) -> DataFrame:
     """A random draw of at most ``cap`` rows per group, the same on every run."""
-    def cuts(totals: DataFrame) -> DataFrame:
-        return totals.withColumn("cuts", F.array(F.lit(cap).cast("bigint")))
-    return cut_by_hash(df, keys, ids, cuts, seed).where("part = 0").drop("part")
+    return cut_by_hash(df, keys, ids, [F.lit(cap)], seed).where("part = 0").drop("part")
 
 
 def balanced_sample(df: DataFrame, n: int, ids: Sequence[str], label: str = "y",
@@ -110,7 +111,7 @@ def balanced_sample(df: DataFrame, n: int, ids: Sequence[str], label: str = "y",
         both = Window.partitionBy(F.lit(1))       # one row per class
         smaller = F.when(F.count(F.lit(1)).over(both) == 2, F.min("total").over(both))
         half = F.greatest(F.lit(1), F.least(F.lit(n // 2), F.coalesce(smaller, F.lit(n))))
-        return totals.withColumn("cuts", F.array(half.cast("bigint")))
+        return totals.withColumn("cut", half)
     labelled = df.where(F.col(label).isin(0, 1))
     return cut_by_hash(labelled, [label], ids, cuts, seed).where("part = 0").drop("part")
 
@@ -145,7 +146,7 @@ def cap_groups(df: DataFrame, cap: int, ids: Sequence[str], group: str = "grp",
         budget = F.lit(negatives) if negatives is not None else F.sum(keep).over(every)
         quota = F.when(F.col("_grp").isNotNull(), F.lit(cap)).otherwise(
             F.coalesce(budget, F.lit(0)))
-        return totals.withColumn("cuts", F.array(quota.cast("bigint")))
+        return totals.withColumn("cut", quota)
     tagged = df.where(F.col(label).isin(0, 1)).withColumn(
         "_grp", F.when(F.col(label) == 1, F.coalesce(F.col(group).cast("string"),
                                                      F.lit("unknown"))))
@@ -155,12 +156,9 @@ def cap_groups(df: DataFrame, cap: int, ids: Sequence[str], group: str = "grp",
 def split_groups(df: DataFrame, keys: Sequence[str], ids: Sequence[str], val: float,
                  test: float = 0.0, seed: int = SAMPLE_SEED) -> DataFrame:
     """Adds ``split``: per group round(n * test) test rows, round(n * val) val, the rest train."""
-    def cuts(totals: DataFrame) -> DataFrame:
-        n = F.col("total").cast("double")
-        a = F.rint(n * test).cast("bigint")
-        b = F.rint(n * val).cast("bigint")
-        return totals.withColumn("cuts", F.array(a, a + b))
-    parts = cut_by_hash(df, keys, ids, cuts, seed)
+    n = F.col("total").cast("double")
+    a, b = F.rint(n * test), F.rint(n * val)
+    parts = cut_by_hash(df, keys, ids, [a, a + b], seed)
     name = F.when(F.col("part") == 0, "test").when(F.col("part") == 1, "val").otherwise("train")
     return parts.withColumn("split", name).drop("part")
 

@@ -194,8 +194,12 @@ def a28(spark, sf):
     return A.manifest_profile(listed.unionByName(absent), files, "id")
 
 
+SPACE_CLASS = (r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}"
+               r"\x{202f}\x{205f}\x{3000}]+")
+
+
 @query("a29_term_counts", f"""WITH w AS (SELECT unnest(regexp_split_to_array(
-    translate(lower(text), ',', ' '), '{A.SPACES}')) AS term FROM documents)
+    translate(lower(text), ',', ' '), '{SPACE_CLASS}')) AS term FROM documents)
 SELECT term, count(*)::BIGINT AS n FROM w WHERE length(term) > 3 GROUP BY term
 ORDER BY n DESC, term LIMIT 30""")
 def a29(spark, sf):

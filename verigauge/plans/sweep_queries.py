@@ -140,8 +140,7 @@ SELECT round((SELECT auc FROM pv WHERE view_id = 'clean0'), 6) AS auc_clean,
     round((SELECT avg(CASE WHEN s >= t THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM v, q
     WHERE y = 0), 6) AS fpr95_pooled""")
 def a34(spark, sf):
-    views = X.scored_grid(spark, sf).withColumn("view_id", F.concat("key", "severity"))
-    return r6(D.view_metrics(views, clean_view="clean0"))
+    return r6(D.view_metrics(X.scored_grid(spark, sf), "cell"))
 
 
 # a document of fewer than 50 characters cannot be scored, and none under "crop"
