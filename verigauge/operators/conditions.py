@@ -100,7 +100,8 @@ def condition_metrics(df: DataFrame, threshold: float, keys: Sequence[str] = CEL
         F.sum(F.col("score") * F.col("neg")).alias("sum_real"),
         quantile_of("pos", 1.0 - tpr).alias("at"))
     tp, fp, pos, neg = (F.col(c) for c in ("tp", "fp", "n_ai", "n_real"))
-    out = counts_at(df, fold, [F.col("at")], keys, score, truth).select(
+    # the cells of a known grid are few; other keys may be many
+    out = counts_at(df, fold, [F.col("at")], keys, score, truth, conditions is not None).select(
         *keys, "n_ai", "n_real", "auroc", "ap",
         ratio(tp + neg - fp, pos + neg).alias("acc"),
         ratio(tp, pos).alias("tpr"), ratio(fp, neg).alias("fpr"),

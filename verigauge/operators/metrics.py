@@ -6,10 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from verigauge.functions.numeric import grid_bin, nan_to_null, ratio
-from verigauge.operators.ladder import score_counts, score_ladder
+from verigauge.operators.ladder import score_ladder
 
 METRIC_COLUMNS = (
     "n", "n_real", "n_ai", "threshold", "accuracy", "balanced_accuracy", "precision",
@@ -153,32 +152,33 @@ def threshold_sweep(df: DataFrame, points: int = 101, keys: Sequence[str] = (),
                     score: str = "s", truth: str = "y") -> DataFrame:
     """Accuracy, F1 and FPR at ``points`` even thresholds over [0, 1].
 
-    Every row falls between two grid points, so counting per grid cell is enough;
-    the running sums then go over ``points`` + 1 rows per key, not over scores.
+    Every row falls between two grid points, so counting rows per grid cell is
+    enough: one small aggregate and no ordering of scores.
     """
     steps = points - 1
-    s = F.col("score")
-    cell = F.when(s < 0, -1).otherwise(grid_bin(s, steps))
-    cells = (score_counts(df, keys, score, truth).groupBy(*keys, cell.alias("cell"))
-             .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    # one zero row per grid point, so that empty cells show up as well
-    grid = (cells.select(*keys).distinct()
-            .select(*keys, F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("cell"))
-            .select("*", F.lit(0).cast("bigint").alias("pos"), F.lit(0).cast("bigint").alias("neg")))
-    full = (cells.unionByName(grid).groupBy(*keys, "cell")
-            .agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")))
-    whole = Window.partitionBy(*keys)
-    down = whole.orderBy(F.col("cell").desc()).rowsBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    full = full.select(
-        *keys, "cell", F.sum("pos").over(down).alias("tp"), F.sum("neg").over(down).alias("fp"),
-        F.sum("pos").over(whole).alias("n_ai"), F.sum("neg").over(whole).alias("n_real"))
+    s, y = nan_to_null(F.col(score)), F.col(truth).cast("int")
+    cell = F.when(F.col("s") < 0, -1).otherwise(grid_bin(F.col("s"), steps))
+    cells = (
+        df.select(*keys, s.alias("s"), y.alias("y"))
+        .where(F.col("s").isNotNull() & F.col("y").isNotNull())
+        .groupBy(*keys, cell.alias("cell"))
+        .agg(F.count(F.when(F.col("y") == 1, 1)).alias("pos"),
+             F.count(F.when(F.col("y") == 0, 1)).alias("neg")))
+    # at most points + 1 cells per key, so they fit into one array
+    per_key = cells.groupBy(*keys).agg(
+        F.collect_list(F.struct("cell", "pos", "neg")).alias("cells"),
+        F.sum("pos").alias("n_ai"), F.sum("neg").alias("n_real")).where("n_ai IS NOT NULL")
+    rows = per_key.select("*", F.explode(F.sequence(F.lit(0), F.lit(steps))).alias("i"))
+
+    def at_or_above(side: str) -> Column:
+        return F.aggregate("cells", F.lit(0).cast("bigint"), lambda acc, c: acc + F.when(
+            c["cell"] >= F.col("i"), c[side]).otherwise(F.lit(0)))
+    rows = rows.withColumn("tp", at_or_above("pos")).withColumn("fp", at_or_above("neg"))
     rates = rate_columns()
-    at = F.when(F.col("cell") == steps, F.lit(1.0)).otherwise(
-        F.col("cell").cast("double") * F.lit(1.0 / steps))
-    return full.where(F.col("cell") >= 0).select(
-        *keys, at.alias("threshold"),
-        *[rates[k].alias(k) for k in ("accuracy", "f1", "fpr")])
+    at = F.when(F.col("i") == steps, F.lit(1.0)).otherwise(
+        F.col("i").cast("double") * F.lit(1.0 / steps))
+    return rows.select(*keys, at.alias("threshold"),
+                       *[rates[k].alias(k) for k in ("accuracy", "f1", "fpr")])
 
 
 def score_histogram(df: DataFrame, bins: int = 30, keys: Sequence[str] = (),

@@ -50,13 +50,15 @@ Cuts = Callable[[DataFrame], DataFrame]
 
 
 def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
-                cuts: Sequence[Column] | Cuts, seed: int = SAMPLE_SEED) -> DataFrame:
+                cuts: Sequence[Column] | Cuts, seed: int = SAMPLE_SEED,
+                few: bool = False) -> DataFrame:
     """Adds ``part``: in shuffled order, how many of a group's cuts lie at or before the row.
 
     With cuts [a, b] the first a rows of a group are part 0, those up to b part 1
     and the rest part 2. ``cuts`` are expressions over the group's ``total``, or a
     function from the group totals (keys, total) to (keys, cut) if one group's cut
-    depends on other groups.
+    depends on other groups. ``few`` says that the groups are a closed list, so that
+    their cuts are broadcast and the rows stay where they are.
     """
     keys, ids = list(keys), list(ids)
     hashed = df.withColumn("_h", shuffle_key(seed, ids)).withColumn(
@@ -68,7 +70,7 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
         F.sum("_n").over(group).alias("total"))
     if callable(cuts):
         totals = hist.groupBy(*keys).agg(F.first("total").alias("total"))
-        hist = attach_per_key(hist, cuts(totals).select(*keys, "cut"), keys)
+        hist = attach_per_key(hist, cuts(totals).select(*keys, "cut"), keys, few=few)
         cuts = [F.col("cut")]
     # per cut: the bucket it falls into with the rows before it, and the first bucket after it
     marks = []
@@ -79,7 +81,7 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
             F.max(F.when(inside, F.col("_b"))).alias(f"_in{i}"),
             F.max(F.when(inside, c - F.col("_at"))).alias(f"_rows{i}"),
             F.min(F.when(c <= F.col("_at"), F.col("_b"))).alias(f"_after{i}")]
-    marked = attach_per_key(hashed, hist.groupBy(*keys).agg(*marks), keys)
+    marked = attach_per_key(hashed, hist.groupBy(*keys).agg(*marks), keys, few=few)
     b, n = F.col("_b"), range(len(cuts))
     passed, inside = F.lit(0), F.lit(False)
     for i in n:
@@ -99,9 +101,9 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
 
 
 def take_per_group(df: DataFrame, keys: Sequence[str], ids: Sequence[str], cap: int,
-                   seed: int = SAMPLE_SEED) -> DataFrame:
+                   seed: int = SAMPLE_SEED, few: bool = False) -> DataFrame:
     """A random draw of at most ``cap`` rows per group, the same on every run."""
-    return cut_by_hash(df, keys, ids, [F.lit(cap)], seed).where("part = 0").drop("part")
+    return cut_by_hash(df, keys, ids, [F.lit(cap)], seed, few).where("part = 0").drop("part")
 
 
 def balanced_sample(df: DataFrame, n: int, ids: Sequence[str], label: str = "y",
@@ -113,7 +115,7 @@ def balanced_sample(df: DataFrame, n: int, ids: Sequence[str], label: str = "y",
         half = F.greatest(F.lit(1), F.least(F.lit(n // 2), F.coalesce(smaller, F.lit(n))))
         return totals.withColumn("cut", half)
     labelled = df.where(F.col(label).isin(0, 1))
-    return cut_by_hash(labelled, [label], ids, cuts, seed).where("part = 0").drop("part")
+    return cut_by_hash(labelled, [label], ids, cuts, seed, few=True).where("part = 0").drop("part")
 
 
 def offset_and_cap(df: DataFrame, keys: Sequence[str], order: str, offset: int, cap: int,
@@ -154,11 +156,11 @@ def cap_groups(df: DataFrame, cap: int, ids: Sequence[str], group: str = "grp",
 
 
 def split_groups(df: DataFrame, keys: Sequence[str], ids: Sequence[str], val: float,
-                 test: float = 0.0, seed: int = SAMPLE_SEED) -> DataFrame:
+                 test: float = 0.0, seed: int = SAMPLE_SEED, few: bool = False) -> DataFrame:
     """Adds ``split``: per group round(n * test) test rows, round(n * val) val, the rest train."""
     n = F.col("total").cast("double")
     a, b = F.rint(n * test), F.rint(n * val)
-    parts = cut_by_hash(df, keys, ids, [a, a + b], seed)
+    parts = cut_by_hash(df, keys, ids, [a, a + b], seed, few)
     name = F.when(F.col("part") == 0, "test").when(F.col("part") == 1, "val").otherwise("train")
     return parts.withColumn("split", name).drop("part")
 
@@ -166,9 +168,9 @@ def split_groups(df: DataFrame, keys: Sequence[str], ids: Sequence[str], val: fl
 def manifest_split(df: DataFrame, present: DataFrame, key: str, cap: int, val: float,
                    label: str = "y", seed: int = SAMPLE_SEED) -> DataFrame:
     """Cap per class, split off val, then drop rows whose file is missing, in that order."""
-    picked = take_per_group(df, [label], [key], cap, seed)
-    return split_groups(picked, [label], [key], val, 0.0, seed).join(
-        present.select(key), key, "left_semi")
+    picked = take_per_group(df.where(F.col(label).isin(0, 1)), [label], [key], cap, seed, True)
+    return split_groups(picked, [label], [key], val, 0.0, seed, True).join(
+        present.select(key).distinct(), key, "left_semi")
 
 
 def shuffled_first(df: DataFrame, n: int, ids: Sequence[str],
@@ -179,13 +181,13 @@ def shuffled_first(df: DataFrame, n: int, ids: Sequence[str],
 
 def not_done(df: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Rows whose id has not been handled yet."""
-    return df.join(done.select(key), key, "left_anti")
+    return df.join(done.select(key).distinct(), key, "left_anti")
 
 
 def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Distinct keys that occur on both sides."""
     return left.select(key).where(F.col(key).isNotNull()).distinct().join(
-        right.select(key), key, "left_semi")
+        right.select(key).distinct(), key, "left_semi")
 
 
 def require_disjoint(left: DataFrame, right: DataFrame, key: str, show: int = 10) -> None:

@@ -17,11 +17,13 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
 
 
 def attach_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str],
-                   how: str = "inner") -> DataFrame:
+                   how: str = "inner", few: bool = False) -> DataFrame:
     """Join a table with one row per key back on; NULL keys match each other.
 
-    Without keys the right side is one row. With keys its size is whatever the
-    number of keys is, so the join strategy is left to the optimizer.
+    Without keys the right side is one row. ``few`` says that the keys are a
+    closed list (classes, cells of a grid), so the right side can be broadcast and
+    the left side is not shuffled. Otherwise the strategy is left to the optimizer,
+    which also splits skewed keys.
     """
     keys = list(keys)
     if not keys:
@@ -29,4 +31,4 @@ def attach_per_key(df: DataFrame, per_key: DataFrame, keys: Sequence[str],
     right = per_key.select(*[F.col(k).alias(f"_k_{k}") for k in keys],
                            *[c for c in per_key.columns if c not in keys])
     cond = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
-    return df.join(right, cond, how).drop(*[f"_k_{k}" for k in keys])
+    return df.join(F.broadcast(right) if few else right, cond, how).drop(*[f"_k_{k}" for k in keys])

@@ -159,7 +159,8 @@ def scan_threshold(df: DataFrame, mode: str = "balanced", max_fpr: float = 0.01,
 
 
 def counts_at(df: DataFrame, per_key: DataFrame, thresholds: Sequence[Column],
-              keys: Sequence[str] = (), score: str = "s", truth: str = "y") -> DataFrame:
+              keys: Sequence[str] = (), score: str = "s", truth: str = "y",
+              few: bool = False) -> DataFrame:
     """Adds ``tps`` and ``fps``: rows of each class at or above thresholds known per key.
 
     ``thresholds`` are expressions over the columns of ``per_key``. This is a
@@ -168,7 +169,7 @@ def counts_at(df: DataFrame, per_key: DataFrame, thresholds: Sequence[Column],
     rows = df.select(*keys, nan_to_null(F.col(score)).alias("_s"),
                      F.col(truth).cast("int").alias("_y")).where(
         F.col("_s").isNotNull() & F.col("_y").isNotNull())
-    joined = attach_per_key(rows, per_key, keys)
+    joined = attach_per_key(rows, per_key, keys, few=few)
     others = [c for c in per_key.columns if c not in keys]
 
     def hits(y: int) -> Column:

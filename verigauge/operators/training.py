@@ -38,6 +38,17 @@ def fit_head(train: DataFrame, valid: DataFrame, rounds: int = 3, mode: str = "c
     Each round refits on the clean views and the views that the last head found
     hardest. The round with the best *worst-view* AUC on the validation rows is kept.
     """
+    # every round reads both tables several times; lost blocks are recomputed
+    train, valid = train.persist(), valid.persist()
+    try:
+        return _fit_rounds(train, valid, rounds, mode, views, reg, iterations, item, clean_view)
+    finally:
+        train.unpersist()
+        valid.unpersist()
+
+
+def _fit_rounds(train: DataFrame, valid: DataFrame, rounds: int, mode: str, views: int,
+                reg: float, iterations: int, item: str, clean_view: int) -> Fit:
     weight = train.where(F.col("view_id") == clean_view).agg(
         F.count(F.when(F.col("y") == 0, 1)).alias("neg"),
         F.count(F.when(F.col("y") == 1, 1)).alias("pos")).first()

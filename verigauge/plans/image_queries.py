@@ -109,11 +109,25 @@ def d5(spark, sf):
     return rows.select("item_id", F.col("s").cast("bigint").alias("red_sum"))
 
 
-@query("d8_random_views")
+@query("d8_random_views", """SELECT view_id::INTEGER AS view_id, count(*)::BIGINT AS n,
+    (CASE WHEN view_id = 0 THEN count(*) ELSE 0 END)::BIGINT AS always_clean,
+    count(*)::BIGINT AS at_most_three, count(*)::BIGINT AS in_range
+FROM embeddings, range(0, 6) v(view_id) GROUP BY view_id""")
 def d8(spark, sf):
     views = I.random_views(pictures(spark, sf).drop("pixels"), 6)
-    return views.groupBy("view_id", F.size("steps").alias("numbers")).agg(
-        F.count(F.lit(1)).alias("n"))
+    ops = F.array_distinct(F.transform(F.map_keys("steps"),
+                                       lambda k: F.substring_index(k, "_", 1)))
+    bounds = F.lit(True)
+    for op, (lo, hi) in I.TRAIN_RANGES.items():
+        for name in (["color_b", "color_c", "color_s"] if op == "color" else [op]):
+            bounds = bounds & F.coalesce(
+                F.try_element_at("steps", F.lit(name)).between(lo, hi), F.lit(True))
+    # only view 0 has to be clean; other views may be by chance
+    clean = (F.col("view_id") == 0) & (F.size("steps") == 0)
+    return views.groupBy("view_id").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(clean, 1)).alias("always_clean"),
+        F.count(F.when(F.size(ops) <= I.MAX_OPS, 1)).alias("at_most_three"),
+        F.count(F.when(bounds, 1)).alias("in_range"))
 
 
 @query("d10_geometry", """SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS inside,
