@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from verigauge.functions import labels as N
 from verigauge.operators import grids as G
 from verigauge.operators import images as I
+from verigauge.operators import jobs as JB
 from verigauge.operators import labelling as LB
 from verigauge.operators import metrics as M
 from verigauge.operators import results as R
@@ -203,3 +204,12 @@ def test_evaluate_tables(spark):
     out = flows.evaluate(X.condition_grid(items), 0.5, X.table_conditions(), 2.0, -1.0)
     assert {k: v.count() for k, v in out.items()} == {
         "conditions": 9, "families": 4, "drift": 9, "groups": 3, "calibration": 9}
+
+
+def test_job_groups(spark):
+    with JB.job_group(spark, "demo"):
+        spark.range(1000).selectExpr("sum(id)").collect()
+    done, total = JB.progress(spark, "demo")
+    assert 0 < done <= total
+    JB.cancel(spark, "demo")
+    assert JB.progress(spark, "nothing") == (0, 0)

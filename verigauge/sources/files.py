@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -92,11 +93,21 @@ def scan_classes(spark: SparkSession, root: str) -> DataFrame:
         .alias("grp"))
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path or glob matches anything; looks at that path only."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException as exc:
+        if "PATH_NOT_FOUND" in str(exc):
+            return False
+        raise
+
+
 def find_manifest(spark: SparkSession, root: str) -> str | None:
     """First recognised manifest in the root folder itself."""
-    names = F.col("rel_path").isin(*MANIFEST_NAMES)
-    here = {r.rel_path for r in list_files(spark, root).where(names).select("rel_path").collect()}
-    return next((f"{root.rstrip('/')}/{n}" for n in MANIFEST_NAMES if n in here), None)
+    paths = (f"{root.rstrip('/')}/{n}" for n in MANIFEST_NAMES)
+    return next((p for p in paths if _exists(spark, p)), None)
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -129,8 +140,7 @@ def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_tsv_shards(spark: SparkSession, folder: str, pattern: str = "photos.tsv*") -> DataFrame:
     """All shards of tab-separated metadata; none found is an error."""
-    shards = F.col("rel_path").rlike("^" + pattern.replace(".", r"\.").replace("*", ".*") + "$")
-    if not list_files(spark, folder).where(shards).take(1):
+    if not _exists(spark, f"{folder.rstrip('/')}/{pattern}"):
         raise FileNotFoundError(f"no {pattern} in {folder}")
     return (spark.read.option("header", True).option("sep", "\t").option("multiLine", False)
             .csv(f"{folder.rstrip('/')}/{pattern}"))
