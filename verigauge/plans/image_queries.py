@@ -19,8 +19,8 @@ SIDE = 8
 
 
 def spread(spark) -> int:
-    """The table is one small file; pictures are dealt out to this many tasks."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    """The table is one small file; pictures are dealt out to one task per core."""
+    return spark.sparkContext.defaultParallelism
 
 
 def pictures(spark, sf):
