@@ -34,3 +34,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op10(spark, sf_dir):
     from verigauge.llm.near_copies import near_copy_classes
     return near_copy_classes(table(spark, sf_dir, "documents"))
+
+
+@query("op3_repeats")
+def op3(spark, sf_dir):
+    from verigauge.llm.repeats import remove_repeats
+    return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
