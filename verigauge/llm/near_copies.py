@@ -16,6 +16,7 @@ With a similarity of 0.8 a pair shares a band with probability above 0.9999 (20
 from __future__ import annotations
 
 import bisect
+from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -32,9 +33,11 @@ SIMILARITY = 0.8
 BANDS = 20
 SKETCHES = 2 * BANDS
 #: Buckets up to this size compare all their texts; larger ones go by rounds around one text.
-SMALL_BUCKET = 24
+SMALL_BUCKET = 8
+#: Texts on either side of a block of a crowded bucket.
+BLOCK = 512
 #: Of 40 sketches a pair of similarity 0.8 shares 27 on average, with a deviation of 3.
-LEAST_SHARED = 14
+LEAST_SHARED = 17
 
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = W.mix(_SEEDS) | np.uint64(1)
@@ -178,7 +181,7 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     Two texts of one bucket end up connected if any chain of similar texts within buckets joins them,
     as if all pairs of all buckets were compared. Small buckets compare all pairs. A large bucket first
     links its texts with its smallest one; then only texts outside the largest part so found are compared
-    with the others. No bucket is cut and none is collected.
+    with the others, in blocks, until all that belong together are. No bucket is cut and none is collected.
     """
     sketches = kept(texts.mapInArrow(_sketch_batches, "node binary, shingles long, bands array<long>, "
                                                       "l0 long, l1 long, l2 long"))
@@ -192,16 +195,76 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     links = kept(_verified(pairs, texts, threshold))
     if large.isEmpty():
         return links.select("a", "b")
-    parts = kept(components(links))
-    named = (large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node")))
+    parts = components(links)
+    named = large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
+    named = kept(named.select("band", "key", "node", "part"))
     counts = named.groupBy("band", "key", "part").agg(F.count("*").alias("m"))
     most = counts.groupBy("band", "key").agg(F.max_by("part", F.struct("m", "part")).alias("main"),
                                              F.count("*").alias("n_parts")).where("n_parts > 1")
-    open_rows = kept(named.join(most, ["band", "key"]))
-    rest = open_rows.where(F.col("part") != F.col("main"))
-    more = _pairs(rest, open_rows, F.col("x.part") != F.col("y.part"), threshold)
-    more = kept(more.join(pairs, ["a", "b"], "left_anti"))
-    return links.select("a", "b").unionByName(_verified(more, texts, threshold).select("a", "b"))
+    members = kept(named.join(most.select("band", "key", "main"), ["band", "key"])
+                   .groupBy("main", "node", "part").agg(F.first(F.col("part") != F.col("main")).alias("apart")))
+    return links.select("a", "b").unionByName(_across(members, texts, threshold))
+
+
+def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """Links between texts outside the main part of their crowded buckets and all other texts there, in blocks."""
+    sizes = members.groupBy("main").agg(F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).alias("ni"),
+                                        F.ceil(F.count("*") / BLOCK).alias("nj"))
+    placed = members.join(sizes, "main").select(
+        "*", F.pmod(F.xxhash64("node"), F.col("ni")).alias("mi"), F.pmod(F.xxhash64("node", "part"), F.col("nj")).alias("mj"))
+    rows = (placed.where("apart").select("main", "node", "part", F.col("mi").alias("i"),
+                                         F.explode(F.sequence(F.lit(0).cast("long"), F.col("nj") - 1)).alias("j"), F.lit(True).alias("query"))
+            .unionByName(placed.select("main", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
+                                       F.col("mj").alias("j"), F.lit(False).alias("query"))))
+    return (rows.join(texts, "node").groupBy("main", "i", "j")
+            .applyInPandas(partial(_compare_block, threshold), "a binary, b binary"))
+
+
+def _compare_block(threshold: float, block: pd.DataFrame) -> pd.DataFrame:
+    """Links that join parts not yet joined, among the queries and the other texts of a block.
+
+    Shared shingles are counted by matrix products; they bound the aligned similarity, so only pairs
+    that reach the threshold so far and are still apart get aligned.
+    """
+    block = block.sort_values("query", ascending=False, kind="stable")
+    labelled = []
+    for _, _, data, offsets in W.slices(W.strings(pa.array(block["text"], pa.large_string()), lower=True)):
+        _, x, at = _labelled(data, offsets)
+        labelled += np.split(x, at[1:-1])
+    q = int(block["query"].sum())
+    size = np.array([len(x) for x in labelled])
+    owner = np.repeat(np.arange(len(size)), size)
+    _, shingle = np.unique(np.concatenate(labelled), return_inverse=True)
+    left = np.bincount(shingle[owner < q], minlength=shingle.max(initial=0) + 1) > 0
+    right = np.bincount(shingle[owner >= q], minlength=len(left)) > 0
+    new = np.cumsum(left & right) - 1
+    use = (left & right)[shingle]
+    shingle, owner = new[shingle[use]], owner[use]
+    both = np.zeros((q, len(size) - q), np.float32)
+    for c in range(0, int(shingle.max(initial=-1)) + 1, 4096):
+        m = np.zeros((len(size), 4096), np.float32)
+        mine = (shingle >= c) & (shingle < c + 4096)
+        m[owner[mine], shingle[mine] - c] = 1
+        both += m[:q] @ m[q:].T
+    score = both / (size[:q, None] + size[None, q:] - both)
+    i, j = np.nonzero(score >= threshold - 1e-6)
+    order = np.argsort(-score[i, j], kind="stable")
+    parent: dict = {}
+
+    def root(x):
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    node, part = block["node"].tolist(), block["part"].tolist()
+    found = []
+    for a, b in zip(i[order].tolist(), (j[order] + q).tolist(), strict=True):
+        x, y = root(part[a]), root(part[b])
+        if x != y and similarity(labelled[a], labelled[b], threshold) >= threshold:
+            parent[x] = y
+            found.append((node[a], node[b]))
+    return pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found]})
 
 
 def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
