@@ -40,3 +40,20 @@ def op10(spark, sf_dir):
 def op3(spark, sf_dir):
     from verigauge.llm.repeats import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op8_toxicity")
+def op8(spark, sf_dir):
+    from verigauge.llm.toxicity import toxicity
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op2_benchmark_tiles")
+def op2(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verigauge.llm.tiles import contamination
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"),
+        F.array_max("matches.coverage").alias("best_coverage"), F.col("matches.item_id").alias("item_ids"))
