@@ -292,3 +292,29 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return (placed.join(heads, "class")
             .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
             .unionByName(alone))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = SIMILARITY) -> DataFrame:
+    """One row of each class of :func:`near_copy_classes`, all columns: the one with the smallest id.
+
+    Of rows that share that id within the class one stays, the one whose columns have the smallest hash. Rows
+    without words all stay, each being a class by itself.
+    """
+    names = docs.columns
+    marked = docs.withColumn("_node", F.unhex(F.md5(F.col(text_col).cast("string"))))
+    wordy = F.col(text_col).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]")
+    slim = kept(marked.select(F.col(id_col).alias("_id"), F.when(wordy, F.col("_node")).alias("node"),
+                              F.xxhash64(*names).alias("_row")).where("node IS NOT NULL"))
+    texts = marked.where(wordy).select(F.col("_node").alias("node"), F.col(text_col).cast("string").alias("text"))
+    groups = components(text_links(texts.groupBy("node").agg(F.first("text").alias("text")), threshold))
+    heads = (slim.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("class"))
+             .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "node")).alias("head"))
+             .select(F.col("head._id").alias("_id"), F.col("head._row").alias("_row"), F.col("head.node").alias("_node")))
+    # a head that several equal rows share comes once
+    twice = slim.groupBy("node", "_id", "_row").agg(F.count("*").alias("n")).where("n > 1")
+    heads = kept(heads.join(twice.select(F.col("node").alias("_node"), F.lit(True).alias("_twice")).distinct(), "_node", "left"))
+    found = marked.withColumn("_row", F.xxhash64(*names)).join(heads.drop("_id"), ["_node", "_row"])
+    single = found.where("_twice IS NULL").select(*names)
+    again = found.where("_twice").dropDuplicates(["_node", "_row"]).select(*names)
+    rest = docs.where(~F.coalesce(wordy, F.lit(False)))
+    return single.unionByName(again).unionByName(rest)

@@ -57,3 +57,24 @@ def op2(spark, sf_dir):
     return found.select(
         "doc_id", (F.size("matches") > 0).alias("contaminated"), F.size("matches").cast("long").alias("n_items"),
         F.array_max("matches.coverage").alias("best_coverage"), F.col("matches.item_id").alias("item_ids"))
+
+
+@query("op7_mix")
+def op7(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verigauge.llm.mixing import mix
+    mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"),
+                        F.col("_target").alias("target"), (F.col("_size") * F.size("_shards")).alias("taken"))
+
+
+def public_tokenizer() -> str:
+    import public_tokenizers
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query("op4_token_files")
+def op4(spark, sf_dir):
+    from verigauge.llm.token_files import read_ids, write_ids
+    return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizer()))
