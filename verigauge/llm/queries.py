@@ -78,3 +78,9 @@ def public_tokenizer() -> str:
 def op4(spark, sf_dir):
     from verigauge.llm.token_files import read_ids, write_ids
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizer()))
+
+
+@query("op1_vector_copies")
+def op1(spark, sf_dir):
+    from verigauge.llm.vectors import vector_classes
+    return vector_classes(table(spark, sf_dir, "embeddings"))
