@@ -84,3 +84,9 @@ def op4(spark, sf_dir):
 def op1(spark, sf_dir):
     from verigauge.llm.vectors import vector_classes
     return vector_classes(table(spark, sf_dir, "embeddings"))
+
+
+@query("op6_language_model")
+def op6(spark, sf_dir):
+    from verigauge.llm.language_model import score_texts
+    return score_texts(table(spark, sf_dir, "documents"))
