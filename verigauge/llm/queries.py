@@ -90,3 +90,22 @@ def op1(spark, sf_dir):
 def op6(spark, sf_dir):
     from verigauge.llm.language_model import score_texts
     return score_texts(table(spark, sf_dir, "documents"))
+
+
+@query("op5_warc")
+def op5(spark, sf_dir):
+    from pyspark.sql import functions as F
+
+    from verigauge.llm.warc import read_warc, write_warc
+    folder, _ = write_warc(table(spark, sf_dir, "pages"))
+    records = read_warc(spark, folder).where(F.col("record_type").isin("response", "revisit"))
+    return records.select(
+        F.col("row_id").alias("page_id"),
+        F.coalesce(F.octet_length("payload").cast("long"), F.col("payload_length")).alias("payload_bytes"),
+        F.regexp_replace("payload_digest", "^sha1:", "").alias("payload_digest"), "record_type", F.col("refers_to_row").alias("refers_to"))
+
+
+@query("op9_secrets")
+def op9(spark, sf_dir):
+    from verigauge.llm.secret_scan import digests, find_secrets
+    return digests(find_secrets(table(spark, sf_dir, "documents")))
