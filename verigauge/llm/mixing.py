@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verigauge.llm.store import unused
+
 #: Fixed values of the contract: weights of the sources in turn, words to take in all, passes at most.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -113,47 +115,53 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``_size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). Sources in code point order, null last,
     take ``weights`` in turn and share ``share`` times all words; no row is drawn more than ``passes`` times
     (rounded up). A row of no words is drawn with its block. Equal rows share a block and are separate rows of the mix; ids may be null.
-    The same table and seed give the same mix. An empty table gives no rows. Other columns pass through.
+    The same table and seed give the same mix. An empty table gives no rows. Other columns pass through; a table that has
+    one of the five new columns is refused.
     """
     spark = docs.sparkSession
-    sources = docs.groupBy(F.col(source_col).alias("source")).agg(F.lit(1)).count()
-    n_blocks = max(1, min(BLOCKS, PLAN_ROWS // max(1, sources)))
-    spot = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    sized = docs.withColumns({"_size": words_in(F.col(text_col)), "_spot": spot}).withColumn(
-        "_block", F.pmod(F.col("_spot"), F.lit(n_blocks)).cast("int"))
-    sums = (sized.groupBy(F.col(source_col).alias("source"), F.col("_block").alias("block"))
-            .agg(F.sum("_size").alias("words")).collect())
+    size, spot, block, k, shards_of = unused(docs, "_size", "_spot", "_block", "_k", "_shards")
+    if [size, spot, shards_of] != ["_size", "_spot", "_shards"] or {"_source_size", "_target"} & set(docs.columns):
+        raise ValueError("the table already has columns of a mix: " + ", ".join(docs.columns))
+    name, all_, some, part = unused(docs, "_name", "_all", "_some", "_part")
+    n_sources = docs.select(F.col(source_col).alias("source")).distinct().count()
+    n_blocks = max(1, min(BLOCKS, PLAN_ROWS // max(1, n_sources)))
+    where = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
+    sized = docs.withColumns({size: words_in(F.col(text_col)), spot: where}).withColumn(
+        block, F.pmod(F.col(spot), F.lit(n_blocks)).cast("int"))
+    sums = (sized.groupBy(F.col(source_col).cast("string").alias("source"), F.col(block).alias("block"))
+            .agg(F.sum(size).alias("words")).collect())
     totals, rows = _plan(sums, weights, share, passes, shards, seed)
-    where = spark.createDataFrame(pa.table({
-        "_name": pa.array([t[0] for t in totals], pa.string()), "_k": pa.array(range(len(totals)), pa.int32()),
+    targets = spark.createDataFrame(pa.table({
+        name: pa.array([t[0] for t in totals], pa.string()), k: pa.array(range(len(totals)), pa.int32()),
         "_source_size": pa.array([t[1] for t in totals], pa.int64()), "_target": pa.array([t[2] for t in totals], pa.float64())}))
     by_block: dict = {}
-    for k, b, shard, part in rows:
-        held = by_block.setdefault((k, b), [[], None, -1])
-        if part < 0:
+    for n, b, shard, words in rows:
+        held = by_block.setdefault((n, b), [[], None, -1])
+        if words < 0:
             held[0].append(shard)
         else:
-            held[1], held[2] = shard, part
+            held[1:] = [shard, words]
     keys = sorted(by_block)
     plan = spark.createDataFrame(pa.table({
-        "_k": pa.array([k for k, _ in keys], pa.int32()), "_block": pa.array([b for _, b in keys], pa.int32()),
-        "_all": pa.array([by_block[k][0] for k in keys], pa.list_(pa.int32())),
-        "_some": pa.array([by_block[k][1] for k in keys], pa.int32()), "_part": pa.array([by_block[k][2] for k in keys], pa.int64())}))
+        k: pa.array([n for n, _ in keys], pa.int32()), block: pa.array([b for _, b in keys], pa.int32()),
+        all_: pa.array([by_block[x][0] for x in keys], pa.list_(pa.int32())),
+        some: pa.array([by_block[x][1] for x in keys], pa.int32()), part: pa.array([by_block[x][2] for x in keys], pa.int64())}))
     # both tables have at most PLAN_ROWS rows or one row per source
-    near = (sized.join(where, F.col(source_col).eqNullSafe(F.col("_name")))
-            .join(plan, ["_k", "_block"], "left")
-            .withColumn("_all", F.coalesce("_all", F.array().cast("array<int>"))))
-    whole, cut = near.where("_some IS NULL"), near.where("_some IS NOT NULL")
-    before = F.sum("_size").over(Window.partitionBy("_k").orderBy(F.xxhash64("_spot"), "_spot", "_size")
-                                 .rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn("_all", F.when(F.coalesce(before, F.lit(0)) + F.col("_size") / 2 <= F.col("_part"),
-                                        F.concat("_all", F.array("_some"))).otherwise(F.col("_all")))
-    names = [*docs.columns, "_size", "_source_size", "_target", F.col("_all").alias("_shards"), "_spot"]
+    near = (sized.join(targets, F.col(source_col).cast("string").eqNullSafe(F.col(name)))
+            .join(plan, [k, block], "left")
+            .withColumn(all_, F.coalesce(all_, F.array().cast("array<int>"))))
+    whole, cut = near.where(F.col(some).isNull()), near.where(F.col(some).isNotNull())
+    before = F.sum(size).over(Window.partitionBy(k).orderBy(F.xxhash64(spot), spot, size)
+                              .rowsBetween(Window.unboundedPreceding, -1))
+    cut = cut.withColumn(all_, F.when(F.coalesce(before, F.lit(0)) + F.col(size) / 2 <= F.col(part),
+                                      F.concat(all_, F.array(some))).otherwise(F.col(all_)))
+    names = [*[F.col(f"`{c}`") for c in docs.columns], F.col(size), "_source_size", "_target", F.col(all_).alias(shards_of), F.col(spot)]
     return whole.select(names).unionByName(cut.select(names))
 
 
 def shuffled(mixed: DataFrame, columns: list[str], shards: int = SHARDS) -> DataFrame:
     """The rows of a mix, one per draw: every shard together, in random order inside."""
-    drawn = mixed.select(*columns, "_spot", F.posexplode("_shards").alias("_turn", "_shard"))
-    return (drawn.repartition(shards, "_shard").sortWithinPartitions("_shard", F.xxhash64("_spot", "_shard", "_turn"))
-            .select(*columns))
+    spot, turn, shard = "_spot", *unused(mixed, "_turn", "_shard")
+    names = [F.col(f"`{c}`") for c in columns]
+    drawn = mixed.select(*names, spot, F.posexplode("_shards").alias(turn, shard))
+    return drawn.repartition(shards, shard).sortWithinPartitions(shard, F.xxhash64(spot, shard, turn)).select(*names)

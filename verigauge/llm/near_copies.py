@@ -16,7 +16,6 @@ With a similarity of 0.8 a pair shares a band with probability above 0.9999 (20
 from __future__ import annotations
 
 import bisect
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -26,7 +25,7 @@ from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
 from verigauge.llm.graphs import components
-from verigauge.llm.store import kept
+from verigauge.llm.store import kept, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -217,10 +216,10 @@ def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
             .unionByName(placed.select("main", "node", "part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ni") - 1)).alias("i"),
                                        F.col("mj").alias("j"), F.lit(False).alias("query"))))
     return (rows.join(texts, "node").groupBy("main", "i", "j")
-            .applyInPandas(partial(_compare_block, threshold), "a binary, b binary"))
+            .applyInPandas(lambda block: _compare_block(block, threshold), "a binary, b binary"))
 
 
-def _compare_block(threshold: float, block: pd.DataFrame) -> pd.DataFrame:
+def _compare_block(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """Links that join parts not yet joined, among the queries and the other texts of a block.
 
     Shared shingles are counted by matrix products; they bound the aligned similarity, so only pairs
@@ -300,21 +299,21 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Of rows that share that id within the class one stays, the one whose columns have the smallest hash. Rows
     without words all stay, each being a class by itself.
     """
-    names = docs.columns
-    marked = docs.withColumn("_node", F.unhex(F.md5(F.col(text_col).cast("string"))))
+    node, row, twice = unused(docs, "node", "row", "twice")
+    names = [F.col(f"`{c}`") for c in docs.columns]
     wordy = F.col(text_col).rlike("[A-Za-z0-9\\x{80}-\\x{10FFFF}]")
-    slim = kept(marked.select(F.col(id_col).alias("_id"), F.when(wordy, F.col("_node")).alias("node"),
-                              F.xxhash64(*names).alias("_row")).where("node IS NOT NULL"))
-    texts = marked.where(wordy).select(F.col("_node").alias("node"), F.col(text_col).cast("string").alias("text"))
+    text = F.col(text_col).cast("string")
+    slim = kept(docs.where(wordy).select(F.col(id_col).alias("id"), F.unhex(F.md5(text)).alias("node"), F.xxhash64(*names).alias("row")))
+    texts = docs.where(wordy).select(F.unhex(F.md5(text)).alias("node"), text.alias("text"))
     groups = components(text_links(texts.groupBy("node").agg(F.first("text").alias("text")), threshold))
     heads = (slim.join(groups, "node", "left").groupBy(F.coalesce("component", "node").alias("class"))
-             .agg(F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row", "node")).alias("head"))
-             .select(F.col("head._id").alias("_id"), F.col("head._row").alias("_row"), F.col("head.node").alias("_node")))
+             .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row", "node")).alias("head"))
+             .select(F.col("head.row").alias(row), F.col("head.node").alias(node)))
     # a head that several equal rows share comes once
-    twice = slim.groupBy("node", "_id", "_row").agg(F.count("*").alias("n")).where("n > 1")
-    heads = kept(heads.join(twice.select(F.col("node").alias("_node"), F.lit(True).alias("_twice")).distinct(), "_node", "left"))
-    found = marked.withColumn("_row", F.xxhash64(*names)).join(heads.drop("_id"), ["_node", "_row"])
-    single = found.where("_twice IS NULL").select(*names)
-    again = found.where("_twice").dropDuplicates(["_node", "_row"]).select(*names)
-    rest = docs.where(~F.coalesce(wordy, F.lit(False)))
-    return single.unionByName(again).unionByName(rest)
+    many = (slim.groupBy("node", "row").agg(F.count("*").alias("n")).where("n > 1")
+            .select(F.col("node").alias(node), F.col("row").alias(row), F.lit(True).alias(twice)))
+    heads = kept(heads.join(many, [node, row], "left"))
+    found = docs.where(wordy).withColumns({node: F.unhex(F.md5(text)), row: F.xxhash64(*names)}).join(heads, [node, row])
+    single = found.where(F.col(twice).isNull()).select(*names)
+    again = found.where(F.col(twice)).dropDuplicates([node, row]).select(*names)
+    return single.unionByName(again).unionByName(docs.where(~F.coalesce(wordy, F.lit(False))))

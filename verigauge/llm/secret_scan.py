@@ -95,7 +95,7 @@ def _read_one(op, arg) -> tuple[set[str] | None, Query]:
         return {chr(arg)}, True
     if op is C.AT:
         return {""}, True
-    if op is C.IN and len(arg) <= 4 and all(k is C.LITERAL for k, _ in arg):
+    if op is C.IN and len(arg) <= 8 and all(k is C.LITERAL for k, _ in arg):
         return {chr(v) for _, v in arg}, True
     if op is C.SUBPATTERN:
         return _read(arg[3])

@@ -13,7 +13,6 @@ two vectors share, and the root of its part of the block. Pairs are never listed
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -82,7 +81,7 @@ def _sign_batches(bits: int, tables: int):
     return run
 
 
-def _compare(threshold: float, key: tuple, block: pd.DataFrame) -> pd.DataFrame:
+def _compare(key: tuple, block: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """(node, links, root) of a block: its rows of side 0 against those of side 1, or all pairs of side 0."""
     turn = int(key[2])
     block = block.sort_values(["side", "node"], kind="stable")
@@ -152,7 +151,7 @@ def vector_classes(vectors: DataFrame, id_col: str = "vec_id", vector_col: str =
         *key, "node", "w", "vec", "sigs", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nb") - 1)).alias("o"), "b").select(
         *key, "node", "w", "vec", "sigs", F.least("b", "o").alias("i"), F.greatest("b", "o").alias("j"),
         (F.col("b") > F.col("o")).cast("int").alias("side"))
-    found = kept(dealt.groupBy(*key, "i", "j").applyInPandas(partial(_compare, threshold), "node long, links long, root long"))
+    found = kept(dealt.groupBy(*key, "i", "j").applyInPandas(lambda key, block: _compare(key, block, threshold), "node long, links long, root long"))
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     parts = components(found.select("node", "root"), "node", "root")
     named = (reps.select("label", "vec", "node", "w", "least").join(links, "node", "left").join(parts, "node", "left")

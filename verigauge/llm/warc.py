@@ -21,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition, IsNotNull)
+from pyspark.sql.datasource import (DataSource, DataSourceReader, EqualNullSafe, EqualTo, Filter, In, InputPartition)
 from pyspark.sql.types import StructType
 
 from verigauge.llm.store import fresh, kept, opened, put
@@ -202,14 +202,12 @@ class WarcReader(DataSourceReader):
 
     def pushFilters(self, filters: list[Filter]):
         for f in filters:
-            name = f.attribute[0] if len(f.attribute) == 1 else ""
-            values = {f.value} if isinstance(f, (EqualTo, EqualNullSafe)) else set(f.value) if isinstance(f, In) else None
-            if name in HEADERS and values is not None and None not in values:
+            values = {f.value} if isinstance(f, (EqualTo, EqualNullSafe)) else set(f.value) if isinstance(f, In) else {None}
+            name = f.attribute[0] if None not in values and len(f.attribute) == 1 else ""
+            if name in HEADERS:
                 self.wanted[name] = self.wanted.get(name, values) & values
-            elif not (isinstance(f, IsNotNull) and name in HEADERS):
-                yield f
             else:
-                yield f  # cheap for Spark, and it keeps unknown columns exact
+                yield f  # Spark applies it
 
     def partitions(self) -> list[InputPartition]:
         from pyarrow import fs
