@@ -18,8 +18,10 @@ from __future__ import annotations
 
 import io
 import struct
+import unicodedata
 import zlib
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -111,40 +113,101 @@ def file_chunks(documents, bits: int, block: int = BLOCK):
     yield struct.pack(_FOOTER, len(offsets), len(starts), bits, block, MAGIC)
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of the distinct pieces of texts, each encoded once.
 
-    return Tokenizer.from_file(path), {}
+    For tokenizers that drop white space and mark the ends of words, so that a piece between ASCII white space has the
+    same ids in any text, and letters are apart from the marks behind them.
+    """
 
+    def __init__(self, path: str) -> None:
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        size = self.tokenizer.get_vocab_size()
+        self.ends = np.zeros(size, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[bytes, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
+        self.begin = np.zeros(1 << 16, np.int64)
+
+    def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids, first id of each piece and the end)."""
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        at = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum([len(x) for x in ids], out=at[1:])
+        return np.fromiter(chain.from_iterable(ids), np.uint32, int(at[-1])), at
+
+    def _letters(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for words of letters: many are encoded as one text, whose ids are cut at the word ends."""
+        ids, _ = self._each([" ".join(words[k:k + 256]) for k in range(0, len(words), 256)])
+        cut = np.flatnonzero(self.ends[ids]) + 1
+        return (ids, np.concatenate([[0], cut])) if len(cut) == len(words) else self._each(words)
+
+    def _learn(self, new: list[bytes]) -> None:
+        words: dict[str, int] = {}
+        rest: dict[str, int] = {"": 0}
+        core, tail = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        for k, p in enumerate(new):
+            stem = p.rstrip(b".,;:!?")
+            word = stem.decode()
+            if word.isalpha() and (len(word) == len(stem) or word.lower().isalpha() and unicodedata.is_normalized("NFC", word)):
+                core[k] = words.setdefault(word, len(words))
+                tail[k] = rest.setdefault(p[len(stem):].decode(), len(rest))
+            else:
+                core[k] = -1
+                tail[k] = rest.setdefault(p.decode(), len(rest))
+        (a, at), (b, bt) = self._letters(list(words)), self._each(list(rest))
+        n = np.where(core >= 0, at[core + 1] - at[core], 0) if len(words) else np.zeros(len(new), np.int64)
+        m = bt[tail + 1] - bt[tail]
+        first = len(self.number)
+        while first + len(new) + 1 > len(self.begin):
+            self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
+        self.begin[first + 1:first + len(new) + 1] = self.used + np.cumsum(n + m)
+        start = self.begin[first:first + len(new)]
+        while self.begin[first + len(new)] > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        for source, begin, count, to in ((a, at[core] if len(words) else core, n, start), (b, bt[tail], m, start + n)):
+            inner = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
+            self.flat[np.repeat(to, count) + inner] = source[np.repeat(begin, count) + inner]
+        self.used = int(self.begin[first + len(new)])
+        self.number.update(zip(new, range(first, first + len(new)), strict=True))
+
+    def encode(self, texts: list[bytes], end: int | None = END) -> list[np.ndarray]:
+        """Ids of whole texts (UTF-8), each with ``end`` behind it."""
+        # special tokens are looked for before letters become small
+        pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
+        every = set().union(*pieces)
+        new = [p for p in every if p not in self.number]
+        if len(self.number) + len(new) > REMEMBERED and self.number:
+            self._clear()
+            new = list(every)
+        self._learn(new)
+        sizes = np.array([len(p) for p in pieces], np.int64)
+        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        begin, n = self.begin[k], self.begin[k + 1] - self.begin[k]
+        upto = np.zeros(len(k) + 1, np.int64)
+        np.cumsum(n, out=upto[1:])
+        ids = self.flat[np.repeat(begin - upto[:-1], n) + np.arange(upto[-1])]
+        cut = upto[np.cumsum(sizes)]
+        tail = np.zeros(0, np.uint32) if end is None else np.array([end], np.uint32)
+        return [np.concatenate([x, tail]) for x in np.split(ids, cut[:-1])] if texts else []
 
-def encode(texts: list[bytes], path: str, end: int | None = END) -> list[np.ndarray]:
-    """Ids of whole texts (UTF-8), each with ``end`` behind it.
 
-    For tokenizers that never join characters across ASCII white space and drop it, as word-end BPE does: the ids of a
-    text are those of its pieces between white space, so each distinct piece is encoded once.
-    """
-    tokenizer, known = _tokenizer(path)
-    pieces = [t.split() for t in texts]
-    new = [p for p in set().union(*pieces) if p not in known]
-    if new:
-        if len(known) > REMEMBERED:
-            known.clear()
-            new = list(set().union(*pieces))
-        for p, e in zip(new, tokenizer.encode_batch([p.decode() for p in new], add_special_tokens=False), strict=True):
-            known[p] = e.ids
-    tail = [] if end is None else [end]
-    out = []
-    for p in pieces:
-        ids: list[int] = []
-        for w in p:
-            ids += known[w]
-        out.append(np.array(ids + tail, np.uint32))
-    return out
+@lru_cache(maxsize=2)
+def _encoder(path: str) -> Encoder:
+    return Encoder(path)
+
+
+def encode(texts: list[bytes], path: str, end: int | None = END) -> list[np.ndarray]:
+    return _encoder(path).encode(texts, end)
 
 
 def vocabulary(path: str) -> int:
-    return _tokenizer(path)[0].get_vocab_size()
+    return _encoder(path).tokenizer.get_vocab_size()
 
 
 def _write_batches(folder: str, path: str, bits: int):
@@ -184,7 +247,7 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     """
     folder = fresh(docs.sparkSession, "tokens")
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    order = ["id", F.xxhash64("text"), F.col("text")]
+    order = ["id", F.xxhash64("text")]
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
     files = kept(ranged.mapInArrow(_write_batches(folder, tokenizer, bits_for(vocabulary(tokenizer))),
                                    "part int, uri string, documents long, ids long"))
@@ -211,5 +274,5 @@ def _read_batches(batches):
 
 def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; one task reads a file."""
-    spread = files.select("uri", "start").repartition(F.col("uri"))
+    spread = files.select("uri", "start").repartitionByRange(max(1, files.count()), "start")
     return spread.mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
