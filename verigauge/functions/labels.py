@@ -23,7 +23,6 @@ GENERATOR_ALIASES = {
 }
 URL_COLUMNS = ("photo_image_url", "photo_url", "urls_regular", "url")
 TEXT_COLUMN_WORDS = ("description", "keyword", "tag", "alt")
-MAX_PIXELS = 200_000_000
 MIN_PAYLOAD = 5000
 
 
@@ -184,8 +183,8 @@ def group_slug(raw: Column, aliases: dict[str, str] = GENERATOR_ALIASES) -> Colu
     return F.coalesce(known, F.when(cleaned != "", cleaned), F.lit("unknown"))
 
 
-def readable_size(width: Column, height: Column) -> Column:
-    return width.cast("bigint") * height.cast("bigint") <= MAX_PIXELS
+def readable_size(width: Column, height: Column, most_pixels: int) -> Column:
+    return width.cast("bigint") * height.cast("bigint") <= most_pixels
 
 
 def real_payload(length: Column) -> Column:

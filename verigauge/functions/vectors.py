@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,9 +29,16 @@ def norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
 
 
+def each_with(v: Column, number: Column, fn: Callable[[Column, Column], Column]) -> Column:
+    """``fn(element, number)`` for every element; the number is computed once per row.
+
+    Inside a lambda an outer expression would be evaluated again for every element.
+    """
+    return F.zip_with(v, F.array_repeat(number, F.size(v)), fn)
+
+
 def l2_normalise(v: Column) -> Column:
-    size = norm(v) + L2_EPSILON
-    return F.transform(v, lambda x: x / size)
+    return each_with(v, norm(v) + L2_EPSILON, lambda x, size: x / size)
 
 
 def standardise(v: Column, mu: Column, sd: Column) -> Column:
@@ -50,7 +57,8 @@ def linear_logit(v: Column, weights: Sequence[float], bias: float, mu: Sequence[
 def positive_probability(logits: Column, index: int) -> Column:
     """P(AI) from a classifier's outputs: sigmoid of a single logit, else softmax at ``index``."""
     top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+    total = F.aggregate(each_with(logits, top, lambda x, t: F.exp(x - t)), F.lit(0.0),
+                        lambda s, x: s + x)
     return F.when(F.size(logits) == 1, sigmoid(logits[0])).otherwise(
         F.exp(F.try_element_at(logits, F.lit(index + 1)) - top) / total)
 

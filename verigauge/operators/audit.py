@@ -105,9 +105,9 @@ def term_counts(df: DataFrame, text: str, top: int = 30, min_length: int = 4) ->
 
 
 def recall_by_fraction(df: DataFrame, threshold: float, fraction: str = "fraction",
-                       score: str = "s", min_rows: int = 5,
+                       score: str = "s", thin: int = 5,
                        bins: Sequence[tuple[float, float]] = FRACTION_BINS) -> DataFrame:
-    """Recall and mean score of positives per edited-area bin; thin bins are left out."""
+    """Recall and mean score of positives per edited-area bin; ``thin`` marks bins of few rows."""
     s, f = nan_to_null(F.col(score)), nan_to_null(F.col(fraction))
     slot = F.lit(None).cast("int")
     for i, (lo, hi) in enumerate(bins):
@@ -119,13 +119,13 @@ def recall_by_fraction(df: DataFrame, threshold: float, fraction: str = "fractio
             F.count(F.lit(1)).alias("n"),
             ratio(F.count(F.when(F.col("s") >= threshold, 1)), F.count(F.lit(1))).alias("recall"),
             F.avg("s").alias("mean_score"))
-        .where(F.col("n") >= min_rows))
+        .withColumn("thin", F.col("n") < thin))
 
 
-def correlation(df: DataFrame, x: str, y: str, min_rows: int = 10) -> DataFrame:
-    """Pearson r if more than ``min_rows`` rows have both values."""
+def correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Pearson r of the rows that have both values, and their number; NULL if r is not defined."""
     pairs = df.select(nan_to_null(F.col(x)).alias("x"), nan_to_null(F.col(y)).alias("y")).where(
         F.col("x").isNotNull() & F.col("y").isNotNull())
     return pairs.groupBy().agg(
         F.count(F.lit(1)).alias("n"),
-        F.when(F.count(F.lit(1)) > min_rows, F.corr("x", "y")).alias("r"))
+        nan_to_null(F.corr("x", "y")).alias("r"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from verigauge.functions.kernels import KERNELS
 from verigauge.operators.conditions import Condition
 
+NO_WEBP = KERNELS["webp"]
+
 CLEAN = Condition("clean", "clean", 0, "clean", chain=())
 
 
@@ -22,6 +25,7 @@ GRADED = {
     "saturation": ("saturation", "delta", [0.15, 0.30, 0.50, 0.75, 1.00], "+{:.0%}"),
     "noise": ("noise", "sigma", [2, 4, 8, 12, 20], "σ{:g}"),
 }
+# Fixed values of the graded grid: five passes of the two chains.
 REPOST_SCALE, REPOST_QUALITY = [0.9, 0.75, 0.6, 0.45, 0.35], [88, 78, 68, 55, 42]
 SCREEN_SCALE, SCREEN_QUALITY = [0.95, 0.85, 0.7, 0.55, 0.4], [92, 85, 75, 65, 55]
 
@@ -67,58 +71,74 @@ def official_grid() -> list[Condition]:
     return [CLEAN, *_cells(OFFICIAL)]
 
 
-def _named(name: str, family: str, *chain) -> Condition:
-    return Condition(name, family, 1, name, {}, tuple(chain))
-
-
-def _jpeg(q: float) -> tuple:
-    return "jpeg", {"quality": q}
-
-
-def _cycle(f: float) -> tuple:
-    return "resize_cycle", {"factor": f}
-
-
-def _colour(b: float, c: float, s: float) -> tuple:
-    return "colour", {"b": b, "c": c, "s": s}
+# Name, family and kernel steps of the evaluation grid (after clean), of the
+# severities and codecs outside the training ranges, and of the redistribution chains.
+EVALUATION = (
+    ("jpeg_q90", "jpeg", "jpeg quality=90"),
+    ("jpeg_q70", "jpeg", "jpeg quality=70"),
+    ("jpeg_q50", "jpeg", "jpeg quality=50"),
+    ("jpeg_q30", "jpeg", "jpeg quality=30"),
+    ("blur_s0.5", "blur", "blur sigma=0.5"),
+    ("blur_s1.0", "blur", "blur sigma=1"),
+    ("blur_s2.0", "blur", "blur sigma=2"),
+    ("resize_0.5x", "resize", "resize_cycle factor=0.5"),
+    ("resize_0.25x", "resize", "resize_cycle factor=0.25"),
+    ("noise_s0.02", "noise", "noise01 sigma=0.02"),
+    ("noise_s0.05", "noise", "noise01 sigma=0.05"),
+    ("noise_s0.1", "noise", "noise01 sigma=0.1"),
+    ("color_up", "color", "colour b=1.2 c=1.2 s=1.2"),
+    ("color_down", "color", "colour b=0.8 c=0.8 s=0.8"),
+    ("color_mixed", "color", "colour b=1.2 c=0.8 s=1.2"),
+    ("crop_80", "crop", "crop_rounded keep=0.8"),
+)
+HELDOUT = (
+    ("jpeg_q20", "jpeg_ood", "jpeg quality=20"),
+    ("blur_s3.0", "blur_ood", "blur sigma=3"),
+    ("resize_0.125x", "resize_ood", "resize_cycle factor=0.125"),
+    ("noise_s0.15", "noise_ood", "noise01 sigma=0.15"),
+    ("crop_50", "crop_ood", "crop_rounded keep=0.5"),
+    ("webp_q50", "codec_ood", "webp quality=50"),
+)
+CHAINS = (
+    ("social_repost", "chain", "jpeg quality=90, resize_cycle factor=0.5, jpeg quality=70"),
+    ("filtered_share", "chain", "colour b=1.15 c=1.1 s=1.2, jpeg quality=60"),
+    ("thumbnail_crop", "chain", "resize_cycle factor=0.25, crop_rounded keep=0.8, jpeg quality=70"),
+    ("lowlight_msg", "chain", "noise01 sigma=0.05, blur sigma=0.5, jpeg quality=50"),
+    ("screenshot_chain", "chain",
+     "colour b=1.1 c=1.05 s=0.95, jpeg quality=80, resize_cycle factor=0.5, jpeg quality=40"),
+)
+
+
+def _listed(table: tuple) -> list[Condition]:
+    out = []
+    for name, family, text in table:
+        chain = []
+        for step in text.split(", "):
+            kernel, *numbers = step.split(" ")
+            chain.append((kernel, {k: float(v) for k, v in (n.split("=") for n in numbers)}))
+        out.append(Condition(name, family, 1, name, {}, tuple(chain)))
+    return out
 
 
 def evaluation_grid() -> list[Condition]:
     """17 conditions of the evaluation grid, clean included."""
-    out = [CLEAN]
-    out += [_named(f"jpeg_q{q}", "jpeg", _jpeg(q)) for q in (90, 70, 50, 30)]
-    out += [_named(f"blur_s{s}", "blur", ("blur", {"sigma": s})) for s in (0.5, 1.0, 2.0)]
-    out += [_named(f"resize_{s}x", "resize", _cycle(s)) for s in (0.5, 0.25)]
-    out += [_named(f"noise_s{s}", "noise", ("noise01", {"sigma": s})) for s in (0.02, 0.05, 0.1)]
-    out += [_named("color_up", "color", _colour(1.2, 1.2, 1.2)),
-            _named("color_down", "color", _colour(0.8, 0.8, 0.8)),
-            _named("color_mixed", "color", _colour(1.2, 0.8, 1.2)),
-            _named("crop_80", "crop", ("crop_rounded", {"keep": 0.8}))]
-    return out
+    return [CLEAN, *_listed(EVALUATION)]
 
 
 def heldout_grid() -> list[Condition]:
     """6 severities and codecs outside the training ranges."""
-    return [
-        _named("jpeg_q20", "jpeg_ood", _jpeg(20)),
-        _named("blur_s3.0", "blur_ood", ("blur", {"sigma": 3.0})),
-        _named("resize_0.125x", "resize_ood", _cycle(0.125)),
-        _named("noise_s0.15", "noise_ood", ("noise01", {"sigma": 0.15})),
-        _named("crop_50", "crop_ood", ("crop_rounded", {"keep": 0.5})),
-        _named("webp_q50", "codec_ood", ("webp", {"quality": 50}))]
+    return _listed(HELDOUT)
 
 
 def chain_grid() -> list[Condition]:
     """5 composed redistribution chains."""
-    return [
-        _named("social_repost", "chain", _jpeg(90), _cycle(0.5), _jpeg(70)),
-        _named("filtered_share", "chain", _colour(1.15, 1.1, 1.2), _jpeg(60)),
-        _named("thumbnail_crop", "chain", _cycle(0.25), ("crop_rounded", {"keep": 0.8}),
-               _jpeg(70)),
-        _named("lowlight_msg", "chain", ("noise01", {"sigma": 0.05}), ("blur", {"sigma": 0.5}),
-               _jpeg(50)),
-        _named("screenshot_chain", "chain", _colour(1.1, 1.05, 0.95), _jpeg(80), _cycle(0.5),
-               _jpeg(40))]
+    return _listed(CHAINS)
+
+
+def encodable(grid: list[Condition]) -> list[Condition]:
+    """The cells that the registered kernels can make: there is no WebP encoder unless one is registered."""
+    return [c for c in grid if not any(
+        name == "webp" and KERNELS["webp"] is NO_WEBP for name, _ in c.chain)]
 
 
 def all_conditions() -> list[Condition]:

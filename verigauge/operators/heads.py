@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.functions import vectors as V
-from verigauge.functions.numeric import sigmoid
+from verigauge.functions.numeric import nan_to_null, sigmoid
 from verigauge.operators.scalars import attach_row
 
 COLLAPSED_COSINE = 0.999
@@ -121,6 +121,34 @@ def mlp_logit(vector: Column, head: Head) -> Column:
     return score(V.doubles(vector))
 
 
+def member_logits(vector: Column, heads: Sequence[Head]) -> Column:
+    """Logits of all members, NULL where the vector has another length.
+
+    Linear members share one norm and one matrix product per Arrow batch.
+    """
+    if any(h.hidden for h in heads):
+        return F.array(*[head_logit(vector, h) for h in heads])
+    dims, count, l2 = len(heads[0].mu), len(heads), heads[0].l2
+    slopes = np.array([np.asarray(h.weights) / np.asarray(h.sd) for h in heads]).T
+    offsets = np.array([h.bias - float(np.dot(h.mu, np.asarray(h.weights) / np.asarray(h.sd)))
+                        for h in heads])
+
+    @F.arrow_udf("array<double>")
+    def score(v: pa.Array) -> pa.Array:
+        ok = np.asarray(v.value_lengths().fill_null(-1)) == dims
+        x = np.asarray(v.filter(pa.array(ok)).flatten(), dtype=float).reshape(-1, dims)
+        raw = x @ slopes
+        if l2:
+            raw /= np.linalg.norm(x, axis=1, keepdims=True) + V.L2_EPSILON
+        out = np.full((len(ok), count), np.nan)
+        out[ok] = raw + offsets
+        values = pa.array(out.ravel(), mask=np.repeat(~ok, count))
+        return pa.ListArray.from_arrays(
+            pa.array(np.arange(0, len(ok) * count + 1, count), pa.int32()), values)
+
+    return score(V.doubles(vector))
+
+
 def head_logit(vector: Column, head: Head) -> Column:
     if head.hidden:
         return mlp_logit(vector, head)
@@ -135,9 +163,10 @@ def ensemble_scores(df: DataFrame, vector: str, heads: Sequence[Head]) -> DataFr
     """Adds ``p``: mean calibrated probability of all members, 6 places; vectors are read once."""
     members = compatible(heads)
     total = F.lit(0.0)
-    for h in members:
-        total = total + probability(head_logit(F.col(vector), h), h)
-    return df.withColumn("p", F.round(total / len(members), 6))
+    for i, h in enumerate(members):
+        total = total + probability(F.col("_logits")[i], h)
+    return (df.withColumn("_logits", member_logits(F.col(vector), members))
+            .withColumn("p", F.round(total / len(members), 6)).drop("_logits"))
 
 
 def ensemble_threshold(heads: Sequence[Head]) -> float:
@@ -147,12 +176,13 @@ def ensemble_threshold(heads: Sequence[Head]) -> float:
 
 def member_scores(df: DataFrame, vector: str, heads: Sequence[Head]) -> DataFrame:
     """One row per item and member with its logit and probability."""
-    cells = []
-    for h in compatible(heads):
-        logit = head_logit(F.col(vector), h)
+    members, cells = compatible(heads), []
+    for i, h in enumerate(members):
+        logit = F.col("_logits")[i]
         cells.append(F.struct(F.lit(h.name).alias("member"), logit.alias("logit"),
                               probability(logit, h).alias("p")))
-    return df.select("*", F.inline(F.array(*cells)))
+    return (df.withColumn("_logits", member_logits(F.col(vector), members))
+            .select(*[F.col(f"`{c}`") for c in df.columns], F.inline(F.array(*cells))))
 
 
 def scaled_views(df: DataFrame, vector: str, scales: Sequence[float]) -> DataFrame:
@@ -161,14 +191,14 @@ def scaled_views(df: DataFrame, vector: str, scales: Sequence[float]) -> DataFra
                       for i, s in enumerate(scales)])
     wide = df.select("*", F.inline(views))
     v = V.doubles(F.col(vector))
-    return wide.withColumn(vector, F.zip_with(
-        v, F.array_repeat(F.col("scale"), F.size(v)), lambda x, k: x * k)).drop("scale")
+    return wide.withColumn(
+        vector, V.each_with(v, F.col("scale"), lambda x, k: x * k)).drop("scale")
 
 
 def pool_views(df: DataFrame, item: Sequence[str], prob: str = "p") -> DataFrame:
-    """Mean probability over an item's views, 6 places."""
-    return df.groupBy(*item).agg(F.round(F.avg(prob), 6).alias("p"),
-                                 F.count(prob).alias("views"))
+    """Mean probability over an item's views, 6 places; a failed view (NULL or NaN) does not count."""
+    p = nan_to_null(F.col(prob))
+    return df.groupBy(*item).agg(F.round(F.avg(p), 6).alias("p"), F.count(p).alias("views"))
 
 
 def class_weight(df: DataFrame, truth: str = "y") -> DataFrame:

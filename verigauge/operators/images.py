@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.functions import kernels as K
-from verigauge.functions.labels import MAX_PIXELS
 from verigauge.operators.conditions import Condition, named_cells
 from verigauge.operators.scoring import Scorer
 
@@ -27,7 +26,6 @@ TRAIN_RANGES = {
 }
 P_CLEAN = 0.15
 MAX_OPS = 3
-TTA_LIMIT = 4
 
 
 def unit_draw(seed: int, *parts: Column) -> Column:
@@ -43,12 +41,10 @@ def whole_draw(seed: int, lo: Column, hi: Column, *parts: Column) -> Column:
 
 
 def pixels_of(row) -> np.ndarray:
-    """RGB array of an image row; raises on a broken or oversized one."""
+    """RGB array of an image row; raises on a broken one."""
     h, w = int(row.height), int(row.width)
     if h <= 0 or w <= 0 or row.pixels is None:
         raise ValueError("not a readable image")
-    if h * w > MAX_PIXELS:
-        raise ValueError(f"{h * w} pixels exceed the limit of {MAX_PIXELS}")
     return np.frombuffer(row.pixels, dtype=np.uint8).reshape(h, w, 3)
 
 
@@ -71,10 +67,13 @@ class ImageScorer(Scorer):
 
     def predict_with_views(self, images: Sequence[np.ndarray]) -> list[float]:
         """Mean score over the first ``tta_views`` of: plain, flipped, zoomed, both."""
-        n = max(1, min(int(self.tta_views), TTA_LIMIT))
         views = [
             lambda im: im, K.flip, lambda im: K.centre_crop(im, 0.9),
-            lambda im: K.flip(K.centre_crop(im, 0.9))][:n]
+            lambda im: K.flip(K.centre_crop(im, 0.9))]
+        n = int(self.tta_views)
+        if not 1 <= n <= len(views):
+            raise ValueError(f"there are {len(views)} views, not {n}")
+        views = views[:n]
         flat = list(self.predict_images([v(im) for im in images for v in views]))
         if len(flat) != n * len(images):
             raise ValueError(f"{len(flat)} scores for {n * len(images)} views")
@@ -93,20 +92,16 @@ class ImageScorer(Scorer):
         return out
 
 
-def normalised_source(img: np.ndarray, quality: float = SOURCE_QUALITY) -> np.ndarray:
-    """Codec loss given to every image alike, so that formats tell nothing."""
-    return K.jpeg(img, quality)
-
-
 def _why(exc: Exception) -> str:
     return f"{type(exc).__name__}: {exc}"
 
 
 def _score_cells(row, conditions: Sequence[Condition], scorer: ImageScorer,
-                 max_side: int) -> tuple[dict, dict]:
+                 max_side: int | None) -> tuple[dict, dict]:
     """Scores and errors by cell for one image, decoded and prepared once."""
     try:
-        base = scorer.prepare_source(K.cap_side(pixels_of(row), max_side))
+        img = pixels_of(row)
+        base = scorer.prepare_source(K.cap_side(img, max_side) if max_side else img)
     except Exception as exc:
         return {}, {i: _why(exc) for i in range(len(conditions))}
     scores, errors, done, images = {}, {}, [], []
@@ -139,7 +134,7 @@ def _score_cells(row, conditions: Sequence[Condition], scorer: ImageScorer,
 
 
 def _grid_work(conditions: Sequence[Condition], scorer: ImageScorer, keep: list[str],
-               max_side: int) -> Callable:
+               max_side: int | None) -> Callable:
     n = len(conditions)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -162,12 +157,12 @@ def _grid_work(conditions: Sequence[Condition], scorer: ImageScorer, keep: list[
 
 
 def score_grid(images: DataFrame, conditions: Sequence[Condition], scorer: ImageScorer,
-               item: str = "item_id", keep: Sequence[str] = (), max_side: int = 768,
+               item: str = "item_id", keep: Sequence[str] = (), max_side: int | None = None,
                seed: int = 0, spread: int | None = None) -> DataFrame:
     """``keep`` columns, ``cell``, score ``s`` and ``error``: every image under every condition.
 
     Noise is seeded by the item and the condition, never by the order of rows.
-    ``spread`` deals the images out to that many tasks first; files that already
+    Images keep their size unless ``max_side`` is set. ``spread`` deals the images out to that many tasks first; files that already
     come in many splits do not need it.
     """
     keep = [item, *[k for k in keep if k != item]]

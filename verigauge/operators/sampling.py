@@ -21,21 +21,20 @@ from pyspark.sql.window import Window
 from verigauge.operators.scalars import attach_per_key
 
 SAMPLE_SEED = 20260829
-SLICES = 64
-# up to this n Spark itself cuts each map partition's groups to n rows before the shuffle
-PRUNED_BY_SPARK = 1000
+SLICES = 16
+# one row of cuts per group is broadcast up to so many groups
+FEW_GROUPS = 10_000
 
 
 def top_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
                   rank: str | None = None, slices: int = SLICES) -> DataFrame:
-    """The first n rows of every group by a total order."""
+    """The first n rows of every group by a total order, first of each slice, then of all."""
     keys = list(keys)
     num = rank or "_rank"
-    if n > PRUNED_BY_SPARK:
-        slot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(slices))
-        w = Window.partitionBy(*keys, "_slice").orderBy(*order)
-        df = (df.withColumn("_slice", slot).withColumn("_pre", F.row_number().over(w))
-              .where(F.col("_pre") <= n).drop("_slice", "_pre"))
+    slot = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(slices))
+    w = Window.partitionBy(*keys, "_slice").orderBy(*order)
+    df = (df.withColumn("_slice", slot).withColumn("_pre", F.row_number().over(w))
+          .where(F.col("_pre") <= n).drop("_slice", "_pre"))
     out = df.withColumn(num, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
     out = out.where(F.col(num) <= n)
     return out if rank else out.drop(num)
@@ -57,10 +56,12 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
     With cuts [a, b] the first a rows of a group are part 0, those up to b part 1
     and the rest part 2. ``cuts`` are expressions over the group's ``total``, or a
     function from the group totals (keys, total) to (keys, cut) if one group's cut
-    depends on other groups. ``few`` says that the groups are a closed list, so that
-    their cuts are broadcast and the rows stay where they are.
+    depends on other groups. ``few`` says that the groups are a closed list; otherwise they are
+    counted. The cuts of at most ``FEW_GROUPS`` groups are broadcast and the rows stay where they
+    are, so a group of many rows never meets in one task.
     """
     keys, ids = list(keys), list(ids)
+    few = few or df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     hashed = df.withColumn("_h", shuffle_key(seed, ids)).withColumn(
         "_b", F.shiftright(F.col("_h"), 48))
     group = Window.partitionBy(*keys)

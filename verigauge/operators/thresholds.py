@@ -20,7 +20,6 @@ from verigauge.operators.metrics import (
 from verigauge.operators.scalars import attach_per_key
 
 NO_CHOICE = 0.5                                   # answer when a class is missing
-CANDIDATE_LIMIT = 400                             # of the quantile-capped mode
 DEFAULT_BUDGETS = (0.005, 0.01, 0.02, 0.05)
 
 
@@ -61,67 +60,25 @@ def _round4(c: Column) -> Column:
     return F.rint(c * 10000.0) / 10000.0
 
 
-def _quantile_grid(ladder: DataFrame, keys: Sequence[str], points: int) -> DataFrame:
-    """Values of ``points`` even quantiles of all scores; each row emits the ranks it holds."""
-    steps = points - 1
-    n = F.col("n_pos") + F.col("n_neg")
-    first = n - F.col("tp") - F.col("fp")
-    last = first + F.col("pos") + F.col("neg") - 1
-    scale = F.lit(float(steps)) / F.greatest(n - 1, F.lit(1)).cast("double")
-    lo_i = F.greatest(F.floor((first - 1).cast("double") * scale) - 1, F.lit(0))
-    hi_i = F.least(F.ceil((last + 1).cast("double") * scale) + 1, F.lit(steps))
-    q = F.when(F.col("i") == steps, F.lit(1.0)).otherwise(
-        F.col("i").cast("double") * F.lit(1.0 / steps))
-    hit = (ladder.select(*keys, "score", n.alias("n"), first.alias("a"), last.alias("b"),
-                         F.explode(F.sequence(lo_i, hi_i)).alias("i"))
-           .withColumn("h", (F.col("n") - 1).cast("double") * q)
-           .withColumn("lo", F.floor("h"))
-           .withColumn("hi", F.least(F.col("lo") + 1, F.col("n") - 1)))
-    at = hit.groupBy(*keys, "i").agg(
-        F.max(F.when(F.col("lo").between(F.col("a"), F.col("b")), F.col("score"))).alias("x0"),
-        F.max(F.when(F.col("hi").between(F.col("a"), F.col("b")), F.col("score"))).alias("x1"),
-        F.max(F.col("h") - F.col("lo").cast("double")).alias("t"))
-    x0, x1, t = F.col("x0"), F.col("x1"), F.col("t")
-    return at.select(*keys, F.when(t >= 0.5, x1 - (x1 - x0) * (1.0 - t))
-                     .otherwise(x0 + (x1 - x0) * t).alias("score"))
-
-
 def candidate_ladder(df: DataFrame, keys: Sequence[str] = (), score: str = "s",
-                     truth: str = "y", capped: bool = False) -> DataFrame:
-    """Ladder with extra zero-count rungs at the scores rounded to 4 places.
-
-    ``candidate`` marks those rungs; with ``capped`` a second mark ``sampled``
-    holds the 400 rounded quantiles that stand in for them when there are more.
-    """
+                     truth: str = "y") -> DataFrame:
+    """Ladder with extra zero-count rungs at the scores rounded to 4 places, marked ``candidate``."""
     counts = score_counts(df, keys, score, truth)
     zero = F.lit(0).cast("bigint")
-
-    def rungs(source: DataFrame, mark: str) -> DataFrame:
-        return source.select(*keys, _round4(F.col("score")).alias("score"),
-                             zero.alias("pos"), zero.alias("neg"),
-                             F.lit(mark == "candidate").alias("candidate"),
-                             F.lit(mark == "sampled").alias("sampled"))
-
-    parts = counts.select(*keys, "score", "pos", "neg", F.lit(False).alias("candidate"),
-                          F.lit(False).alias("sampled")).unionByName(rungs(counts, "candidate"))
-    if capped:
-        grid = _quantile_grid(ladder_from_counts(counts, keys), keys, CANDIDATE_LIMIT)
-        parts = parts.unionByName(rungs(grid, "sampled"))
+    rungs = counts.select(*keys, _round4(F.col("score")).alias("score"), zero.alias("pos"),
+                          zero.alias("neg"), F.lit(True).alias("candidate"))
+    parts = counts.select(*keys, "score", "pos", "neg",
+                          F.lit(False).alias("candidate")).unionByName(rungs)
     merged = parts.groupBy(*keys, "score").agg(
-        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"),
-        F.max("candidate").alias("candidate"), F.max("sampled").alias("sampled"))
-    return ladder_from_counts(merged, keys, extra=["candidate", "sampled"])
+        F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.max("candidate").alias("candidate"))
+    return ladder_from_counts(merged, keys, extra=["candidate"])
 
 
 def best_threshold(df: DataFrame, criterion: str = "f1", keys: Sequence[str] = (),
-                   score: str = "s", truth: str = "y", capped: bool = False) -> DataFrame:
+                   score: str = "s", truth: str = "y") -> DataFrame:
     """Best F1 or Youden threshold among the scores rounded to 4 places; 0.5 if one class."""
-    lad = candidate_ladder(df, keys, score, truth, capped)
-    value = _criterion(criterion)
-    pick = _best_score(value, F.col("candidate"))
-    if capped:
-        many = F.sum(F.col("candidate").cast("int")) > CANDIDATE_LIMIT
-        pick = F.when(many, _best_score(value, F.col("sampled"))).otherwise(pick)
+    lad = candidate_ladder(df, keys, score, truth)
+    pick = _best_score(_criterion(criterion), F.col("candidate"))
     return lad.groupBy(*keys).agg(
         F.coalesce(F.when(_both(), pick), F.lit(NO_CHOICE)).alias("threshold"))
 
@@ -219,19 +176,15 @@ def _points(ladder: DataFrame, named: Sequence[tuple[str, Column]],
 
 def recommendations(df: DataFrame, deployed: float,
                     budgets: Sequence[float] = DEFAULT_BUDGETS, keys: Sequence[str] = (),
-                    score: str = "s", truth: str = "y", capped: bool = False) -> DataFrame:
+                    score: str = "s", truth: str = "y") -> DataFrame:
     """Operating points with full metrics: deployed, each FPR budget, best F1, best balanced.
 
     ``recommended`` marks the tightest budget listed first.
     """
-    lad = candidate_ladder(df, keys, score, truth, capped)
+    lad = candidate_ladder(df, keys, score, truth)
 
     def best(criterion: str) -> Column:
-        value = _criterion(criterion)
-        pick = _best_score(value, F.col("candidate"))
-        if capped:
-            many = F.sum(F.col("candidate").cast("int")) > CANDIDATE_LIMIT
-            pick = F.when(many, _best_score(value, F.col("sampled"))).otherwise(pick)
+        pick = _best_score(_criterion(criterion), F.col("candidate"))
         return F.coalesce(F.when(_both(), pick), F.lit(NO_CHOICE))
 
     named = [("deployed", F.max(F.lit(float(deployed))))]

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.functions import vectors as V
+from verigauge.functions.numeric import nan_to_null
 from verigauge.operators.conditions import view_metrics
 from verigauge.operators.heads import view_loss
 from verigauge.operators.sampling import hardest_views
@@ -30,6 +31,12 @@ def _fit(rows: DataFrame, reg: float, iterations: int):
     return lr.fit(rows.withColumn("features", array_to_vector(F.col("x"))))
 
 
+def _clean(rows: DataFrame) -> DataFrame:
+    """Rows with a label and a whole vector; a NaN would end the fit."""
+    return rows.where(F.col("y").isNotNull() & F.col("x").isNotNull()
+                      & ~F.exists("x", lambda v: v.isNull() | F.isnan(v)))
+
+
 def fit_head(train: DataFrame, valid: DataFrame, rounds: int = 3, mode: str = "cvar",
              views: int = 6, reg: float = 1e-4, iterations: int = 50, item: str = "item_id",
              clean_view: int = 0) -> Fit:
@@ -39,7 +46,7 @@ def fit_head(train: DataFrame, valid: DataFrame, rounds: int = 3, mode: str = "c
     hardest. The round with the best *worst-view* AUC on the validation rows is kept.
     """
     # every round reads both tables several times; lost blocks are recomputed
-    train, valid = train.persist(), valid.persist()
+    train, valid = _clean(train).persist(), _clean(valid).persist()
     try:
         return _fit_rounds(train, valid, rounds, mode, views, reg, iterations, item, clean_view)
     finally:
@@ -78,10 +85,13 @@ def _fit_rounds(train: DataFrame, valid: DataFrame, rounds: int, mode: str, view
 
 
 def fit_platt(df: DataFrame, score: str = "s", truth: str = "y") -> tuple[float, float]:
-    """Slope and offset of sigmoid(a * score + b) by unregularised logistic loss."""
-    rows = df.select(F.array(F.col(score).cast("double")).alias("x"),
-                     F.col(truth).cast("double").alias("y"), F.lit(1.0).alias("weight")).where(
-        F.col("y").isNotNull() & F.col("x")[0].isNotNull())
+    """Slope and offset of sigmoid(a * score + b) by unregularised logistic loss.
+
+    Failed scores (NULL or NaN) and unlabelled rows do not count.
+    """
+    rows = df.select(nan_to_null(F.col(score).cast("double")).alias("s"),
+                     F.col(truth).cast("double").alias("y")).where("y IS NOT NULL AND s IS NOT NULL")
+    rows = rows.select(F.array("s").alias("x"), "y", F.lit(1.0).alias("weight"))
     model = _fit(rows, 0.0, 200)
     return float(model.coefficients[0]), float(model.intercept)
 

@@ -49,13 +49,22 @@ def score_folder(spark: SparkSession, root: str, scorer: I.ImageScorer, out: str
 
 
 def sweep_folder(spark: SparkSession, root: str, scorer: I.ImageScorer,
-                 conditions: Sequence[D.Condition], sample: int = 200, max_side: int = 768,
-                 threshold: float | None = None) -> DataFrame:
-    """Balanced sample of labelled pictures under every condition, as one job."""
-    items = FS.scan_items(spark, root)
+                 conditions: Sequence[D.Condition], sample: int | None = None,
+                 max_side: int | None = None, threshold: float | None = None,
+                 least_bytes: int = 0) -> DataFrame:
+    """All labelled pictures, or a balanced sample of them, under every condition, as one job.
+
+    Files below ``least_bytes`` are passed over. A sample is drawn from the listing and only
+    its files are opened; its paths go through the driver, all others never do.
+    """
+    items = FS.scan_items(spark, root).where(F.col("size_bytes") >= least_bytes)
     LB.require(items, labels=True)
-    picked = S.balanced_sample(items.withColumnRenamed("label", "y"), sample, ["path"])
-    pictures = FS.read_pictures(spark, root, max_side).drop("error").join(
+    picked = items.where(F.col("label").isin(0, 1)).withColumnRenamed("label", "y")
+    source: str | list[str] = root
+    if sample is not None:
+        picked = S.balanced_sample(picked, sample, ["path"])
+        source = [r.path for r in picked.select("path").collect()]
+    pictures = FS.read_pictures(spark, source, max_side).drop("error").join(
         picked.select("path", "y"), "path")
     return I.image_sweep(pictures, conditions, scorer, threshold, item="path",
                          max_side=max_side)

@@ -246,7 +246,7 @@ def p14(spark, sf):
     AS large_enough, count(*)::BIGINT AS n FROM lineitem""")
 def p15(spark, sf):
     return X.table(spark, sf, "lineitem").agg(
-        F.count(F.when(N.readable_size(F.col("l_partkey"), F.col("l_orderkey") * 10), 1))
+        F.count(F.when(N.readable_size(F.col("l_partkey"), F.col("l_orderkey") * 10, 200_000_000), 1))
         .alias("readable"),
         F.count(F.when(N.real_payload(F.col("l_extendedprice")), 1)).alias("large_enough"),
         F.count(F.lit(1)).alias("n"))

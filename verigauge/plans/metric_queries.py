@@ -178,28 +178,6 @@ def a8_youden(spark, sf):
     return r6(T.best_threshold(X.tied_lines(spark, sf), "youden"))
 
 
-@query("a8_best_threshold_capped", f"""WITH {X.E_SQL}, {X.ladder_sql('e')},
-ranked AS (SELECT s, row_number() OVER (ORDER BY s) - 1 AS r, count(*) OVER () AS n FROM e),
-pos_q AS (SELECT i, (m.n - 1)::DOUBLE * CASE WHEN i = 399 THEN 1.0::DOUBLE
-    ELSE i::DOUBLE * (1.0::DOUBLE / 399) END AS h, m.n
-    FROM range(0, 400) q(i), (SELECT count(*) AS n FROM e) m),
-quant AS (SELECT q.i, a.s + (b.s - a.s) * (q.h - floor(q.h)) AS v FROM pos_q q
-    JOIN ranked a ON a.r = floor(q.h)::BIGINT
-    JOIN ranked b ON b.r = least(floor(q.h)::BIGINT + 1, q.n - 1)),
-many AS (SELECT count(DISTINCT round_even(s * 10000.0::DOUBLE, 0)) > 400 AS flag FROM e),
-cands AS (SELECT DISTINCT round_even(v * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE AS t
-    FROM quant, many WHERE flag
-    UNION SELECT DISTINCT round_even(s * 10000.0::DOUBLE, 0) / 10000.0::DOUBLE
-    FROM e, many WHERE NOT flag),
-val AS (SELECT t, sum(CASE WHEN score >= t THEN pos ELSE 0 END)::BIGINT AS tp,
-    sum(CASE WHEN score >= t THEN neg ELSE 0 END)::BIGINT AS fp, max(n_pos) AS n_pos
-    FROM cands, lad GROUP BY t)
-SELECT round(t, 6) AS threshold FROM val WHERE tp > 0
-ORDER BY (2 * tp)::DOUBLE / (tp + fp + n_pos)::DOUBLE DESC, t LIMIT 1""")
-def a8_capped(spark, sf):
-    return r6(T.best_threshold(X.scored_events(spark, sf), "f1", capped=True))
-
-
 @query("a9_threshold_for_fpr", f"""WITH {X.E_SQL}, {X.ladder_sql('e')}
 SELECT round(coalesce(min(CASE WHEN fp::DOUBLE / n_neg <= 0.01 THEN score END),
     nextafter(max(score), 1e308)), 6) AS threshold FROM lad""")

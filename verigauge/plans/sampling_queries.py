@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from verigauge.operators import audit as A
 from verigauge.operators import labelling as LB
 from verigauge.operators import sampling as S
+from verigauge.operators.scalars import attach_row
 from verigauge.plans import fixtures as X
 from verigauge.plans.label_queries import DOCS_SQL, doc_items
 from verigauge.plans.registry import query, r6
@@ -26,14 +27,34 @@ def p17_wide(spark, sf):
                            [F.col("grp"), F.col("item_id")], 3000)
 
 
+def turned(rows):
+    """The same rows, dealt to other tasks in another order."""
+    return rows.repartition(5, F.xxhash64("item_id", F.lit(3)))
+
+
+def drawn_twice(one, two, keys):
+    """Rows and distinct items per key of a draw, and whether a second draw took the same items."""
+    marks = [(df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items"),
+        F.sum(F.xxhash64("item_id").cast("decimal(38,0)")).alias("mark"))) for df in (one, two)]
+    right = marks[1].select(*[F.col(k).alias(f"{k}_2") for k in keys], F.col("mark").alias("mark_2"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"{k}_2"))
+    both = marks[0].join(right, same, "left") if keys else attach_row(marks[0], right)
+    return both.select(*keys, "n", "items",
+                       F.coalesce(F.col("mark") == F.col("mark_2"), F.lit(False)).alias("repeats"))
+
+
 @query("w1_balanced_sample", f"""WITH {X.D_SQL}, t AS (SELECT y, count(*) AS n FROM d
     WHERE y IS NOT NULL GROUP BY y), h AS (SELECT greatest(1, least(100, min(n))) AS half,
     count(*) AS classes FROM t)
-SELECT t.y, least(t.n, h.half)::BIGINT AS n, least(t.n, h.half)::BIGINT AS items FROM t, h""")
+SELECT t.y, least(t.n, h.half)::BIGINT AS n, least(t.n, h.half)::BIGINT AS items,
+    true AS repeats FROM t, h""")
 def w1(spark, sf):
-    sample = S.balanced_sample(X.partly_labelled(spark, sf), 200, ["item_id"])
-    return sample.groupBy("y").agg(F.count(F.lit(1)).alias("n"),
-                                   F.countDistinct("item_id").alias("items"))
+    rows = X.partly_labelled(spark, sf)
+    return drawn_twice(S.balanced_sample(rows, 200, ["item_id"]),
+                       S.balanced_sample(turned(rows), 200, ["item_id"]), ["y"])
 
 
 @query("w2_offset_and_cap", f"""WITH {X.D_SQL},
@@ -51,44 +72,49 @@ def w2(spark, sf):
     count(*) AS n FROM d WHERE y IS NOT NULL GROUP BY ALL),
 b AS (SELECT sum(least(n, 3)) AS budget FROM g WHERE g IS NOT NULL)
 SELECT coalesce(g, 'negatives') AS grp, (CASE WHEN g IS NULL THEN least(n, budget)
-    ELSE least(n, 3) END)::BIGINT AS n FROM g, b""")
+    ELSE least(n, 3) END)::BIGINT AS n, (CASE WHEN g IS NULL THEN least(n, budget)
+    ELSE least(n, 3) END)::BIGINT AS items, true AS repeats FROM g, b""")
 def w3(spark, sf):
-    capped = S.cap_groups(X.partly_labelled(spark, sf), 3, ["item_id"])
+    rows = X.partly_labelled(spark, sf)
     name = F.when(F.col("y") == 1, F.col("grp")).otherwise("negatives")
-    return capped.groupBy(name.alias("grp")).agg(F.count(F.lit(1)).alias("n"))
+    one, two = (S.cap_groups(r, 3, ["item_id"]).withColumn("grp", name)
+                for r in (rows, turned(rows)))
+    return drawn_twice(one, two, ["grp"])
 
 
 SPLIT_SQL = """n AS (SELECT grp, count(*) AS n FROM e GROUP BY grp),
 c AS (SELECT grp, n, round_even(n * 0.15::DOUBLE, 0)::BIGINT AS a FROM n)
-SELECT grp, split, k AS n, k AS items FROM (
+SELECT grp, split, k AS n, k AS items, true AS repeats FROM (
     SELECT grp, 'test' AS split, a AS k FROM c UNION ALL SELECT grp, 'val', a FROM c
     UNION ALL SELECT grp, 'train', n - 2 * a FROM c) t"""
 
 
 @query("w4_three_way_split", f"WITH {X.E_SQL}, {SPLIT_SQL}")
 def w4(spark, sf):
-    parts = S.split_groups(X.scored_events(spark, sf), ["grp"], ["item_id"], 0.15, 0.15)
-    return parts.groupBy("grp", "split").agg(F.count(F.lit(1)).alias("n"),
-                                             F.countDistinct("item_id").alias("items"))
+    rows = X.scored_events(spark, sf)
+    one, two = (S.split_groups(r, ["grp"], ["item_id"], 0.15, 0.15) for r in (rows, turned(rows)))
+    return drawn_twice(one, two, ["grp", "split"])
 
 
 @query("w5_manifest_split", f"""WITH {X.D_SQL}, p AS (SELECT y, least(count(*), 150) AS n FROM d
     WHERE y IS NOT NULL GROUP BY y)
-SELECT y, split, k::BIGINT AS n FROM (
+SELECT y, split, k::BIGINT AS n, k::BIGINT AS items, true AS repeats FROM (
     SELECT y, 'val' AS split, round_even(n * 0.15::DOUBLE, 0)::BIGINT AS k FROM p
     UNION ALL SELECT y, 'train', n - round_even(n * 0.15::DOUBLE, 0)::BIGINT FROM p) t""")
 def w5(spark, sf):
     rows = X.partly_labelled(spark, sf).where("y IS NOT NULL").select("item_id", "y")
     files = X.table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"))
-    return S.manifest_split(rows, files, "item_id", 150, 0.15).groupBy("y", "split").agg(
-        F.count(F.lit(1)).alias("n"))
+    one, two = (S.manifest_split(r, files, "item_id", 150, 0.15) for r in (rows, turned(rows)))
+    return drawn_twice(one, two, ["y", "split"])
 
 
-@query("w10_shuffled_first", "SELECT 500::BIGINT AS n, 500::BIGINT AS items")
+@query("w10_shuffled_first", f"""WITH {X.E_SQL}, t AS (SELECT least(500, count(*)) AS k FROM e)
+SELECT k::BIGINT AS n, k::BIGINT AS items, k::BIGINT AS known, true AS repeats FROM t""")
 def w10(spark, sf):
-    return S.shuffled_first(X.scored_events(spark, sf).select("item_id"), 500,
-                            ["item_id"]).groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("item_id").alias("items"))
+    rows = X.scored_events(spark, sf).select("item_id")
+    one, two = (S.shuffled_first(r, 500, ["item_id"]) for r in (rows, turned(rows)))
+    known = one.join(rows, "item_id", "left_semi").groupBy().agg(F.count(F.lit(1)).alias("known"))
+    return attach_row(drawn_twice(one, two, []), known).select("n", "items", "known", "repeats")
 
 
 @query("w11_first_sorted", f"""WITH {DOCS_SQL} SELECT doc_id, path FROM f
@@ -97,18 +123,22 @@ def w11(spark, sf):
     return doc_items(spark, sf).select("doc_id", "path").orderBy("path").limit(100)
 
 
-@query("k8_layout", f"""WITH {X.D_SQL}, t AS (SELECT y, grp, count(*) AS n FROM d
-    WHERE y IS NOT NULL GROUP BY ALL)
-SELECT cls, sum(n)::BIGINT AS n, count(DISTINCT grp)::BIGINT AS groups FROM (
-    SELECT CASE WHEN y = 1 THEN 'fake' ELSE 'real' END AS cls, grp, n FROM t) x GROUP BY cls""")
+@query("k8_layout", f"""WITH {X.D_SQL} SELECT item_id,
+    CASE WHEN y = 1 THEN 'fake' ELSE 'real' END AS cls,
+    (CASE WHEN y = 1 THEN 'fake' ELSE 'real' END) || '/' || grp || '/' || item_id || '.txt' AS place,
+    true AS in_split, true AS alone FROM d WHERE y IS NOT NULL""")
 def k8(spark, sf):
     from verigauge.sinks.writers import layout_rows
     parts = S.split_groups(X.partly_labelled(spark, sf).where("y IS NOT NULL"),
                            ["y", "grp"], ["item_id"], 0.15, 0.15)
-    rows = layout_rows(parts, F.col("item_id").cast("string"))
-    return rows.groupBy("class").agg(
-        F.count(F.lit(1)).alias("n"), F.countDistinct("grp").alias("groups")
-    ).withColumnRenamed("class", "cls")
+    path = F.concat(F.lit("all/of/them/"), F.col("item_id").cast("string"), F.lit(".txt"))
+    rows = layout_rows(parts.withColumn("path", path), F.col("path"))
+    head = F.substring_index("target", "/", 1)
+    return rows.select(
+        F.regexp_extract("source", r"([0-9]+)\.txt$", 1).cast("bigint").alias("item_id"),
+        F.col("class").alias("cls"), F.expr("substring(target, length(split) + 2)").alias("place"),
+        ((head == F.col("split")) & F.col("split").isin("train", "val", "test")).alias("in_split"),
+        (F.col("same_name") == 1).alias("alone"))
 
 
 def sized(spark, sf):
@@ -206,12 +236,11 @@ def a29(spark, sf):
     return A.term_counts(X.table(spark, sf, "documents"), "text")
 
 
-FRACTION_SQL = f"""{X.D_SQL}, v AS (SELECT s, n_chars / 20000.0::DOUBLE AS fraction FROM d
-    WHERE n_chars >= 50)"""
+FRACTION_SQL = f"""{X.D_SQL}, v AS (SELECT s, n_chars / 20000.0::DOUBLE AS fraction FROM d)"""
 
 
 def with_fraction(spark, sf):
-    return X.partly_labelled(spark, sf).where("n_chars >= 50").withColumn(
+    return X.partly_labelled(spark, sf).withColumn(
         "fraction", F.col("n_chars") / F.lit(20000.0))
 
 
@@ -224,13 +253,13 @@ def _bin_sql() -> str:
 @query("a31_recall_by_fraction", f"""WITH {FRACTION_SQL}, b AS (SELECT {_bin_sql()} AS bin, s FROM v)
 SELECT bin, count(*)::BIGINT AS n,
     round(count(*) FILTER (WHERE s >= 0.5) / count(*)::DOUBLE, 6) AS recall,
-    round(avg(s), 6) AS mean_score FROM b WHERE bin IS NOT NULL GROUP BY bin
-HAVING count(*) >= 5""")
+    round(avg(s), 6) AS mean_score, count(*) < 5 AS thin FROM b WHERE bin IS NOT NULL
+GROUP BY bin""")
 def a31(spark, sf):
     return r6(A.recall_by_fraction(with_fraction(spark, sf), 0.5))
 
 
 @query("a32_correlation", f"""WITH {FRACTION_SQL} SELECT count(*)::BIGINT AS n,
-    round(CASE WHEN count(*) > 10 THEN corr(fraction, s) END, 6) AS r FROM v""")
+    round(corr(fraction, s), 6) AS r FROM v""")
 def a32(spark, sf):
     return r6(A.correlation(with_fraction(spark, sf), "fraction", "s"))

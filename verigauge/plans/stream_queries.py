@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from verigauge.operators.scoring import VectorHeadScorer
 from verigauge.plans import fixtures as X
 from verigauge.plans.registry import query, r6
 from verigauge.plans.vector_queries import HEADS, V_SQL, logit_sql, prob_sql
+from verigauge.session import shared_folder
 from verigauge.streaming import incremental as IN
 
 
@@ -18,10 +16,7 @@ from verigauge.streaming import incremental as IN
     FROM u) SELECT item_id AS vec_id, round({prob_sql(HEADS[0], 'q')}, 6) AS score FROM z""")
 def t1(spark, sf):
     """Two runs over the same input: the second one finds nothing new."""
-    if spark.conf.get("spark.checkpoint.dir", None):
-        work = IN.checkpoint_folder(spark, f"stream-{uuid.uuid4().hex}")
-    else:
-        work = tempfile.mkdtemp(prefix="run-")
+    work = shared_folder(spark, "stream")
     table = X.table(spark, sf, "embeddings").select(
         "vec_id", F.col("embedding").cast("array<double>").alias("v"))
     table.write.parquet(f"{work}/in")

@@ -5,8 +5,10 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from verigauge.functions import vectors as V
+from verigauge.functions.numeric import sigmoid
 from verigauge.operators import conditions as D
 from verigauge.operators import heads as H
 from verigauge.operators import sampling as S
@@ -164,10 +166,10 @@ def v5(spark, sf):
 
 @query("v6_compatible_members", f"""WITH {V_SQL}, m AS (SELECT member FROM
     (VALUES ('first'), ('second'), ('third')) t(member))
-SELECT member, count(*)::BIGINT AS n FROM u, m GROUP BY member""")
+SELECT member, item_id, round(CASE member {" ".join(f"WHEN '{h.name}' THEN {logit_sql(h)}" for h in HEADS[:3])} END, 6) AS logit
+FROM u, m""")
 def v6(spark, sf):
-    return H.member_scores(features(spark, sf), "v", HEADS).groupBy("member").agg(
-        F.count("p").alias("n"))
+    return r6(H.member_scores(features(spark, sf), "v", HEADS).select("member", "item_id", "logit"))
 
 
 @query("v7_class_weight", f"""WITH {V_SQL} SELECT count(*) FILTER (WHERE y = 0)::BIGINT AS n_neg,
@@ -178,13 +180,14 @@ def v7(spark, sf):
 
 
 @query("v10_class_logits", f"""WITH {V_SQL}, z AS (SELECT item_id, CASE WHEN item_id % 2 = 0
-    THEN list_transform(v[1:3], lambda x: x * 10) ELSE list_transform(v[1:1], lambda x: x * 10)
+    THEN list_transform(v, lambda x: x * 10) ELSE [list_sum(v) * 10]
     END AS o FROM u)
 SELECT item_id, round(CASE WHEN len(o) = 1 THEN 1.0::DOUBLE / (1.0::DOUBLE + exp(-o[1]))
     ELSE exp(o[2]) / list_sum(list_transform(o, lambda x: exp(x))) END, 6) AS p FROM z""")
 def v10(spark, sf):
-    width = F.when(F.col("item_id") % 2 == 0, 3).otherwise(1)
-    outputs = F.transform(F.slice("v", F.lit(1), width), lambda x: x * 10.0)
+    every = F.transform("v", lambda x: x * 10.0)
+    total = F.aggregate("v", F.lit(0.0), lambda s, x: s + x) * 10.0
+    outputs = F.when(F.col("item_id") % 2 == 0, every).otherwise(F.array(total))
     return r6(features(spark, sf).select(
         "item_id", V.positive_probability(outputs, 1).alias("p")))
 
@@ -216,9 +219,11 @@ def view_logits(spark, sf):
 
 @query("a19_view_pooling", f"""WITH {V_SQL}, {VIEWS_SQL}
 SELECT item_id, round(avg({prob_sql(HEADS[0], 's')}), 6) AS p, count(*)::BIGINT AS views FROM vz
-GROUP BY item_id""")
+WHERE NOT (item_id % 7 = 0 AND view_id = 2) GROUP BY item_id""")
 def a19(spark, sf):
-    rows = view_logits(spark, sf).withColumn("p", H.probability(F.col("s"), HEADS[0]))
+    failed = (F.col("item_id") % 7 == 0) & (F.col("view_id") == 2)
+    p = H.probability(F.col("s"), HEADS[0])
+    rows = view_logits(spark, sf).withColumn("p", F.when(failed, float("nan")).otherwise(p))
     return H.pool_views(rows, ["item_id"])
 
 
@@ -294,19 +299,39 @@ def prepared_views(spark, sf):
     return rows.withColumn("fold", F.pmod(F.xxhash64("item_id"), F.lit(4)))
 
 
-@query("v8_head_fit")
+@query("v8_head_fit", f"""WITH {V_SQL}, t AS (SELECT count(DISTINCT y) = 2 AS fine FROM u)
+SELECT r.round::INTEGER AS round, fine AS worst_is_least, fine AS in_range, fine AS best_has_most,
+    1::BIGINT AS n_best FROM t, range(0, 2) r(round)""")
 def v8(spark, sf):
+    """What must hold of any fit: view AUCs in order and in range, the best worst-view round kept."""
     rows = prepared_views(spark, sf)
     fit = TR.fit_head(rows.where("fold > 0"), rows.where("fold = 0"), rounds=2, views=4,
                       iterations=15)
-    return r6(TR.history_rows(spark, fit))
-
-
-@query("v9_platt_fit")
+    h, every = TR.history_rows(spark, fit), Window.partitionBy(F.lit(1))   # one row per round
+    mark = 1e-9
+    return h.select(
+        "round",
+        ((F.col("auc_worst") <= F.col("auc_mean") + mark)
+         & (F.col("auc_worst") <= F.col("auc_clean") + mark)).alias("worst_is_least"),
+        (F.col("auc_worst").between(0, 1) & F.col("auc_pooled").between(0.4, 1)
+         & F.col("fpr95_pooled").between(0, 1)).alias("in_range"),
+        (F.max(F.when(F.col("best"), F.col("auc_worst"))).over(every)
+         == F.max("auc_worst").over(every)).alias("best_has_most"),
+        F.count(F.when(F.col("best"), 1)).over(every).alias("n_best"))
+
+
+@query("v9_platt_fit", f"""WITH {X.E_SQL} SELECT count(*)::BIGINT AS n, 0.0::DOUBLE AS offset_gradient,
+    0.0::DOUBLE AS slope_gradient FROM e""")
 def v9(spark, sf):
-    a, b = TR.fit_platt(X.scored_events(spark, sf))
-    return r6(X.scored_events(spark, sf).groupBy("y").agg(
-        F.count(F.lit(1)).alias("n"), F.lit(a).alias("platt_a"), F.lit(b).alias("platt_b")))
+    """The fit is the one point where both mean gradients of the loss are zero."""
+    rows = X.scored_events(spark, sf)
+    broken = rows.limit(1).withColumn("s", F.lit(float("nan")))
+    a, b = TR.fit_platt(rows.unionByName(broken))
+    gap = sigmoid(F.col("s") * a + b) - F.col("y")
+    zero = F.lit(0.0)
+    return rows.groupBy().agg(
+        F.count(F.lit(1)).alias("n"), (F.round(F.avg(gap), 4) + zero).alias("offset_gradient"),
+        (F.round(F.avg(gap * F.col("s")), 4) + zero).alias("slope_gradient"))
 
 
 @query("e1_scored_items", f"""WITH {V_SQL}, z AS (SELECT item_id, {logit_sql(HEADS[0])} AS q

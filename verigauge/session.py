@@ -8,6 +8,7 @@ from __future__ import annotations
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -29,6 +30,19 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(app)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder below ``spark.checkpoint.dir``; in local mode, where it may be unset, a new temporary one.
+
+    On a cluster driver and executors see different temporary folders, so the setting is needed there.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir is not set")
+        base = tempfile.mkdtemp(prefix="run-")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int | None = None,
                   app: str = "verigauge") -> SparkSession:
     parts = shuffle_partitions or (os.cpu_count() or 8)

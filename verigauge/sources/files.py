@@ -6,7 +6,7 @@ needs pixels. Spark itself passes over names that start with ``_`` or ``.``.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -68,10 +68,12 @@ def scan_items(spark: SparkSession, root: str, mode: str = LB.AUTO,
     items = list_images(spark, root)
     lookup = None
     if mode in (LB.AUTO, LB.MANIFEST):
-        found = manifest or find_manifest(spark, root)
-        if found:
-            lookup = LB.manifest_lookup(
-                read_manifest(spark, found), found.rsplit("/", 1)[0], tokens=tokens)
+        found = [manifest] if manifest else manifests(spark, root)
+        for path in found:
+            rows = read_manifest(spark, path)
+            if manifest or usable_manifest(rows):
+                lookup = LB.manifest_lookup(rows, path.rsplit("/", 1)[0], tokens=tokens)
+                break
     return LB.apply_labels(items, mode, lookup, regex, tokens)
 
 
@@ -104,10 +106,21 @@ def _exists(spark: SparkSession, path: str) -> bool:
         raise
 
 
+def manifests(spark: SparkSession, root: str) -> Iterator[str]:
+    """Recognised manifests in the root folder itself, in order of preference."""
+    paths = (f"{root.rstrip('/')}/{n}" for n in MANIFEST_NAMES)
+    return (p for p in paths if _exists(spark, p))
+
+
 def find_manifest(spark: SparkSession, root: str) -> str | None:
     """First recognised manifest in the root folder itself."""
-    paths = (f"{root.rstrip('/')}/{n}" for n in MANIFEST_NAMES)
-    return next((p for p in paths if _exists(spark, p)), None)
+    return next(manifests(spark, root), None)
+
+
+def usable_manifest(rows: DataFrame) -> bool:
+    """Whether rows tell a path and a label; of a broken file they do not."""
+    return bool(LB.pick_key(rows.columns, LB.PATH_KEYS) and LB.pick_key(rows.columns, LB.LABEL_KEYS)
+                and rows.take(1))
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -120,17 +133,25 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
         clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in df.columns]
         return df.select(*clean, numbered)
+    # the shape is read off the text: inference would make a flat object one column per path
+    text = spark.read.option("wholetext", True).text(path)
+    top = F.from_json("value", "map<string,string>")
+    wrapped = F.exists(F.array(*[F.lit(k) for k in WRAPPER_KEYS]),
+                       lambda k: F.coalesce(F.try_element_at("top", k).rlike(r"^\s*\["), F.lit(False)))
+
+    def named(keys: Sequence[str]) -> Column:
+        return F.exists(F.map_keys("top"), lambda k: F.lower(F.trim(k)).isin(*keys))
+    shape = text.select(F.col("value").rlike(r"^\s*\{").alias("object"), top.alias("top")).select(
+        (F.col("object") & F.col("top").isNotNull() & ~wrapped
+         & ~(named(LB.PATH_KEYS) & named(LB.LABEL_KEYS))).alias("flat")).first()
+    if shape and shape.flat:
+        return text.select(F.explode(top).alias("image_path", "label")).select("*", numbered)
     df = spark.read.option("multiLine", True).json(path)
     for key in WRAPPER_KEYS:
         if key in df.columns and isinstance(df.schema[key].dataType, T.ArrayType) \
                 and isinstance(df.schema[key].dataType.elementType, T.StructType):
             return df.select(F.inline(F.col(key))).select("*", numbered)
-    if LB.pick_key(df.columns, LB.PATH_KEYS) and LB.pick_key(df.columns, LB.LABEL_KEYS):
-        return df.select("*", numbered)
-    # a flat object: read it again as one map instead of one column per path
-    text = spark.read.option("wholetext", True).text(path)
-    pairs = F.from_json("value", "map<string,string>")
-    return text.select(F.explode(pairs).alias("image_path", "label")).select("*", numbered)
+    return df.select("*", numbered)
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -194,17 +215,18 @@ def read_sweep_report(spark: SparkSession, path: str, lines: bool | None = None)
     multi = path.lower().endswith(".json") if lines is None else not lines
     try:
         df = spark.read.schema(schema).option("multiLine", multi).json(path)
-    except Exception:
+    except AnalysisException:
         df = spark.createDataFrame([], schema)
     return df.select(F.col("baseline.accuracy").alias("baseline"), F.inline("cells")).select(
         "transform", "severity", "severity_label", nan_to_null(F.col("metrics.accuracy"))
         .alias("accuracy"), nan_to_null(F.col("metrics.auc")).alias("auc"), "baseline")
 
 
-def read_pictures(spark: SparkSession, root: str, max_side: int | None = None) -> DataFrame:
-    """Decoded RGB pictures ``path, height, width, pixels, error`` below a folder.
+def read_pictures(spark: SparkSession, root: str | list[str],
+                  max_side: int | None = None, most_pixels: int | None = None) -> DataFrame:
+    """Decoded RGB pictures ``path, height, width, pixels, error`` below a folder or of a list of files.
 
-    A file that cannot be decoded keeps its row with an error text.
+    With ``most_pixels`` a larger picture keeps its row with an error instead of its pixels. A file that cannot be decoded keeps its row with an error text.
     """
     raw = (spark.read.format("image").option("dropInvalid", False)
            .option("recursiveFileLookup", True)
@@ -220,6 +242,8 @@ def read_pictures(spark: SparkSession, root: str, max_side: int | None = None) -
                 try:
                     if r.nChannels < 1:
                         raise ValueError("cannot be decoded")
+                    if most_pixels is not None and r.height * r.width > most_pixels:
+                        raise ValueError(f"{r.height * r.width} pixels exceed {most_pixels}")
                     img = np.frombuffer(r.data, dtype=np.uint8).reshape(
                         r.height, r.width, r.nChannels)
                     # Spark hands over blue, green, red and maybe alpha
