@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 END = 1
 _FOOTER = "<4Q8s"
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 1 << 20
+REMEMBERED = 400_000
 
 
 def bits_for(vocabulary: int) -> int:
