@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from verigauge.llm import twins
 from verigauge.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,7 @@ def op10(spark, sf_dir):
     return near_copy_classes(table(spark, sf_dir, "documents"))
 
 
-@query("op3_repeats")
+@query("op3_repeats", twins.REPEATS)
 def op3(spark, sf_dir):
     from verigauge.llm.repeats import remove_repeats
     return remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
@@ -80,7 +81,7 @@ def op4(spark, sf_dir):
     return read_ids(write_ids(table(spark, sf_dir, "documents"), public_tokenizer()))
 
 
-@query("op1_vector_copies")
+@query("op1_vector_copies", twins.VECTORS)
 def op1(spark, sf_dir):
     from verigauge.llm.vectors import vector_classes
     return vector_classes(table(spark, sf_dir, "embeddings"))
@@ -92,7 +93,7 @@ def op6(spark, sf_dir):
     return score_texts(table(spark, sf_dir, "documents"))
 
 
-@query("op5_warc")
+@query("op5_warc", twins.WARC)
 def op5(spark, sf_dir):
     from pyspark.sql import functions as F
 
