@@ -21,7 +21,7 @@ import struct
 import unicodedata
 import zlib
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +35,7 @@ BLOCK = 1 << 16
 END = 1
 _FOOTER = "<4Q8s"
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -127,12 +127,9 @@ class Encoder:
         size = self.tokenizer.get_vocab_size()
         self.ends = np.zeros(size, bool)
         self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-        self._clear()
-
-    def _clear(self) -> None:
         self.number: dict[bytes, int] = {}
         self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.begin = np.zeros(1 << 16, np.int64)
+        self.begin, self.hits = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32)
 
     def _each(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, first id of each piece and the end)."""
@@ -176,18 +173,37 @@ class Encoder:
         self.used = int(self.begin[first + len(new)])
         self.number.update(zip(new, range(first, first + len(new)), strict=True))
 
+    def _forget(self) -> None:
+        """Make room: pieces met once since the last time go, then those met least."""
+        n = len(self.number)
+        least = max(2, int(np.partition(self.hits[:n], n // 2)[n // 2]) + 1)
+        stay = np.flatnonzero(self.hits[:n] >= least)
+        size = (self.begin[1:n + 1] - self.begin[:n])[stay]
+        start = np.zeros(len(stay) + 1, np.int64)
+        np.cumsum(size, out=start[1:])
+        self.flat[:start[-1]] = self.flat[np.repeat(self.begin[stay] - start[:-1], size) + np.arange(start[-1])]
+        self.begin[:len(start)], self.used = start, int(start[-1])
+        kept = set(stay.tolist())
+        self.number = {p: i for i, p in enumerate(p for k, p in enumerate(self.number) if k in kept)}
+        self.hits[:] = 0
+
     def encode(self, texts: list[bytes], end: int | None = END) -> list[np.ndarray]:
         """Ids of whole texts (UTF-8), each with ``end`` behind it."""
         # special tokens are looked for before letters become small
         pieces = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        every = set().union(*pieces)
-        new = [p for p in every if p not in self.number]
-        if len(self.number) + len(new) > REMEMBERED and self.number:
-            self._clear()
-            new = list(every)
-        self._learn(new)
         sizes = np.array([len(p) for p in pieces], np.int64)
-        k = np.fromiter(map(self.number.__getitem__, chain.from_iterable(pieces)), np.int64, int(sizes.sum()))
+        flat = list(chain.from_iterable(pieces))
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        k = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
+        unknown = np.flatnonzero(k < 0)
+        if len(unknown):
+            words = [flat[i] for i in unknown.tolist()]
+            self._learn(list(dict.fromkeys(words)))
+            k[unknown] = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+        if len(self.hits) < len(self.begin):
+            self.hits = np.concatenate([self.hits, np.zeros(len(self.begin) - len(self.hits), np.int32)])
+        self.hits[:len(self.number)] += np.bincount(k, minlength=len(self.number)).astype(np.int32)
         begin, n = self.begin[k], self.begin[k + 1] - self.begin[k]
         upto = np.zeros(len(k) + 1, np.int64)
         np.cumsum(n, out=upto[1:])
