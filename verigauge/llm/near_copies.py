@@ -186,7 +186,8 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
                                                       "l0 long, l1 long, l2 long"))
     rows = _bucket_rows(sketches)
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")
-    sized = kept(rows.join(sizes, ["band", "key"]))
+    # a table of its own on either side lets Spark split the rows of a hot key
+    sized = kept(rows.join(kept(sizes), ["band", "key"]))
     small, large = sized.where(F.col("n") <= SMALL_BUCKET), sized.where(F.col("n") > SMALL_BUCKET)
     pairs = _pairs(small, small, F.col("x.node") < F.col("y.node"), threshold)
     heads = large.where(F.col("node") == F.col("head"))
@@ -287,7 +288,7 @@ def near_copy_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                                              F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
     placed = (ids.where("node IS NOT NULL").join(groups, "node", "left")
               .select("doc_id", F.coalesce("component", "node").alias("class")))
-    heads = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size"))
+    heads = kept(placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.count("*").alias("class_size")))
     return (placed.join(heads, "class")
             .select("doc_id", "class_id", "class_size", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("kept"))
             .unionByName(alone))
