@@ -183,3 +183,17 @@ def test_broken_manifest_falls_through(spark, picture_tree):
         f.write("path,label\nreal/camera1/r0.png,1\n")
     got = {r.rel_path: r.label for r in FS.scan_items(spark, picture_tree, "manifest").collect()}
     assert got["real/camera1/r0.png"] == 1
+
+
+def test_threshold_counts_reuse_the_score_counts(spark):
+    from verigauge.operators import conditions as D
+    from verigauge.operators import thresholds as T
+    df = spark.range(3000).select((F.col("id") % 2).cast("int").alias("y"), (F.col("id") % 3).alias("view_id"),
+                                  (F.pmod(F.xxhash64("id"), F.lit(997)) / 997).alias("s"))
+    for out in (T.fpr_at_tpr(df), D.view_metrics(df)):
+        assert out.count() == 1
+        out.collect()
+        plan = out._jdf.queryExecution().executedPlan()
+        out._jdf.collectToPython()
+        text = out._jdf.queryExecution().executedPlan().toString()
+        assert "ReusedExchange" in text or text.count("Range (") == 1, plan

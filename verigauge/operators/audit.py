@@ -35,11 +35,7 @@ def geometry_audit(df: DataFrame, cls: str, width: str, height: str,
     label = F.concat(F.col(width).cast("string"), F.lit("x"), F.col(height).cast("string"))
     best = top_per_group(
         sizes, [cls], [F.col("items").desc(), F.col(width), F.col(height)], top, rank="rank")
-    named = best.groupBy(F.col(cls).alias("_cls")).agg(F.array_join(F.transform(
-        F.sort_array(F.collect_list(F.struct(
-            "rank", F.concat(label, F.lit("("), F.col("items").cast("string"),
-                             F.lit(")")).alias("text")))),
-        lambda r: r["text"]), ", ").alias("top_sizes"))
+    named = _ranked_list(best, cls, label, "top_sizes")
     return totals.join(named, F.col(cls).eqNullSafe(F.col("_cls")), "left").select(
         cls, "n", "square", ratio(F.col("square"), F.col("n")).alias("square_share"),
         "top_sizes")
@@ -75,24 +71,46 @@ def trivial_rules(df: DataFrame, rules: dict[str, Column], truth: str = "y") ->
                        ).alias("balanced_accuracy"))
 
 
-def format_audit(df: DataFrame, cls: str, ext: str, length: str) -> DataFrame:
-    """Per class: rows, mean size in KB, dominant format, and whether it differs by class."""
+def _ranked_list(best: DataFrame, cls: str, label: Column, out: str) -> DataFrame:
+    """Per class: ``label(items)`` of its few ranked rows, in order of rank."""
+    text = F.concat(label, F.lit("("), F.col("items").cast("string"), F.lit(")"))
+    return best.groupBy(F.col(cls).alias("_cls")).agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("rank", text.alias("text")))),
+        lambda r: r["text"]), ", ").alias(out))
+
+
+def format_audit(df: DataFrame, cls: str, ext: str, length: str, top: int = 3) -> DataFrame:
+    """Per class: rows, mean size in KB, dominant and most common formats, and whether the dominant one differs."""
     kinds = df.groupBy(cls, ext).agg(F.count(F.lit(1)).alias("items"),
                                      F.sum(F.col(length).cast("bigint")).alias("bytes"))
     per_class = kinds.groupBy(cls).agg(
         F.sum("items").alias("n"), (F.sum("bytes") / F.sum("items") / 1024.0).alias("mean_kb"),
         F.max(F.struct(F.col("items"), F.col(ext).alias("ext")))["ext"].alias("dominant"))
     whole = Window.partitionBy(F.lit(1))                   # one row per class
-    return per_class.withColumn(
+    best = top_per_group(kinds.drop("bytes"), [cls], [F.col("items").desc(), F.col(ext)], top, rank="rank")
+    named = _ranked_list(best, cls, F.coalesce(F.col(ext), F.lit("")), "top_formats")
+    return per_class.join(named, F.col(cls).eqNullSafe(F.col("_cls")), "left").drop("_cls").withColumn(
         "differs", F.min("dominant").over(whole) != F.max("dominant").over(whole))
 
 
-def manifest_profile(manifest: DataFrame, items: DataFrame, key: str,
-                     label: str = "label") -> DataFrame:
-    """Per label: rows and rows whose file is not in the scan."""
-    seen = items.select(F.col(key).alias("_key")).distinct()
-    return manifest.join(seen, F.col(key) == F.col("_key"), "left").groupBy(label).agg(
+def manifest_profile(manifest: DataFrame, items: DataFrame, key: str, label: str = "label",
+                     width: str | None = None, height: str | None = None) -> DataFrame:
+    """Per label: rows and rows whose file is not in the scan.
+
+    With the names of a width and a height of the scan also the squares and most common sizes
+    of the files that are there.
+    """
+    sizes = [] if width is None else [F.min(width).alias("_w"), F.min(height).alias("_h")]
+    seen = items.groupBy(F.col(key).alias("_key")).agg(F.lit(1).alias("_seen"), *sizes)
+    joined = manifest.join(seen, F.col(key) == F.col("_key"), "left")
+    counts = joined.groupBy(label).agg(
         F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_key").isNull(), 1)).alias("missing"))
+    if width is None:
+        return counts
+    shapes = geometry_audit(joined.where("_w IS NOT NULL AND _h IS NOT NULL"), label, "_w", "_h").select(
+        F.col(label).alias("_label"), "square", "top_sizes")
+    return counts.join(shapes, F.col(label).eqNullSafe(F.col("_label")), "left").select(
+        label, "n", "missing", F.coalesce("square", F.lit(0).cast("bigint")).alias("square"), "top_sizes")
 
 
 def term_counts(df: DataFrame, text: str, top: int = 30, min_length: int = 4) -> DataFrame:

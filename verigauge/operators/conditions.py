@@ -14,11 +14,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from verigauge.functions.numeric import nan_to_null, ratio, sigmoid
-from verigauge.operators.ladder import quantile_of, score_counts, score_ladder
+from verigauge.operators.ladder import (
+    ladder_from_counts, quantile_of, score_counts, score_ladder)
 from verigauge.operators.metrics import (
     ap_fold, auc_fold, flagged_fold, metrics_from_ladder)
 from verigauge.operators.scalars import attach_per_key
-from verigauge.operators.thresholds import counts_at
+from verigauge.operators.thresholds import counts_above, counts_at
 
 GRID_FAMILIES = ("jpeg", "blur", "resize", "noise", "color", "crop")
 CELL = ("key", "family", "severity", "label")
@@ -226,15 +227,16 @@ def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int | str = 0
                  score: str = "s", truth: str = "y") -> DataFrame:
     """Clean, mean, worst and pooled AUC over views, and pooled FPR at 95% TPR.
 
-    Each row counts once in its view and once in the pooled set, so one ladder
-    serves both.
+    Rows are counted per view and score once; the pooled counts are sums of those, so
+    one ladder serves both and the rows are read once.
     """
-    v = F.col(view)
-    sets = F.array(F.struct(F.lit(False).alias("pooled"), v.alias("subset")),
-                   F.struct(F.lit(True).alias("pooled"),
-                            F.lit(None).cast(df.schema[view].dataType).alias("subset")))
-    both = df.select(F.col(score).alias("s"), F.col(truth).alias("y"), F.inline(sets))
-    fold = score_ladder(both, ["pooled", "subset"]).groupBy("pooled", "subset").agg(
+    counts = score_counts(df, [view], score, truth)
+    pooled = counts.groupBy("score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    kind = df.schema[view].dataType
+    both = counts.select(F.lit(False).alias("pooled"), F.col(view).alias("subset"), "score", "pos",
+                         "neg").unionByName(pooled.select(
+        F.lit(True).alias("pooled"), F.lit(None).cast(kind).alias("subset"), "score", "pos", "neg"))
+    fold = ladder_from_counts(both, ["pooled", "subset"]).groupBy("pooled", "subset").agg(
         auc_fold().alias("auc"), quantile_of("pos", 0.05).alias("at"),
         F.max("n_neg").alias("n_neg"))
     one_view = F.when(~F.col("pooled"), F.col("auc"))
@@ -245,7 +247,7 @@ def view_metrics(df: DataFrame, view: str = "view_id", clean_view: int | str = 0
         F.max(F.when(whole, F.col("auc"))).alias("auc_pooled"),
         F.max(F.when(whole, F.col("at"))).alias("at"),
         F.max(F.when(whole, F.col("n_neg"))).alias("n_neg"))
-    return counts_at(df, summary, [F.col("at")], [], score, truth).select(
+    return counts_above(counts, summary, [F.col("at")]).select(
         "auc_clean", "auc_mean", "auc_worst", "auc_pooled",
         F.when(F.col("at").isNotNull(), ratio(F.col("fps")[0], F.col("n_neg")))
         .alias("fpr95_pooled"))

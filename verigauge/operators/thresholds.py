@@ -1,7 +1,7 @@
 """Decision thresholds: by criterion, by false-positive budget, by quantile.
 
 All searches are folds over one score ladder; counts at a threshold that was
-found this way come from a second, unordered pass over the rows. Where several thresholds reach
+found this way come from a second, unordered pass over the counts per score. Where several thresholds reach
 the same value the lowest one is taken.
 """
 
@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from verigauge.functions.numeric import nan_to_null, next_above, ratio
+from verigauge.functions.numeric import next_above, ratio
 from verigauge.operators.ladder import (
     ladder_from_counts, quantile_of, score_counts, score_ladder)
 from verigauge.operators.metrics import (
@@ -120,20 +120,28 @@ def counts_at(df: DataFrame, per_key: DataFrame, thresholds: Sequence[Column],
               few: bool = False) -> DataFrame:
     """Adds ``tps`` and ``fps``: rows of each class at or above thresholds known per key.
 
-    ``thresholds`` are expressions over the columns of ``per_key``. This is a
-    second, plain pass over the rows; it does not order them again.
+    ``thresholds`` are expressions over the columns of ``per_key``. The rows are read as
+    counts per score, the same ones a ladder of this table starts from: Spark reuses their
+    exchange, so the table behind them (maybe a costly scorer) is computed once.
     """
-    rows = df.select(*keys, nan_to_null(F.col(score)).alias("_s"),
-                     F.col(truth).cast("int").alias("_y")).where(
-        F.col("_s").isNotNull() & F.col("_y").isNotNull())
-    joined = attach_per_key(rows, per_key, keys, few=few)
+    return counts_above(score_counts(df, keys, score, truth), per_key, thresholds, keys, few)
+
+
+def counts_above(counts: DataFrame, per_key: DataFrame, thresholds: Sequence[Column],
+                 keys: Sequence[str] = (), few: bool = False) -> DataFrame:
+    """:func:`counts_at` over pre-counted ``(keys, score, pos, neg)`` rows."""
     others = [c for c in per_key.columns if c not in keys]
+    rows = counts.select(*keys, F.col("score").alias("_s"), F.col("pos").alias("_pos"),
+                         F.col("neg").alias("_neg")).where("_pos + _neg > 0")
+    # the filter needs both counts, so that this read of them equals that of the ladder
+    joined = attach_per_key(rows, per_key, keys, few=few)
 
-    def hits(y: int) -> Column:
-        return F.array(*[F.count(F.when((F.col("_y") == y) & (F.col("_s") >= t), 1))
+    def hits(side: str) -> Column:
+        return F.array(*[F.coalesce(F.sum(F.when(F.col("_s") >= t, F.col(side))), F.lit(0))
                          for t in thresholds])
     return joined.groupBy(*keys).agg(
-        *[F.first(c).alias(c) for c in others], hits(1).alias("tps"), hits(0).alias("fps"))
+        *[F.first(c).alias(c) for c in others], hits("_pos").alias("tps"),
+        hits("_neg").alias("fps"))
 
 
 def fpr_at_tpr(df: DataFrame, target: float = 0.95, keys: Sequence[str] = (),

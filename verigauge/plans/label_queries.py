@@ -371,7 +371,8 @@ b AS (SELECT count(*)::BIGINT AS n_images, count(*) FILTER (WHERE y = 0)::BIGINT
     count(*) FILTER (WHERE y = 1)::BIGINT AS all_ai,
     count(*) FILTER (WHERE y IS NULL)::BIGINT AS n_unlabeled, count(s)::BIGINT AS images_scored,
     count(*) FILTER (WHERE s IS NULL)::BIGINT AS images_failed FROM df)
-SELECT b.*, accuracy, auc, f1, tp, fp, tn, fn FROM b, m""")
+SELECT b.*, accuracy, auc, f1, tp, fp, tn, fn, 'timestamp' AS generated_type, true AS just_now
+FROM b, m""")
 def k3(spark, sf):
     df = some_failed(spark, sf)
     report = R.run_report(LB.class_balance(df, "y", "s"), M.metrics(df, 0.5), "length score",
@@ -379,7 +380,10 @@ def k3(spark, sf):
     return r6(report.select(
         "dataset.n_images", F.col("dataset.n_real").alias("all_real"),
         F.col("dataset.n_ai").alias("all_ai"), "dataset.n_unlabeled", "run.images_scored",
-        "run.images_failed", *[F.col(f"metrics.{c}").alias(c) for c in
+        "run.images_failed", F.typeof("generated_at").alias("generated_type"),
+        (F.col("generated_at").between(F.current_timestamp() - F.expr("INTERVAL 1 HOUR"),
+                                       F.current_timestamp())).alias("just_now"),
+        *[F.col(f"metrics.{c}").alias(c) for c in
                                ("accuracy", "auc", "f1", "tp", "fp", "tn", "fn")]))
 
 

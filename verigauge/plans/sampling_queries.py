@@ -178,11 +178,14 @@ def a25_warning(spark, sf):
     ELSE 'http' END AS cls, lower(regexp_extract(regexp_replace(url, '[?#].*$', ''),
     '/[^/]*(\\.[^./]+)$', 1)) AS ext, length(html)::BIGINT AS len FROM pages),
 k AS (SELECT cls, ext, count(*) AS n FROM x GROUP BY ALL),
-d AS (SELECT cls, arg_max(ext, row(n, ext)) AS dominant FROM k GROUP BY cls)
-SELECT x.cls, count(*)::BIGINT AS n, round(sum(len) / count(*)::DOUBLE / 1024.0::DOUBLE, 6)
+d AS (SELECT cls, arg_max(ext, row(n, ext)) AS dominant FROM k GROUP BY cls),
+r AS (SELECT *, row_number() OVER (PARTITION BY cls ORDER BY n DESC, ext) AS rk FROM k),
+t AS (SELECT cls, string_agg(ext || '(' || n || ')', ', ' ORDER BY rk) AS top_formats FROM r
+    WHERE rk <= 3 GROUP BY cls)
+SELECT x.cls, max(top_formats) AS top_formats, count(*)::BIGINT AS n, round(sum(len) / count(*)::DOUBLE / 1024.0::DOUBLE, 6)
     AS mean_kb, max(d.dominant) AS dominant,
     (SELECT count(DISTINCT dominant) > 1 FROM d) AS differs
-FROM x JOIN d ON d.cls = x.cls GROUP BY x.cls""")
+FROM x JOIN d ON d.cls = x.cls JOIN t ON t.cls = x.cls GROUP BY x.cls""")
 def a26(spark, sf):
     path = F.regexp_replace("url", "[?#].*$", "")
     pages = X.table(spark, sf, "pages").select(
@@ -209,6 +212,24 @@ def a27(spark, sf):
         "english": F.col("lang") == "en"}))
 
 
+@query("a28_manifest_sizes", f"""WITH {SIZED_SQL}, m AS (SELECT l.doc_id AS id, l.toxic AS label
+    FROM labels l UNION ALL SELECT l.doc_id + 100000000, 1 FROM labels l),
+j AS (SELECT m.label, z.item_id, w, h FROM m LEFT JOIN z ON z.item_id = m.id),
+c AS (SELECT label, w, h, count(*) AS n FROM j WHERE item_id IS NOT NULL GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY n DESC, w, h) AS rk FROM c),
+t AS (SELECT label, string_agg(w || 'x' || h || '(' || n || ')', ', ' ORDER BY rk) AS top_sizes
+    FROM r WHERE rk <= 3 GROUP BY label)
+SELECT j.label, count(*)::BIGINT AS n, count(*) FILTER (WHERE item_id IS NULL)::BIGINT AS missing,
+    count(*) FILTER (WHERE w = h)::BIGINT AS square, max(top_sizes) AS top_sizes
+FROM j LEFT JOIN t ON t.label = j.label GROUP BY j.label""")
+def a28_sizes(spark, sf):
+    listed = X.table(spark, sf, "labels").select(
+        F.col("doc_id").alias("id"), F.col("toxic").alias("label"))
+    absent = listed.select((F.col("id") + 100_000_000).alias("id"), F.lit(1).alias("label"))
+    files = sized(spark, sf).select(F.col("item_id").alias("id"), "w", "h")
+    return A.manifest_profile(listed.unionByName(absent), files, "id", width="w", height="h")
+
+
 @query("a28_manifest_profile", """WITH m AS (SELECT l.doc_id AS id, l.toxic AS label FROM labels l
     UNION ALL SELECT o_orderkey + 1000000, CASE WHEN o_orderkey % 2 = 0 THEN 0 END FROM orders)
 SELECT label, count(*)::BIGINT AS n,
