@@ -28,7 +28,8 @@ PASSES = 2.0
 
 BLOCKS = 1024
 PLAN_ROWS = 1 << 16
-SHARDS = 64
+#: Words in one output shard; there are never more shards than blocks drawn.
+SHARD_WORDS = 1 << 22
 SEED = 20240917
 
 
@@ -69,7 +70,7 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     return out
 
 
-def _plan(sums: list, weights, share: float, passes: float, shards: int, seed: int):
+def _plan(sums: list, weights, share: float, passes: float, shards: int | None, seed: int):
     """(targets by source, rows (source number, block, shard, part)); ``part``: words to take of a block, -1 for all."""
     names = sorted({r["source"] for r in sums if r["source"] is not None})
     names += [None] if any(r["source"] is None for r in sums) else []
@@ -99,6 +100,9 @@ def _plan(sums: list, weights, share: float, passes: float, shards: int, seed: i
                     break
             break
         draws.append(mine)
+    n_draws = sum(map(len, draws))
+    if shards is None:
+        shards = max(1, min(n_draws, -(-int(sum(targets)) // SHARD_WORDS)))
     dealt = split(np.array([len(d) for d in draws], np.int64), shards, np.random.default_rng([seed, len(draws)])) if draws else []
     rows, at = [], [0] * len(draws)
     for shard, quota in enumerate(dealt):
@@ -109,7 +113,7 @@ def _plan(sums: list, weights, share: float, passes: float, shards: int, seed: i
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
-        share: float = SHARE, passes: float = PASSES, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+        share: float = SHARE, passes: float = PASSES, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_shards``: the shards that get the row, once each.
 
     ``_size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). Sources in code point order, null last,
@@ -159,9 +163,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     return whole.select(names).unionByName(cut.select(names))
 
 
-def shuffled(mixed: DataFrame, columns: list[str], shards: int = SHARDS) -> DataFrame:
-    """The rows of a mix, one per draw: every shard together, in random order inside."""
+def shuffled(mixed: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of a mix, one per draw: every shard together in one partition, in random order inside."""
     spot, turn, shard = "_spot", *unused(mixed, "_turn", "_shard")
     names = [F.col(f"`{c}`") for c in columns]
     drawn = mixed.select(*names, spot, F.posexplode("_shards").alias(turn, shard))
-    return drawn.repartition(shards, shard).sortWithinPartitions(shard, F.xxhash64(spot, shard, turn)).select(*names)
+    return drawn.repartition(F.col(shard)).sortWithinPartitions(shard, F.xxhash64(spot, shard, turn)).select(*names)

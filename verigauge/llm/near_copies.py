@@ -199,8 +199,8 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     named = large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
     named = kept(named.select("band", "key", "node", "part"))
     counts = named.groupBy("band", "key", "part").agg(F.count("*").alias("m"))
-    most = counts.groupBy("band", "key").agg(F.max_by("part", F.struct("m", "part")).alias("main"),
-                                             F.count("*").alias("n_parts")).where("n_parts > 1")
+    most = kept(counts.groupBy("band", "key").agg(F.max_by("part", F.struct("m", "part")).alias("main"),
+                                                  F.count("*").alias("n_parts")).where("n_parts > 1"))
     members = kept(named.join(most.select("band", "key", "main"), ["band", "key"])
                    .groupBy("main", "node", "part").agg(F.first(F.col("part") != F.col("main")).alias("apart")))
     return links.select("a", "b").unionByName(_across(members, texts, threshold))

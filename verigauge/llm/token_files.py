@@ -28,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verigauge.llm.store import fresh, kept, mapped, opened, put
+from verigauge.llm.store import fresh, kept, mapped, opened, put, release
 
 MAGIC = b"PACKIDS1"
 BLOCK = 1 << 16
 END = 1
 _FOOTER = "<4Q8s"
 #: Distinct words whose ids a task remembers.
-REMEMBERED = 600_000
+REMEMBERED = 500_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -244,6 +244,7 @@ def _write_batches(folder: str, path: str, bits: int):
                         yield x
         uri = f"{folder}/ids-{part:06d}.bin"
         put(uri, file_chunks(documents(), bits))
+        release()
         if not ids:
             return
         out = io.BytesIO()

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
+from verigauge.llm.store import release
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -166,6 +167,8 @@ def _fit_batches(batches):
         for label, b, c in zip(batch.column("label").to_pylist(), batch.column("buckets"), batch.column("counts"), strict=True):
             rows.append((label, b.values.to_numpy(), c.values.to_numpy()))
     weights, bias = fit(rows)
+    del rows
+    release()
     yield pa.RecordBatch.from_arrays([pa.array([weights.astype(np.float32).tobytes()], pa.binary()),
                                       pa.array([bias], pa.float64())], ["weights", "bias"])
 
