@@ -328,6 +328,7 @@ def test_toxicity(spark, frame):
     right = sum(rows[i].predicted == labels[i][1] for i in held)
     assert right >= 0.95 * len(held)
     assert rows[700].predicted == 1
+    assert all(rows[701 + k].predicted == 0 for k, t in enumerate(EDGES) if not (t or "").strip())
     assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in rows.values())
     again = {r.doc_id: r.score for r in toxicity.toxicity(frame_docs, table).collect()}
     assert again == {i: r.score for i, r in rows.items()}
