@@ -140,6 +140,25 @@ def p5(spark, sf):
         "doc_id", "label", "label_mode", "labelled")
 
 
+@query("p5_auto_labels_folders", f"""WITH f AS (SELECT doc_id, {WORD_SQL.format(t='lang')} AS v
+    FROM documents), k AS (SELECT count(v) AS n FROM f)
+SELECT doc_id, v AS label, '{LB.SUBFOLDER}' AS label_mode, k.n::BIGINT AS labelled FROM f, k""")
+def p5_folders(spark, sf):
+    rel = F.concat(F.col("lang"), F.lit("/x/"), F.col("doc_id"), F.lit(".txt"))
+    items = X.table(spark, sf, "documents").select(
+        "doc_id", F.concat(F.lit("/data/"), rel).alias("path"), rel.alias("rel_path"))
+    return LB.apply_labels(items, LB.AUTO, tokens=WORDS).select(
+        "doc_id", "label", "label_mode", "labelled")
+
+
+@query("p5_auto_labels_names", f"""WITH f AS (SELECT doc_id, CASE WHEN lang IN ('en', 'fr') THEN 0
+    WHEN lang = 'de' THEN 1 END AS v FROM documents), k AS (SELECT count(v) AS n FROM f)
+SELECT doc_id, v AS label, '{LB.FILENAME}' AS label_mode, k.n::BIGINT AS labelled FROM f, k""")
+def p5_names(spark, sf):
+    return LB.apply_labels(doc_items(spark, sf), LB.AUTO, None, r"^(en|de|fr)[_\-.]", WORDS).select(
+        "doc_id", "label", "label_mode", "labelled")
+
+
 @query("p6_labels_ignored", """SELECT doc_id, NULL::INTEGER AS label, 'none' AS label_mode,
     0::BIGINT AS labelled FROM documents""")
 def p6(spark, sf):
