@@ -197,3 +197,11 @@ def test_threshold_counts_reuse_the_score_counts(spark):
         out._jdf.collectToPython()
         text = out._jdf.queryExecution().executedPlan().toString()
         assert "ReusedExchange" in text or text.count("Range (") == 1, plan
+
+
+def test_given_moments_are_one_row(spark):
+    df = spark.createDataFrame([(1, [3.0, 4.0])], "item_id int, v array<double>")
+    one = spark.createDataFrame([([0.0, 0.0], [1.0, 2.0])], "mu array<double>, sd array<double>")
+    assert H.with_prepared(df, "v", one, l2=False).first().x == [3.0, 2.0]
+    with pytest.raises(Exception, match="exactly one row"):
+        H.with_prepared(df, "v", one.union(one), l2=False).collect()

@@ -83,11 +83,19 @@ def feature_moments(df: DataFrame, vector: str, l2: bool = True) -> DataFrame:
         "var", lambda x: F.sqrt(x * shrink) + V.SD_EPSILON).alias("sd"))
 
 
+def _single(moments: DataFrame) -> DataFrame:
+    """Given moments, which must be one row: it is sent to every task."""
+    found = moments.groupBy().agg(F.first("mu").alias("mu"), F.first("sd").alias("sd"),
+                                  F.count(F.lit(1)).alias("n"))
+    wrong = F.raise_error(F.lit("moments must be exactly one row")).cast("array<double>")
+    return found.select(F.when(F.col("n") == 1, V.doubles(F.col("mu"))).otherwise(wrong).alias("mu"), "sd")
+
+
 def with_prepared(df: DataFrame, vector: str, moments: DataFrame | None = None,
                   l2: bool = True, out: str = "x") -> DataFrame:
     """L2-normalise, then standardise with the given moments, or with the set's own."""
     v = V.doubles(F.col(vector))
-    stats = moments if moments is not None else feature_moments(df, vector, l2)
+    stats = _single(moments) if moments is not None else feature_moments(df, vector, l2)
     both = attach_row(df, stats.select(F.col("mu").alias("_mu"), F.col("sd").alias("_sd")))
     return both.withColumn(out, V.standardise(
         V.l2_normalise(v) if l2 else v, F.col("_mu"), F.col("_sd"))).drop("_mu", "_sd")
