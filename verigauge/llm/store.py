@@ -80,14 +80,22 @@ def release() -> None:
 
 
 def put(uri: str, chunks) -> None:
-    """Write a file in one step: readers see all of it or nothing, and a second attempt replaces the first."""
+    """Write a file in one step: readers see all of it or nothing, and attempts at a task do not disturb each other."""
+    from pyarrow import fs
+
     system, path = opened(uri)
     system.create_dir(os.path.dirname(path), recursive=True)
     draft = f"{path}.{uuid.uuid4().hex}"
     with system.open_output_stream(draft, compression=None) as out:
         for chunk in chunks:
             out.write(chunk)
-    system.move(draft, path)
+    try:
+        system.move(draft, path)
+    except OSError:
+        # some stores do not replace: then an earlier attempt's file, which holds the same, stays
+        if system.get_file_info(path).type == fs.FileType.NotFound:
+            raise
+        system.delete_file(draft)
 
 
 def mapped(uri: str, kind: str) -> np.ndarray:
