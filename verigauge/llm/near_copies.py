@@ -33,6 +33,8 @@ BANDS = 20
 SKETCHES = 2 * BANDS
 #: Buckets up to this size compare all their texts; larger ones go by rounds around one text.
 SMALL_BUCKET = 8
+#: Pairs that one copy of a text serves.
+PAIRS_AT_ONCE = 256
 #: Texts on either side of a block of a crowded bucket.
 BLOCK = 512
 #: Of 40 sketches a pair of similarity 0.8 shares 27 on average, with a deviation of 3.
@@ -163,11 +165,17 @@ def _pairs(x: DataFrame, y: DataFrame, extra, threshold: float) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
-    """Links among candidate pairs. Texts meet their pairs by node; a node in many pairs is split by AQE."""
+    """Links among candidate pairs. Texts meet their pairs by node; the text of a node in very many pairs comes
+    in copies, each for a share of them, so that no task gets them all."""
     sides = pairs.select("a", "b", F.explode(F.array(
         F.struct(F.col("a").alias("node"), F.lit(0).alias("side")),
         F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))).alias("s")).select("a", "b", "s.*")
-    both = (sides.join(texts, "node").groupBy("a", "b")
+    busy = kept(sides.groupBy("node").agg(F.ceil(F.count("*") / PAIRS_AT_ONCE).alias("shares")).where("shares > 1"))
+    plain = sides.join(busy, "node", "left_anti").join(texts, "node").select("a", "b", "side", "text")
+    copies = texts.join(busy, "node").select("node", "text", F.explode(F.sequence(
+        F.lit(0).cast("long"), F.col("shares") - 1)).alias("share"))
+    dealt = sides.join(busy, "node").withColumn("share", F.pmod(F.xxhash64("a", "b"), F.col("shares")))
+    both = (plain.unionByName(dealt.join(copies, ["node", "share"]).select("a", "b", "side", "text")).groupBy("a", "b")
             .agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text_a"),
                  F.max(F.when(F.col("side") == 1, F.col("text"))).alias("text_b")))
     return (both.mapInArrow(_verify_batches(threshold), "a binary, b binary, similarity double")
