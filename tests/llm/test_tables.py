@@ -226,6 +226,70 @@ def test_language_model(spark, frame, monkeypatch, chars):
     assert lone.held_out and lone.n_known == 0 and lone.train_tokens == 0 and lone.score == pytest.approx(0)
 
 
+def brute_grams(texts, held, order):
+    """Scores by the recursive definition over plain counters."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    toks = [[False, *WORD.findall((t or "").translate(low)), None] for t in texts]
+    learn = [t for t, h in zip(toks, held) if not h]
+    seen = {k: collections.Counter(tuple(t[i:i + k]) for t in learn for i in range(len(t) - k + 1)) for k in range(1, order + 1)}
+    c = {order: seen[order]}
+    for k in range(1, order):
+        before = collections.Counter(g[1:] for g in seen[k + 1])
+        c[k] = {g: n if g[0] is False else before[g] for g, n in seen[k].items() if k > 1 or g[0] is not False}
+    d = {}
+    after = collections.defaultdict(list)
+    for k in c:
+        few = collections.Counter(c[k].values())
+        d[k] = language_model.discounts([few[i] for i in (1, 2, 3, 4)])
+        for g, n in c[k].items():
+            after[g[:-1]].append(n)
+
+    def cut(k, n):
+        return d[k][min(n, 3) - 1] if n else 0
+
+    def p(g):
+        k, h = len(g), after.get(g[:-1], [])
+        lower = p(g[1:]) if k > 1 else 1 / (len(c[1]) + 1)
+        n = c[k].get(g, 0)
+        return (n - cut(k, n) + sum(cut(k, x) for x in h) * lower) / sum(h) if h else lower
+    return [sum(math.log10(p(tuple(t[max(0, i - order + 1):i + 1]))) for i in range(1, len(t))) for t in toks]
+
+
+@pytest.mark.parametrize("order,chars", [(2, 500), (3, 1 << 25), (3, 500), (4, 500)])
+def test_language_model_order(spark, frame, monkeypatch, order, chars):
+    monkeypatch.setattr(language_model, "BUCKET_CHARS", chars)
+    rng = random.Random(order)
+    vocab = ["The", "the", "a", "Ünï", *["w%d" % k for k in range(20)]]
+    texts = [" ".join(vocab[int(rng.random() ** 3 * len(vocab))] for _ in range(rng.randint(0, 60))) for _ in range(80)]
+    texts += [None, "", "unseen words only", "the a w1 unseen the a w1", "a " * 4000, *texts[:3]]
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    held = [zlib.crc32(str(i).encode()) % 10 == 0 for i, *_ in rows]
+    want = brute_grams(texts, held, order)
+    got = {r.doc_id: r.score for r in language_model.score_texts(frame(rows, DOC), order=order).collect()}
+    assert [got[i] for i in range(len(rows))] == pytest.approx(want)
+    lone = language_model.score_texts(frame([(None, "a b", "en", "s", 0)], DOC), order=order).first()
+    assert lone.score == pytest.approx(0)
+
+
+def test_language_model_query_has_trigrams(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = {r.doc_id: r.score for r in language_model.score_texts(docs, order=3).collect()}
+    assert {r.doc_id: pytest.approx(r.score) for r in llm.QUERIES["op6_language_model"](spark, SF).collect()} == want
+
+
+@pytest.mark.parametrize("bits,n", [(0, 5000), (12, 50_000), (16, 3000)])
+def test_keys_of_a_bucket(tmp_path, bits, n):
+    rng = np.random.default_rng(bits)
+    top = np.uint64(1 << (64 - bits)) if bits else np.uint64(0)
+    keys = np.unique(rng.integers(0, 1 << (64 - max(1, bits)), n, dtype=np.uint64) + top)
+    some = np.sort(np.concatenate([keys[::3], keys[::7] + np.uint64(1)]))
+    path = str(tmp_path / f"keys-{bits}")
+    language_model._put_keys(path, keys, bits)
+    assert (language_model._fine(bits, len(keys)) > 0) == (bits > 0)
+    want = {int(k): i for i, k in enumerate(keys)}
+    assert language_model._places(path, len(keys), bits, some).tolist() == [want.get(int(k), -1) for k in some]
+
+
 def test_unmix():
     x = np.random.default_rng(1).integers(0, 1 << 63, 1000, dtype=np.uint64)
     assert (language_model._unmix(W.mix(x)) == x).all()

@@ -89,8 +89,8 @@ def op1(spark, sf_dir):
 
 @query("op6_language_model")
 def op6(spark, sf_dir):
-    from verigauge.llm.language_model import score_texts
-    return score_texts(table(spark, sf_dir, "documents"))
+    from verigauge.llm.language_model import ORDER, score_texts
+    return score_texts(table(spark, sf_dir, "documents"), order=ORDER)
 
 
 @query("op5_warc", twins.WARC)
