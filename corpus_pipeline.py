@@ -34,7 +34,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows by the mix: a document comes as often as it is drawn."""
     ship_package(spark)
-    return mixing.shuffled(mixing.mix(docs), docs.columns)
+    *_, shards, spot = mixing.added(docs)
+    return mixing.shuffled(mixing.mix(docs), docs.columns, shards, spot)
 
 
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

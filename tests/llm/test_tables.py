@@ -172,6 +172,20 @@ def test_mix(spark, frame):
     assert mixing.mix(frame([], DOC)).count() == 0
 
 
+def test_mix_with_clashing_columns(spark, frame):
+    plain = frame([(i, "w " * (i % 9), "en", "ab"[i % 2], 1) for i in range(300)], DOC)
+    taken = ["_size", "_spot", "_SHARDS", "_source_size", "_target", "_block", "_k"]
+    df = plain.selectExpr("*", *[f"'mine' AS {c}" for c in taken])
+    names = mixing.added(df)
+    assert not {n.lower() for n in names} & {c.lower() for c in df.columns}
+    key = lambda rows, cols: sorted(tuple(map(str, (r.doc_id, *(r[c] for c in cols)))) for r in rows)
+    assert key(mixing.mix(df).collect(), names) == key(mixing.mix(plain).collect(), mixing.added(plain))
+    out = corpus_pipeline.to_weights(spark, df, SF)
+    rows = out.collect()
+    assert out.columns == df.columns and all(r[c] == "mine" for r in rows for c in taken)
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in corpus_pipeline.to_weights(spark, plain, SF).collect())
+
+
 def brute_model(texts, held):
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     toks = [[*WORD.findall((t or "").translate(low)), None] for t in texts]

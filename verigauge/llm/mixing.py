@@ -112,6 +112,11 @@ def _plan(sums: list, weights, share: float, passes: float, shards: int | None,
     return list(zip(names, sizes, targets, strict=True)), rows
 
 
+def added(docs: DataFrame) -> list[str]:
+    """The columns that :func:`mix` adds to ``docs``: ``_size, _source_size, _target, _shards, _spot`` or, where taken, free names."""
+    return unused(docs, "_size", "_source_size", "_target", "_shards", "_spot")
+
+
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights=WEIGHTS,
         share: float = SHARE, passes: float = PASSES, shards: int | None = None, seed: int = SEED) -> DataFrame:
     """``docs`` with ``_size``, ``_source_size``, ``_target`` and ``_shards``: the shards that get the row, once each.
@@ -119,13 +124,12 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     ``_size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). Sources in code point order, null last,
     take ``weights`` in turn and share ``share`` times all words; no row is drawn more than ``passes`` times
     (rounded up). A row of no words is drawn with its block. Equal rows share a block and are separate rows of the mix; ids may be null.
-    The same table and seed give the same mix. An empty table gives no rows. Other columns pass through; a table that has
-    one of the five new columns is refused.
+    The same table and seed give the same mix. An empty table gives no rows. Other columns pass through; where
+    one of them has the name of a new column, the new one gets the name that :func:`added` tells.
     """
     spark = docs.sparkSession
-    size, spot, block, k, shards_of = unused(docs, "_size", "_spot", "_block", "_k", "_shards")
-    if [size, spot, shards_of] != ["_size", "_spot", "_shards"] or {"_source_size", "_target"} & set(docs.columns):
-        raise ValueError("the table already has columns of a mix: " + ", ".join(docs.columns))
+    size, source_size, target, shards_of, spot = added(docs)
+    block, k = unused(docs, "_block", "_k")
     name, all_, some, part = unused(docs, "_name", "_all", "_some", "_part")
     n_sources = docs.select(F.col(source_col).alias("source")).distinct().count()
     n_blocks = max(1, min(BLOCKS, PLAN_ROWS // max(1, n_sources)))
@@ -137,7 +141,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     totals, rows = _plan(sums, weights, share, passes, shards, seed)
     targets = spark.createDataFrame(pa.table({
         name: pa.array([t[0] for t in totals], pa.string()), k: pa.array(range(len(totals)), pa.int32()),
-        "_source_size": pa.array([t[1] for t in totals], pa.int64()), "_target": pa.array([t[2] for t in totals], pa.float64())}))
+        source_size: pa.array([t[1] for t in totals], pa.int64()), target: pa.array([t[2] for t in totals], pa.float64())}))
     by_block: dict = {}
     for n, b, shard, words in rows:
         held = by_block.setdefault((n, b), [[], None, -1])
@@ -159,13 +163,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
                               .rowsBetween(Window.unboundedPreceding, -1))
     cut = cut.withColumn(all_, F.when(F.coalesce(before, F.lit(0)) + F.col(size) / 2 <= F.col(part),
                                       F.concat(all_, F.array(some))).otherwise(F.col(all_)))
-    names = [*[F.col(f"`{c}`") for c in docs.columns], F.col(size), "_source_size", "_target", F.col(all_).alias(shards_of), F.col(spot)]
+    names = [*[F.col(f"`{c}`") for c in docs.columns], F.col(size), source_size, target, F.col(all_).alias(shards_of), F.col(spot)]
     return whole.select(names).unionByName(cut.select(names))
 
 
-def shuffled(mixed: DataFrame, columns: list[str]) -> DataFrame:
+def shuffled(mixed: DataFrame, columns: list[str], shards: str = "_shards", spot: str = "_spot") -> DataFrame:
     """The rows of a mix, one per draw: every shard together in one partition, in random order inside."""
-    spot, turn, shard = "_spot", *unused(mixed, "_turn", "_shard")
+    turn, shard = unused(mixed, "_turn", "_shard")
     names = [F.col(f"`{c}`") for c in columns]
-    drawn = mixed.select(*names, spot, F.posexplode("_shards").alias(turn, shard))
+    drawn = mixed.select(*names, spot, F.posexplode(shards).alias(turn, shard))
     return drawn.repartition(F.col(shard)).sortWithinPartitions(shard, F.xxhash64(spot, shard, turn)).select(*names)
