@@ -110,3 +110,21 @@ def op5(spark, sf_dir):
 def op9(spark, sf_dir):
     from verigauge.llm.secret_scan import digests, find_secrets
     return digests(find_secrets(table(spark, sf_dir, "documents")))
+
+
+@query("op11_merkle", twins.MERKLE)
+def op11(spark, sf_dir):
+    from verigauge.llm.merkle import manifest
+    return manifest(table(spark, sf_dir, "documents"), with_proof=False)
+
+
+@query("op13_repeated_lines", twins.LINES)
+def op13(spark, sf_dir):
+    from verigauge.llm.repeated_lines import without_repeated_lines
+    return without_repeated_lines(table(spark, sf_dir, "documents"), with_text=False)
+
+
+@query("op12_conversations", twins.CONVERSATIONS)
+def op12(spark, sf_dir):
+    from verigauge.llm.conversations import repair_damaged
+    return repair_damaged(table(spark, sf_dir, "conversations"))
