@@ -175,7 +175,9 @@ def _decide(least: int):
 def _dropped(docs: DataFrame, least_chars: int, least_docs: int) -> DataFrame:
     """(doc, tag, at) of every line to drop."""
     by = [F.col("key").asc(), F.col("doc").desc_nulls_last(), F.col("tag").asc(), F.col("at").asc(), F.col("source").asc()]
-    dealt = _lines(docs, least_chars).withColumn("source", F.spark_partition_id()).repartitionByRange(*by).sortWithinPartitions(*by)
+    # stored, as finding the ranges reads the lines a second time
+    lines = kept(_lines(docs, least_chars))
+    dealt = lines.withColumn("source", F.spark_partition_id()).repartitionByRange(*by).sortWithinPartitions(*by)
     found = kept(dealt.select("key", "doc", "tag", "at").mapInArrow(_decide(least_docs), _FOUND))
     order = Window.partitionBy("open").orderBy("part")
     edges = found.where("at < 0").withColumn("again", (F.lag("part").over(order).isNotNull() & F.lag("last").over(order).eqNullSafe(F.col("first"))).cast("long"))
