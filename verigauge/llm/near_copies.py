@@ -20,12 +20,13 @@ import bisect
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
 from verigauge.llm.graphs import components
-from verigauge.llm.store import kept, unused
+from verigauge.llm.store import kept, release, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -35,8 +36,9 @@ SKETCHES = 2 * BANDS
 SMALL_BUCKET = 8
 #: Pairs that one copy of a text serves.
 PAIRS_AT_ONCE = 256
-#: Texts on either side of a block of a crowded bucket.
+#: Texts, and shingles of them, on either side of a block of a crowded bucket.
 BLOCK = 512
+BLOCK_SHINGLES = 400_000
 #: Of 40 sketches a pair of similarity 0.8 shares 27 on average, with a deviation of 3.
 LEAST_SHARED = 17
 
@@ -97,6 +99,7 @@ def _sketch_batches(batches):
                                           pa.array(W.as_signed(np.ascontiguousarray(bands)).ravel())),
                  *[pa.array(W.as_signed(x)) for x in lanes]],
                 ["node", "shingles", "bands", "l0", "l1", "l2"])
+        release()
 
 
 def chain(a: np.ndarray, b: np.ndarray, band: int) -> int:
@@ -129,21 +132,39 @@ def similarity(a: np.ndarray, b: np.ndarray, threshold: float) -> float:
     return n / (len(a) + len(b) - n) if n else 0.0
 
 
+def _byte_runs(columns: list[pa.Array], limit: int = W.SLICE_BYTES):
+    """(first row, end row) of runs whose texts have about ``limit`` bytes together, or one row."""
+    size = np.cumsum(sum(np.asarray(pc.fill_null(pc.binary_length(c), 0)).astype(np.int64) for c in columns))
+    lo = 0
+    while lo < len(size):
+        before = size[lo - 1] if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(size, before + limit, "right")))
+        yield lo, hi
+        lo = hi
+
+
 def _verify_batches(threshold: float):
+    """Few texts at a time: a run of pairs is lower-cased, cut into shingles and compared before the next one is looked at."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sides = []
-            for name in ("text_a", "text_b"):
-                mine = []
-                for _, _, data, offsets in W.slices(W.strings(batch.column(name), lower=True)):
-                    _, labelled, at = _labelled(data, offsets)
-                    mine += np.split(labelled, at[1:-1])
-                sides.append(mine)
-            sim = [similarity(a, b, threshold) for a, b in zip(*sides, strict=True)]
-            yield pa.RecordBatch.from_arrays(
+            texts = [batch.column("text_a"), batch.column("text_b")]
+            sim = []
+            for lo, hi in _byte_runs(texts):
+                sides = []
+                for column in texts:
+                    mine = []
+                    for _, _, data, offsets in W.slices(W.strings(column.slice(lo, hi - lo), lower=True)):
+                        _, labelled, at = _labelled(data, offsets)
+                        mine += np.split(labelled, at[1:-1])
+                    sides.append(mine)
+                sim += [similarity(a, b, threshold) for a, b in zip(*sides, strict=True)]
+            out = pa.RecordBatch.from_arrays(
                 [batch.column("a"), batch.column("b"), pa.array(sim, pa.float64())], ["a", "b", "similarity"])
+            del batch, texts
+            release()
+            yield out
     return run
 
 
@@ -205,19 +226,20 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
         return links.select("a", "b")
     parts = components(links)
     named = large.join(parts, "node", "left").withColumn("part", F.coalesce("component", "node"))
-    named = kept(named.select("band", "key", "node", "part"))
+    named = kept(named.select("band", "key", "node", "part", "shingles"))
     counts = named.groupBy("band", "key", "part").agg(F.count("*").alias("m"))
     most = kept(counts.groupBy("band", "key").agg(F.max_by("part", F.struct("m", "part")).alias("main"),
                                                   F.count("*").alias("n_parts")).where("n_parts > 1"))
     members = kept(named.join(most.select("band", "key", "main"), ["band", "key"])
-                   .groupBy("main", "node", "part").agg(F.first(F.col("part") != F.col("main")).alias("apart")))
+                   .groupBy("main", "node", "part").agg(F.first(F.col("part") != F.col("main")).alias("apart"), F.first("shingles").alias("shingles")))
     return links.select("a", "b").unionByName(_across(members, texts, threshold))
 
 
 def _across(members: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
     """Links between texts outside the main part of their crowded buckets and all other texts there, in blocks."""
-    sizes = members.groupBy("main").agg(F.ceil(F.sum(F.col("apart").cast("int")) / BLOCK).alias("ni"),
-                                        F.ceil(F.count("*") / BLOCK).alias("nj"))
+    def blocks(which):
+        return F.greatest(F.ceil(F.sum(which.cast("int")) / BLOCK), F.ceil(F.sum(F.when(which, F.col("shingles"))) / BLOCK_SHINGLES))
+    sizes = members.groupBy("main").agg(blocks(F.col("apart")).alias("ni"), blocks(F.lit(True)).alias("nj"))
     placed = members.join(sizes, "main").select(
         "*", F.pmod(F.xxhash64("node"), F.col("ni")).alias("mi"), F.pmod(F.xxhash64("node", "part"), F.col("nj")).alias("mj"))
     rows = (placed.where("apart").select("main", "node", "part", F.col("mi").alias("i"),
@@ -272,6 +294,8 @@ def _compare_block(block: pd.DataFrame, threshold: float) -> pd.DataFrame:
         if x != y and similarity(labelled[a], labelled[b], threshold) >= threshold:
             parent[x] = y
             found.append((node[a], node[b]))
+    del labelled, both, score, owner, shingle, use
+    release()
     return pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found]})
 
 

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import io
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -54,7 +55,8 @@ def _build_batches(folder: str, least: int):
         out = io.BytesIO()
         np.savez(out, seeds=seeds[order], at=order, item=item[order].astype(np.int32), first=first, words=words,
                  ids=np.array([-1 if x is None else x for x in ids], np.int64))
-        path = f"{folder}/{abs(hash((tuple(ids), len(words)))):x}.npz"
+        # an attempt's own name: only those reported by finished tasks are read
+        path = f"{folder}/{uuid.uuid4().hex}.npz"
         put(path, [out.getvalue()])
         yield pa.RecordBatch.from_arrays([pa.array([path])], ["path"])
     return run

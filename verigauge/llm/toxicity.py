@@ -36,6 +36,9 @@ DECAY = 0.002
 PIECES = 24
 PIECE = 4
 
+#: Text that is scored at once: its subwords take about a hundred times as much memory.
+SCORED_BYTES = 1 << 19
+
 _WORD = np.uint64(0xA0761D6478BD642F)
 
 
@@ -183,7 +186,7 @@ def _score_batches(model):
         weights = np.frombuffer(raw, np.float32).astype(np.float64)
         for batch in batches:
             scores = np.empty(batch.num_rows)
-            for lo, hi, data, offsets in W.slices(W.strings(batch.column("text"), lower=True)):
+            for lo, hi, data, offsets in W.slices(W.strings(batch.column("text"), lower=True), SCORED_BYTES):
                 starts, ends, back, first = _distinct(data, offsets)
                 bucket, owner = _subwords(data, starts, ends)
                 value = np.bincount(owner, weights[bucket], len(starts))
@@ -197,6 +200,7 @@ def _score_batches(model):
                 scores[lo:hi] = 1 / (1 + np.exp(-np.clip(top / np.maximum(low, 1) + bias, -60, 60)))
             # the text itself goes no further
             names = [f for f in batch.schema.names if f != "text"]
+            release()
             yield pa.RecordBatch.from_arrays([*[batch.column(f) for f in names], pa.array(scores)], [*names, "score"])
     return run
 
