@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from verigauge.operators.ranks import stored
 from verigauge.operators.scalars import attach_per_key
 
 SAMPLE_SEED = 20260829
@@ -57,11 +58,10 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
     and the rest part 2. ``cuts`` are expressions over the group's ``total``, or a
     function from the group totals (keys, total) to (keys, cut) if one group's cut
     depends on other groups. ``few`` says that the groups are a closed list; otherwise they are
-    counted. The cuts of at most ``FEW_GROUPS`` groups are broadcast and the rows stay where they
+    counted off the stored hash counts, so the rows are read twice in all. The cuts of at most ``FEW_GROUPS`` groups are broadcast and the rows stay where they
     are, so a group of many rows never meets in one task.
     """
     keys, ids = list(keys), list(ids)
-    few = few or df.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     hashed = df.withColumn("_h", shuffle_key(seed, ids)).withColumn(
         "_b", F.shiftright(F.col("_h"), 48))
     group = Window.partitionBy(*keys)
@@ -69,6 +69,10 @@ def cut_by_hash(df: DataFrame, keys: Sequence[str], ids: Sequence[str],
     hist = hashed.groupBy(*keys, "_b").agg(F.count(F.lit(1)).alias("_n")).select(
         *keys, "_b", "_n", (F.sum("_n").over(before) - F.col("_n")).alias("_at"),
         F.sum("_n").over(group).alias("total"))
+    if not few:
+        # counts per group and bucket, stored, tell the number of groups without another pass over the rows
+        hist = stored(hist, "counts")
+        few = hist.select(*keys).distinct().limit(FEW_GROUPS + 1).count() <= FEW_GROUPS
     if callable(cuts):
         totals = hist.groupBy(*keys).agg(F.first("total").alias("total"))
         hist = attach_per_key(hist, cuts(totals).select(*keys, "cut"), keys, few=few)
@@ -205,7 +209,9 @@ def hardest_views(df: DataFrame, item: str, loss: str, views: int, mode: str = "
     if mode == "mean":
         return df
     keep = 1 if mode == "max" else max(1, views // 2)
-    return top_per_group(df, [item], [F.col(loss).desc(), F.col(view)], keep)
+    # an item has a few views: one window is enough
+    rank = F.row_number().over(Window.partitionBy(item).orderBy(F.col(loss).desc(), F.col(view)))
+    return df.withColumn("_rank", rank).where(F.col("_rank") <= keep).drop("_rank")
 
 
 def without_group(df: DataFrame, group: str, value: str) -> DataFrame:

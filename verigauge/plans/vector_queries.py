@@ -11,6 +11,7 @@ from verigauge.functions import vectors as V
 from verigauge.functions.numeric import sigmoid
 from verigauge.operators import conditions as D
 from verigauge.operators import heads as H
+from verigauge.operators import near_vectors as NV
 from verigauge.operators import sampling as S
 from verigauge.operators import scoring as SC
 from verigauge.operators import training as TR
@@ -291,6 +292,24 @@ def a38_copies(spark, sf):
     return H.exact_copies(lines, "v", "id")
 
 
+@query("a38_near_classes", """WITH RECURSIVE w AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT vec_id * 2 AS id, e FROM w UNION ALL SELECT vec_id * 2 + 1, list_concat(
+    [e[1] + CASE vec_id % 3 WHEN 0 THEN 0.0 WHEN 1 THEN 0.02 ELSE 0.07 END], e[2:]) FROM w),
+links AS (SELECT a.id AS a, b.id AS b FROM v a JOIN v b ON a.id <> b.id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) > 0.999),
+reach AS (SELECT id, id AS other FROM v UNION SELECT r.id, l.b FROM reach r JOIN links l ON l.a = r.other),
+n AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT r.id AS item, coalesce(any_value(n.n), 0)::BIGINT AS n_links, min(other) AS class_id
+FROM reach r LEFT JOIN n ON n.a = r.id GROUP BY r.id""")
+def a38_near(spark, sf):
+    """Every embedding and a copy of it, moved by nothing, a little, or too much for a link."""
+    rows = X.table(spark, sf, "embeddings").select("vec_id", V.doubles(F.col("embedding")).alias("e"))
+    shift = F.when(F.col("vec_id") % 3 == 0, 0.0).when(F.col("vec_id") % 3 == 1, 0.02).otherwise(0.07)
+    moved = F.transform("e", lambda x, i: F.when(i == 0, x + shift).otherwise(x))
+    both = rows.select((F.col("vec_id") * 2).alias("item"), "e").unionByName(rows.select((F.col("vec_id") * 2 + 1).alias("item"), moved.alias("e")))
+    return NV.near_classes(both, "e", "item")
+
+
 def prepared_views(spark, sf):
     """Prepared vectors of four views; a hash of the id splits train from validation."""
     moments = H.feature_moments(features(spark, sf), "v")

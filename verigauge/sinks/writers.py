@@ -10,7 +10,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from verigauge.operators.ranks import ranked, stored
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -38,7 +39,8 @@ def layout_rows(df: DataFrame, path: Column, split: str = "split", label: str =
     """Where each item goes: ``split/class/group/name``. Pointers, the files stay put.
 
     Names may repeat below one folder; ``same_name`` counts the items that have a target, and
-    all but the one with the first path get a number before the name.
+    all but the one with the first path get a number before the name. The rows are numbered by ranges
+    and stored below ``spark.checkpoint.dir``; ``df`` is read once.
     """
     cls = F.when(F.col(label) == 1, "fake").otherwise("real")
     name = F.substring_index(path, "/", -1)
@@ -46,16 +48,10 @@ def layout_rows(df: DataFrame, path: Column, split: str = "split", label: str =
                      F.coalesce(F.col(group).cast("string"), F.concat(cls, F.lit("_root")))
                      .alias("grp"), name.alias("name"))
     place = F.concat_ws("/", "split", "class", "grp", "name")
-    many = (rows.groupBy(place.alias("_place")).agg(F.count(F.lit(1)).alias("same_name"))
-            .where("same_name > 1"))
-    named = rows.withColumn("_at", place).join(many, F.col("_at") == F.col("_place"), "left")
-    named = named.withColumn("same_name", F.coalesce("same_name", F.lit(1).cast("bigint")))
-    single = named.where("same_name = 1").withColumn("target", F.col("_at"))
-    turn = F.row_number().over(Window.partitionBy("_at").orderBy("source")) - 1
-    again = named.where("same_name > 1").withColumn("_turn", turn).withColumn(
-        "target", F.when(F.col("_turn") == 0, F.col("_at")).otherwise(F.concat_ws(
-            "/", "split", "class", "grp", F.concat_ws("_", "_turn", "name")))).drop("_turn")
-    return single.unionByName(again).drop("_at", "_place")
+    # a name such as image.jpg may be most of a folder: no window over one target
+    named = ranked(stored(rows.withColumn("_at", place), "layout"), ["_at"], ["source"], "_turn", "same_name")
+    return named.withColumn("target", F.when(F.col("_turn") == 0, F.col("_at")).otherwise(F.concat_ws(
+        "/", "split", "class", "grp", F.concat_ws("_", F.col("_turn").cast("string"), "name")))).drop("_turn", "_at")
 
 
 def write_layout(rows: DataFrame, path: str) -> None:
