@@ -1,7 +1,8 @@
 """Writers for predictions, reports, layouts and histories.
 
 Large results are written by the executors as a directory of part files;
-overwriting makes a rerun safe. Nothing goes through the driver.
+overwriting makes a rerun safe. Reports and lists that others read as one file are
+assembled from parts when the job commits.
 """
 
 from __future__ import annotations
@@ -12,16 +13,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.operators.ranks import ranked, stored
+from verigauge.sinks.one_file import write_csv_file, write_json_list
 
 
 def write_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """JSON lines; NULL fields are written, so that a failed item still shows its verdict as null."""
-    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
+    """JSON lines, or one JSON list where the path ends with ``.json``; NULL fields are written, so that a failed item still shows its verdict as null."""
+    if path.lower().endswith(".json") and mode == "overwrite":
+        write_json_list(df, path)
+    else:
+        df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """CSV with a header; NULLs are blank."""
-    df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
+    """CSV with a header, one file where the path ends with ``.csv``; NULLs are blank."""
+    if path.lower().endswith(".csv") and mode == "overwrite":
+        write_csv_file(df, path)
+    else:
+        df.write.mode(mode).option("header", True).option("emptyValue", "").csv(path)
 
 
 def write_parquet(df: DataFrame, path: str, by: Sequence[str] = (),

@@ -20,6 +20,7 @@ from verigauge.functions import labels as N
 from verigauge.functions.numeric import nan_to_null
 from verigauge.operators import labelling as LB
 from verigauge.operators.scalars import attach_row
+from verigauge.sources.json_lists import read_objects
 from verigauge.sources.tables import require_columns
 
 # What counts as an image, and the manifest names in order of preference.
@@ -133,6 +134,9 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
         df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
         clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in df.columns]
         return df.select(*clean, numbered)
+    found = read_objects(spark, path, WRAPPER_KEYS)
+    if found is not None:
+        return found
     # the shape is read off the text: inference would make a flat object one column per path
     text = spark.read.option("wholetext", True).text(path)
     top = F.from_json("value", "map<string,string>")
@@ -190,7 +194,9 @@ def read_predictions(spark: SparkSession, path: str, lines: bool | None = None,
     A ``pred`` that is not a number counts as not scored.
     """
     multi = path.lower().endswith(".json") if lines is None else not lines
-    df = spark.read.option("multiLine", multi).option("primitivesAsString", True).json(path)
+    df = read_objects(spark, path, primitivesAsString=True) if multi else None
+    if df is None:
+        df = spark.read.option("multiLine", multi).option("primitivesAsString", True).json(path)
     if "image_path" not in df.columns or "pred" not in df.columns:
         raise ValueError('every record needs "image_path" and "pred"')
     if not df.take(1):
