@@ -71,68 +71,62 @@ def official_grid() -> list[Condition]:
     return [CLEAN, *_cells(OFFICIAL)]
 
 
-# Name, family and kernel steps of the evaluation grid (after clean), of the
-# severities and codecs outside the training ranges, and of the redistribution chains.
-EVALUATION = (
-    ("jpeg_q90", "jpeg", "jpeg quality=90"),
-    ("jpeg_q70", "jpeg", "jpeg quality=70"),
-    ("jpeg_q50", "jpeg", "jpeg quality=50"),
-    ("jpeg_q30", "jpeg", "jpeg quality=30"),
-    ("blur_s0.5", "blur", "blur sigma=0.5"),
-    ("blur_s1.0", "blur", "blur sigma=1"),
-    ("blur_s2.0", "blur", "blur sigma=2"),
-    ("resize_0.5x", "resize", "resize_cycle factor=0.5"),
-    ("resize_0.25x", "resize", "resize_cycle factor=0.25"),
-    ("noise_s0.02", "noise", "noise01 sigma=0.02"),
-    ("noise_s0.05", "noise", "noise01 sigma=0.05"),
-    ("noise_s0.1", "noise", "noise01 sigma=0.1"),
-    ("color_up", "color", "colour b=1.2 c=1.2 s=1.2"),
-    ("color_down", "color", "colour b=0.8 c=0.8 s=0.8"),
-    ("color_mixed", "color", "colour b=1.2 c=0.8 s=1.2"),
-    ("crop_80", "crop", "crop_rounded keep=0.8"),
-)
-HELDOUT = (
-    ("jpeg_q20", "jpeg_ood", "jpeg quality=20"),
-    ("blur_s3.0", "blur_ood", "blur sigma=3"),
-    ("resize_0.125x", "resize_ood", "resize_cycle factor=0.125"),
-    ("noise_s0.15", "noise_ood", "noise01 sigma=0.15"),
-    ("crop_50", "crop_ood", "crop_rounded keep=0.5"),
-    ("webp_q50", "codec_ood", "webp quality=50"),
-)
-CHAINS = (
-    ("social_repost", "chain", "jpeg quality=90, resize_cycle factor=0.5, jpeg quality=70"),
-    ("filtered_share", "chain", "colour b=1.15 c=1.1 s=1.2, jpeg quality=60"),
-    ("thumbnail_crop", "chain", "resize_cycle factor=0.25, crop_rounded keep=0.8, jpeg quality=70"),
-    ("lowlight_msg", "chain", "noise01 sigma=0.05, blur sigma=0.5, jpeg quality=50"),
-    ("screenshot_chain", "chain",
-     "colour b=1.1 c=1.05 s=0.95, jpeg quality=80, resize_cycle factor=0.5, jpeg quality=40"),
-)
-
-
-def _listed(table: tuple) -> list[Condition]:
-    out = []
-    for name, family, text in table:
-        chain = []
-        for step in text.split(", "):
-            kernel, *numbers = step.split(" ")
-            chain.append((kernel, {k: float(v) for k, v in (n.split("=") for n in numbers)}))
-        out.append(Condition(name, family, 1, name, {}, tuple(chain)))
-    return out
+def _row(name: str, family: str, *chain: tuple) -> Condition:
+    return Condition(name, family, 1, name, {}, chain)
+
+
+# Fixed values of the evaluation grid, after clean.
+EVALUATION = [
+    _row("jpeg_q90", "jpeg", ("jpeg", {"quality": 90.0})),
+    _row("jpeg_q70", "jpeg", ("jpeg", {"quality": 70.0})),
+    _row("jpeg_q50", "jpeg", ("jpeg", {"quality": 50.0})),
+    _row("jpeg_q30", "jpeg", ("jpeg", {"quality": 30.0})),
+    _row("blur_s0.5", "blur", ("blur", {"sigma": 0.5})),
+    _row("blur_s1.0", "blur", ("blur", {"sigma": 1.0})),
+    _row("blur_s2.0", "blur", ("blur", {"sigma": 2.0})),
+    _row("resize_0.5x", "resize", ("resize_cycle", {"factor": 0.5})),
+    _row("resize_0.25x", "resize", ("resize_cycle", {"factor": 0.25})),
+    _row("noise_s0.02", "noise", ("noise01", {"sigma": 0.02})),
+    _row("noise_s0.05", "noise", ("noise01", {"sigma": 0.05})),
+    _row("noise_s0.1", "noise", ("noise01", {"sigma": 0.1})),
+    _row("color_up", "color", ("colour", {"b": 1.2, "c": 1.2, "s": 1.2})),
+    _row("color_down", "color", ("colour", {"b": 0.8, "c": 0.8, "s": 0.8})),
+    _row("color_mixed", "color", ("colour", {"b": 1.2, "c": 0.8, "s": 1.2})),
+    _row("crop_80", "crop", ("crop_rounded", {"keep": 0.8})),
+]
+# Fixed values of the severities and codecs outside the training ranges.
+HELDOUT = [
+    _row("jpeg_q20", "jpeg_ood", ("jpeg", {"quality": 20.0})),
+    _row("blur_s3.0", "blur_ood", ("blur", {"sigma": 3.0})),
+    _row("resize_0.125x", "resize_ood", ("resize_cycle", {"factor": 0.125})),
+    _row("noise_s0.15", "noise_ood", ("noise01", {"sigma": 0.15})),
+    _row("crop_50", "crop_ood", ("crop_rounded", {"keep": 0.5})),
+    _row("webp_q50", "codec_ood", ("webp", {"quality": 50.0})),
+]
+# Fixed values of the redistribution chains.
+CHAINS = [
+    _row("social_repost", "chain", ("jpeg", {"quality": 90.0}), ("resize_cycle", {"factor": 0.5}), ("jpeg", {"quality": 70.0})),
+    _row("filtered_share", "chain", ("colour", {"b": 1.15, "c": 1.1, "s": 1.2}), ("jpeg", {"quality": 60.0})),
+    _row("thumbnail_crop", "chain", ("resize_cycle", {"factor": 0.25}), ("crop_rounded", {"keep": 0.8}), ("jpeg", {"quality": 70.0})),
+    _row("lowlight_msg", "chain", ("noise01", {"sigma": 0.05}), ("blur", {"sigma": 0.5}), ("jpeg", {"quality": 50.0})),
+    _row("screenshot_chain", "chain", ("colour", {"b": 1.1, "c": 1.05, "s": 0.95}), ("jpeg", {"quality": 80.0}),
+         ("resize_cycle", {"factor": 0.5}), ("jpeg", {"quality": 40.0})),
+]
 
 
 def evaluation_grid() -> list[Condition]:
     """17 conditions of the evaluation grid, clean included."""
-    return [CLEAN, *_listed(EVALUATION)]
+    return [CLEAN, *EVALUATION]
 
 
 def heldout_grid() -> list[Condition]:
     """6 severities and codecs outside the training ranges."""
-    return _listed(HELDOUT)
+    return list(HELDOUT)
 
 
 def chain_grid() -> list[Condition]:
     """5 composed redistribution chains."""
-    return _listed(CHAINS)
+    return list(CHAINS)
 
 
 def encodable(grid: list[Condition]) -> list[Condition]:

@@ -11,7 +11,10 @@ from pyspark.sql import functions as F
 
 from verigauge.operators import grids as G
 from verigauge.operators import images as I
-from verigauge.operators.conditions import named_cells
+from verigauge.operators import heads as H
+from verigauge.operators.conditions import expand_conditions, named_cells
+from verigauge.operators.ladder import score_ladder
+from verigauge.operators.metrics import auc_fold
 from verigauge.plans import fixtures as X
 from verigauge.plans.metric_queries import AUC_SQL
 from verigauge.plans.registry import query, r6
@@ -47,40 +50,39 @@ class MeanRed(I.ImageScorer):
         return [float(im[..., 0].mean()) / 255.0 for im in images]
 
 
-def cells_sql(conditions) -> str:
-    return ", ".join(f"('{c.key}', '{c.family}', {c.severity}, "
-                     f"{'true' if 'webp' in c.key else 'false'})" for c in conditions)
-
-
 def grid_sql(conditions) -> str:
-    return f"""SELECT key, family, severity, count(*)::BIGINT AS n,
-    count(*) FILTER (WHERE NOT lost)::BIGINT AS scored,
-    count(*) FILTER (WHERE lost)::BIGINT AS failed
-FROM embeddings, (VALUES {cells_sql(conditions)}) c(key, family, severity, lost)
-GROUP BY key, family, severity"""
-
-
-def counted(spark, sf, conditions):
-    rows = I.score_grid(pictures(spark, sf), conditions, MeanRed(), keep=["y"],
-                        spread=spread(spark))
-    per = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.count("s").alias("scored"),
-                                   F.count("error").alias("failed"))
-    return named_cells(per, conditions).drop("label")
-
-
-@query("d2_graded_grid", grid_sql(G.encodable(G.graded_grid())))
+    cells = ", ".join(f"('{c.key}', '{c.family}', {c.severity})" for c in conditions)
+    return f"""WITH {X.E_SQL}, g AS (SELECT c.*, e.y, e.s * (1.0::DOUBLE - severity / 20.0::DOUBLE) AS s
+    FROM e, (VALUES {cells}) c(key, family, severity))
+SELECT key, family, severity, count(*)::BIGINT AS n, count(*) FILTER (WHERE s >= 0.1)::BIGINT AS flagged,
+    count(*) FILTER (WHERE s >= 0.1 AND y = 1)::BIGINT AS hits, round(avg(s), 6) AS mean_score
+FROM g GROUP BY key, family, severity"""
+
+
+def grid_rates(spark, sf, conditions):
+    """Scored events under every cell of a grid; the score fades with the severity, so every cell has its own figures."""
+    rows = expand_conditions(X.scored_events(spark, sf), conditions).withColumn(
+        "s", F.col("s") * (F.lit(1.0) - F.col("severity") / 20.0))
+    hit = F.col("s") >= 0.1
+    per = rows.groupBy("cell").agg(
+        F.count(F.lit(1)).alias("n"), F.count(F.when(hit, 1)).alias("flagged"),
+        F.count(F.when(hit & (F.col("y") == 1), 1)).alias("hits"), F.avg("s").alias("mean_score"))
+    return r6(named_cells(per, conditions).drop("label"))
+
+
+@query("d2_graded_grid", grid_sql(G.graded_grid()))
 def d2(spark, sf):
-    return counted(spark, sf, G.encodable(G.graded_grid()))
+    return grid_rates(spark, sf, G.graded_grid())
 
 
 @query("d3_official_grid", grid_sql(G.official_grid()))
 def d3(spark, sf):
-    return counted(spark, sf, G.official_grid())
+    return grid_rates(spark, sf, G.official_grid())
 
 
-@query("d4_evaluation_grid", grid_sql(G.encodable(G.all_conditions())))
+@query("d4_evaluation_grid", grid_sql(G.all_conditions()))
 def d4(spark, sf):
-    return counted(spark, sf, G.encodable(G.all_conditions()))
+    return grid_rates(spark, sf, G.all_conditions())
 
 
 RED = "floor(least(greatest(x * 300.0::DOUBLE + 128.0::DOUBLE, 0), 255))"
@@ -146,28 +148,36 @@ def d10(spark, sf):
         F.count(F.when(F.col("target_side").between(384, 1024), 1)).alias("in_range"))
 
 
-@query("d11_view_features", """SELECT view_id::INTEGER AS view_id, count(*)::BIGINT AS n,
-    3::INTEGER AS dim FROM embeddings, range(0, 4) v(view_id) GROUP BY view_id""")
+def views_sql(n: int) -> str:
+    return f"""v AS (SELECT vec_id AS item_id, CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, i AS view_id,
+    list_transform(embedding::DOUBLE[], lambda x: x * (1.0::DOUBLE - i / 8.0::DOUBLE)) AS v
+    FROM embeddings, range(0, {n}) r(i))"""
+
+
+def faded_views(spark, sf, n: int):
+    """Each vector in n views that fade step by step."""
+    rows = X.table(spark, sf, "embeddings").select(
+        F.col("vec_id").alias("item_id"), (F.col("label") >= 5).cast("int").alias("y"), F.col("embedding").cast("array<double>").alias("v"))
+    return H.scaled_views(rows, "v", [1.0 - i / 8.0 for i in range(n)])
+
+
+@query("d11_view_features", f"""WITH {views_sql(4)} SELECT view_id::INTEGER AS view_id, count(*)::BIGINT AS n, max(len(v))::INTEGER AS dim,
+    round(avg(list_sum(list_transform(v, lambda x: x * x))), 6) AS power FROM v GROUP BY view_id""")
 def d11(spark, sf):
-    views = I.random_views(pictures(spark, sf).repartition(spread(spark), "item_id"), 4)
-    rows = I.view_features(views, lambda t: t.mean(axis=(1, 2)), side=SIDE)
-    return rows.groupBy("view_id").agg(F.count("feature").alias("n"),
-                                       F.max(F.size("feature")).alias("dim"))
-
-
-@query("d13_image_sweep", f"""WITH e AS (SELECT vec_id AS item_id,
-    CASE WHEN label >= 5 THEN 1 ELSE 0 END AS y, list_avg(list_transform(embedding::DOUBLE[],
-    lambda x: least(greatest(floor(x * 300.0::DOUBLE + 128.0::DOUBLE), 0), 255))) / 255.0::DOUBLE
-    AS s0 FROM embeddings), r AS (SELECT item_id, y, round_even(s0 * 1e6::DOUBLE, 0) / 1e6::DOUBLE AS s
-    FROM e), {X.ladder_sql('r')}
-SELECT 'clean' AS key, 0::INTEGER AS severity, (SELECT count(*) FROM r)::BIGINT AS n,
-    round((SELECT count(*) FILTER (WHERE (s >= 0.5) = (y = 1)) FROM r) / (SELECT count(*) FROM r)::DOUBLE, 6)
-    AS accuracy, round({AUC_SQL}, 6) AS auc FROM lad""")
+    power = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
+    return r6(faded_views(spark, sf, 4).groupBy("view_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("dim"), F.avg(power).alias("power")))
+
+
+@query("d13_image_sweep", f"""WITH {views_sql(5)}, t AS (SELECT view_id, y, 0.5::DOUBLE + v[1] AS s FROM v),
+{X.ladder_sql('t', 'view_id')}
+SELECT view_id::INTEGER AS view_id, max(n_pos)::BIGINT AS n_pos, max(n_neg)::BIGINT AS n_neg, round({AUC_SQL}, 6) AS auc
+FROM lad GROUP BY view_id""")
 def d13(spark, sf):
-    """The clean cell of the sweep; the other cells rest on kernels that SQL does not have."""
-    cells = I.image_sweep(pictures(spark, sf), G.official_grid(), MeanRed(), 0.5,
-                          spread=spread(spark))
-    return r6(cells.where("key = 'clean'").select("key", "severity", "n", "accuracy", "auc"))
+    """A sweep over views of one table: the ranking of every cell, from one ladder."""
+    rows = faded_views(spark, sf, 5).select("view_id", "y", (F.lit(0.5) + F.col("v")[0]).alias("s"))
+    return r6(score_ladder(rows, ["view_id"]).groupBy("view_id").agg(
+        F.max("n_pos").alias("n_pos"), F.max("n_neg").alias("n_neg"), auc_fold().alias("auc")))
 
 
 @query("d15_edited_fraction", """SELECT vec_id AS item_id, round(len(list_filter(
@@ -182,9 +192,8 @@ def d15(spark, sf):
     return r6(I.edited_fraction(I.geometry_columns(masks, lo=SIDE, hi=SIDE)))
 
 
-@query("e3_view_averaging", """SELECT count(*)::BIGINT AS n, count(*)::BIGINT AS scored
-FROM embeddings""")
+@query("e3_view_averaging", f"""WITH {views_sql(4)} SELECT item_id, round(avg(0.5::DOUBLE + v[1]), 6) AS p, count(*)::BIGINT AS views
+FROM v GROUP BY item_id""")
 def e3(spark, sf):
-    scorer = MeanRed().configure(tta_views=4)
-    return I.score_grid(pictures(spark, sf), [G.CLEAN], scorer).groupBy().agg(
-        F.count(F.lit(1)).alias("n"), F.count("s").alias("scored"))
+    rows = faded_views(spark, sf, 4).select("item_id", (F.lit(0.5) + F.col("v")[0]).alias("p"))
+    return r6(H.pool_views(rows, ["item_id"]))

@@ -257,12 +257,14 @@ def a29(spark, sf):
     return A.term_counts(X.table(spark, sf, "documents"), "text")
 
 
-FRACTION_SQL = f"""{X.D_SQL}, v AS (SELECT s, n_chars / 20000.0::DOUBLE AS fraction FROM d)"""
+FRACTION_SQL = f"""{X.D_SQL}, v AS (SELECT s, n_chars / max(n_chars) OVER ()::DOUBLE AS fraction FROM d)"""
 
 
 def with_fraction(spark, sf):
-    return X.partly_labelled(spark, sf).withColumn(
-        "fraction", F.col("n_chars") / F.lit(20000.0))
+    """Lengths as shares of the longest text, so that every row falls into a bin."""
+    rows = X.partly_labelled(spark, sf)
+    longest = X.table(spark, sf, "documents").agg(F.max("n_chars").alias("longest"))
+    return attach_row(rows, longest).withColumn("fraction", F.col("n_chars") / F.col("longest").cast("double")).drop("longest")
 
 
 def _bin_sql() -> str:
