@@ -9,10 +9,12 @@ from verigauge.operators import conditions as D
 from verigauge.operators import metrics as M
 from verigauge.operators import results as R
 from verigauge.operators import thresholds as T
+from verigauge.operators.steps import sweep_in_steps
 from verigauge.plans import fixtures as X
 from verigauge.plans.metric_queries import (
     AP_SQL, AUC_SQL, BAL_SQL, ECE_SQL, fold_sql, rates_sql)
 from verigauge.plans.registry import query, r6
+from verigauge.session import shared_folder
 
 CELL = "key, family, severity, label"
 THR = 0.05
@@ -204,6 +206,19 @@ def d13(spark, sf):
         "specificity", "f1", "fpr", "fnr", "ap", "tp", "fp", "tn", "fn"))
 
 
+@query("d13_sweep_in_steps", f"""WITH {X.G_SQL}, {X.ladder_sql('g', CELL)},
+fold AS ({fold_sql('0.5', CELL)}), r AS ({rates_sql(CELL, 'fold')})
+SELECT key, severity, n, balanced_accuracy, "precision", recall, ap, tp, fp, tn, fn FROM r""")
+def d13_steps(spark, sf):
+    """The sweep cell by cell, stopped after four of them and taken up again."""
+    def score(items, c):
+        return items.withColumn("s", F.col("s") * c.params["scale"] + c.params["spread"] * ((F.col("item_id") * 7919 % 1000).cast("double") / 1000.0))
+    items, out, seen = X.scored_events(spark, sf), shared_folder(spark, "steps"), []
+    for limit in (4, None):
+        cells = sweep_in_steps(items, X.table_conditions(), score, 0.5, out, seen.append, lambda limit=limit: len(seen) == limit)
+    return r6(cells.select("key", "severity", "n", "balanced_accuracy", "precision", "recall", "ap", "tp", "fp", "tn", "fn"))
+
+
 @query("a35_sweep_summary", f"""WITH {FAILED_SQL}, {RAW_SQL},
 b AS (SELECT accuracy FROM cells WHERE key = 'clean'),
 d2 AS (SELECT key, severity, c.accuracy - b.accuracy AS change FROM cells c, b
