@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from verigauge.functions import kernels as K
 from verigauge.operators.conditions import Condition, named_cells
-from verigauge.operators.scoring import Scorer
+from verigauge.operators.scoring import Scorer, resident, version_of
 
 SOURCE_QUALITY = 92
 # Ranges of the training degradations, in the order they are applied.
@@ -133,26 +133,23 @@ def _score_cells(row, conditions: Sequence[Condition], scorer: ImageScorer,
     return scores, errors
 
 
-def _grid_work(conditions: Sequence[Condition], scorer: ImageScorer, keep: list[str],
+def _grid_work(conditions: Sequence[Condition], given: ImageScorer, keep: list[str],
                max_side: int | None) -> Callable:
-    n = len(conditions)
+    n, version = len(conditions), version_of(given)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scorer.load()
-        try:
-            for pdf in batches:
-                scores, errors = [], []
-                for row in pdf.itertuples(index=False):
-                    s, e = _score_cells(row, conditions, scorer, max_side)
-                    scores += [s.get(i) for i in range(n)]
-                    errors += [e.get(i) for i in range(n)]
-                out = pdf[keep].loc[pdf.index.repeat(n)].reset_index(drop=True)
-                out["cell"] = np.tile(np.arange(n, dtype=np.int32), len(pdf))
-                out["s"] = pd.array(scores, dtype="Float64")
-                out["error"] = pd.Series(errors, dtype=object)
-                yield out
-        finally:
-            scorer.unload()
+        scorer = resident(given, version)
+        for pdf in batches:
+            scores, errors = [], []
+            for row in pdf.itertuples(index=False):
+                s, e = _score_cells(row, conditions, scorer, max_side)
+                scores += [s.get(i) for i in range(n)]
+                errors += [e.get(i) for i in range(n)]
+            out = pdf[keep].loc[pdf.index.repeat(n)].reset_index(drop=True)
+            out["cell"] = np.tile(np.arange(n, dtype=np.int32), len(pdf))
+            out["s"] = pd.array(scores, dtype="Float64")
+            out["error"] = pd.Series(errors, dtype=object)
+            yield out
     return work
 
 

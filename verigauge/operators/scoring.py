@@ -1,15 +1,17 @@
 """Pluggable scorers run over partitions.
 
-A scorer is loaded once per Python worker and fed Arrow batches; a batch that
-fails gives NULL scores and the error text, and the job goes on.
+A scorer is loaded once per Python worker, which outlives tasks and queries, and is fed Arrow
+batches; a batch that fails gives NULL scores and the error text, and the job goes on.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,7 @@ class Scorer:
         """Called once per worker before the first batch."""
 
     def unload(self) -> None:
-        """Called when a worker has handled its partition's last batch."""
+        """Called when a worker lets go of the scorer because another one, or one with other options, takes its place."""
 
     def is_ready(self) -> bool:
         return True
@@ -84,22 +86,41 @@ def checked_scores(scorer: Scorer, rows: pd.DataFrame) -> tuple[np.ndarray, str
         return np.full(len(rows), np.nan), f"{type(exc).__name__}: {exc}"
 
 
-def _run(scorer: Scorer, keep: list[str]) -> Callable:
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+#: The loaded scorer of this Python worker, with its version.
+_RESIDENT: dict[str, Scorer] = {}
+
+
+def version_of(scorer: Scorer) -> str:
+    """Equal for equal scorers: a hash of the class and everything it was set up with."""
+    return hashlib.sha256(cloudpickle.dumps(scorer)).hexdigest()
+
+
+def resident(scorer: Scorer, version: str) -> Scorer:
+    """The worker's loaded scorer of a version; the first task of a worker loads it, later ones find it."""
+    held = _RESIDENT.get(version)
+    if held is None:
+        for old in list(_RESIDENT):
+            _RESIDENT.pop(old).unload()
         scorer.load()
-        try:
-            for pdf in batches:
-                for start in range(0, len(pdf), scorer.batch_size):
-                    rows = pdf.iloc[start:start + scorer.batch_size]
-                    scores, why = checked_scores(scorer, rows)
-                    out = rows[keep].copy()
-                    out["score"] = pd.array(scores, dtype="Float64")
-                    out.loc[np.isnan(scores), "score"] = pd.NA
-                    out["error"] = [
-                        (why or "could not be scored") if np.isnan(s) else None for s in scores]
-                    yield out
-        finally:
-            scorer.unload()
+        held = _RESIDENT[version] = scorer
+    return held
+
+
+def _run(given: Scorer, keep: list[str]) -> Callable:
+    version = version_of(given)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        scorer = resident(given, version)
+        for pdf in batches:
+            for start in range(0, len(pdf), scorer.batch_size):
+                rows = pdf.iloc[start:start + scorer.batch_size]
+                scores, why = checked_scores(scorer, rows)
+                out = rows[keep].copy()
+                out["score"] = pd.array(scores, dtype="Float64")
+                out.loc[np.isnan(scores), "score"] = pd.NA
+                out["error"] = [
+                    (why or "could not be scored") if np.isnan(s) else None for s in scores]
+                yield out
     return work
 
 
@@ -132,9 +153,11 @@ class VectorHeadScorer(Scorer):
 
     def predict_batch(self, rows: pd.DataFrame) -> Sequence[float]:
         h = self.head
-        x = np.stack([np.asarray(v, dtype=float) for v in rows[self.column]])
-        if x.shape[1] != len(h.mu):
-            raise ValueError(f"vectors have {x.shape[1]} dimensions, the head {len(h.mu)}")
+        vectors, dims = rows[self.column].to_numpy(), len(h.mu)
+        wrong = {len(v) for v in vectors} - {dims}
+        if wrong:
+            raise ValueError(f"vectors have {min(wrong)} dimensions, the head {dims}")
+        x = np.concatenate(vectors).astype(float, copy=False).reshape(-1, dims)
         if h.l2:
             x = x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-8)
         x = (x - np.asarray(h.mu)) / np.asarray(h.sd)
