@@ -11,10 +11,12 @@ from verigauge.functions import vectors as V
 from verigauge.functions.numeric import sigmoid
 from verigauge.operators import conditions as D
 from verigauge.operators import heads as H
+from verigauge.operators import minimax as MM
 from verigauge.operators import near_vectors as NV
 from verigauge.operators import sampling as S
 from verigauge.operators import scoring as SC
 from verigauge.operators import training as TR
+from verigauge.operators.scalars import attach_row
 from verigauge.plans import fixtures as X
 from verigauge.plans.metric_queries import AUC_SQL
 from verigauge.plans.registry import query, r6
@@ -339,6 +341,24 @@ def v8(spark, sf):
         F.count(F.when(F.col("best"), 1)).over(every).alias("n_best"))
 
 
+@query("v8_minimax_fit", f"""WITH {V_SQL} SELECT dim::INTEGER AS dim, (SELECT count(*) FROM u)::BIGINT AS n, 0.0::DOUBLE AS gradient, 1.0::DOUBLE AS view_weights
+FROM range(0, {DIM + 1}) r(dim)""")
+def v8_minimax(spark, sf):
+    """The optimum of the worst-view objective is where the gradient of every weight vanishes; it is summed up here again, by columns."""
+    rows = prepared_views(spark, sf)
+    reg = 1e-2
+    fit = MM.fit_minimax(rows, sharpness=10.0, reg=reg, tolerance=1e-6)
+    share = F.create_map(*[F.lit(k) for v, q in fit.view_weights.items() for k in (int(v), float(q))])
+    balance = rows.agg((F.count(F.when(F.col("y") == 0, 1)) / F.count(F.when(F.col("y") == 1, 1))).alias("balance"))
+    logit = V.dot(F.col("x"), V.literal(fit.weights)) + fit.bias
+    slope = F.when(F.col("y") == 1, F.col("balance")).otherwise(1.0) * (sigmoid(logit) - F.col("y"))
+    flat = attach_row(rows, balance).select("view_id", slope.alias("g"), F.posexplode(F.concat(F.col("x"), F.array(F.lit(1.0)))).alias("dim", "x"))
+    ridge = F.when(F.col("dim") < DIM, F.get(V.literal(fit.weights), F.col("dim"))).otherwise(0.0) * reg
+    per = flat.groupBy("view_id", "dim").agg(F.avg(F.col("g") * F.col("x")).alias("g"), F.count(F.lit(1)).alias("n"))
+    return per.groupBy("dim").agg(F.max("n").alias("n"), F.sum(F.col("g") * share[F.col("view_id")]).alias("g"), F.sum(share[F.col("view_id")]).alias("q")).select(
+        "dim", "n", (F.round(F.col("g") + ridge, 4) + F.lit(0.0)).alias("gradient"), F.round("q", 6).alias("view_weights"))
+
+
 @query("v9_platt_fit", f"""WITH {X.E_SQL} SELECT count(*)::BIGINT AS n, 0.0::DOUBLE AS offset_gradient,
     0.0::DOUBLE AS slope_gradient FROM e""")
 def v9(spark, sf):
