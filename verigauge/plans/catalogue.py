@@ -5,8 +5,8 @@ from __future__ import annotations
 from functools import wraps
 
 from verigauge.plans import (  # noqa: F401
-    image_queries, label_queries, metric_queries, sampling_queries, sweep_queries,
-    stream_queries, vector_queries)
+    file_queries, image_queries, label_queries, metric_queries, sampling_queries, stream_queries,
+    sweep_queries, vector_queries)
 from verigauge.plans.registry import REGISTRY, Query
 from verigauge.session import ship_package
 

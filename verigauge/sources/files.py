@@ -131,7 +131,7 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     """
     numbered = F.monotonically_increasing_id().alias("row_no")
     if not path.lower().endswith(".json"):
-        df = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
+        df = spark.read.option("header", True).option("encoding", "UTF-8").option("escape", '"').csv(path)
         clean = [F.col(f"`{c}`").alias(c.lstrip("﻿").strip()) for c in df.columns]
         return df.select(*clean, numbered)
     found = read_objects(spark, path, WRAPPER_KEYS)
@@ -159,8 +159,8 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_labelled_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV manifest with ``file_name`` and ``label``."""
-    return require_columns(spark.read.option("header", True).csv(path), ["file_name", "label"])
+    """A CSV manifest with ``file_name`` and ``label``; quotes inside a field are doubled."""
+    return require_columns(spark.read.option("header", True).option("escape", '"').csv(path), ["file_name", "label"])
 
 
 def read_tsv_shards(spark: SparkSession, folder: str, pattern: str = "photos.tsv*") -> DataFrame:
