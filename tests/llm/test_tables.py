@@ -311,16 +311,17 @@ def test_unmix():
 
 def test_entry():
     names = set(entry.queries())
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in names if re.match(r"op\d+_", n)}
     assert "pipeline" in names and 4 <= len(corpus_pipeline.STAGES) <= 5
 
 
 @pytest.mark.parametrize("name", sorted(llm.QUERIES))
 def test_query_covers_its_table(spark, name):
-    table = {"op1": "embeddings", "op5": "pages"}.get(name.split("_")[0], "documents")
+    table = {"op1": "embeddings", "op5": "pages", "op12": "conversations"}.get(name.split("_")[0], "documents")
     rows = entry.queries()[name](spark, SF).collect()
-    key = {"embeddings": "vec_id", "pages": "page_id", "documents": "doc_id"}[table]
+    key = {"embeddings": "vec_id", "pages": "page_id", "documents": "doc_id", "conversations": "conv_id"}[table]
     want = [r[0] for r in spark.read.parquet(f"{SF}/{table}.parquet").select(key).collect()]
+    want = sorted(set(want)) if table == "conversations" else want
     assert sorted(r[key] for r in rows) == sorted(want)
 
 
