@@ -277,3 +277,13 @@ def audits(who, fault, i, state, left):
                     yield cost + more, "K" + audit
             for cost, audit in audits(who, fault, i + 1, to[state], left):
                 yield cost + more + 1, "R" + audit
+
+
+def test_equal_rows_bring_a_passage_once(spark, frame):
+    """Many rows that are equal in id and text: the list of passages does not grow with them."""
+    from verigauge.llm.repeats import remove_repeats
+
+    words = [f"w{k}" for k in range(300)]
+    rows = [(1, " ".join(words), "en", "s", 1)] * 3000 + [(2, " ".join(words[:40]) + " x", "en", "s", 1), (3, "short", "en", "s", 1)]
+    got = collections.Counter((r.doc_id, r.n_words, r.n_removed) for r in remove_repeats(frame(rows, DOC), with_text=False).collect())
+    assert got == {(1, 300, 300): 3000, (2, 41, 40): 1, (3, 1, 0): 1}

@@ -257,7 +257,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     near = kept(near.where("covered OR open"))
     cover = near.where("covered").select("dk", "tag", "lo", (F.col("lo") + F.col("n") + (window - 1)).alias("hi"))
     opened = near.where("open").groupBy("dk", "tag").agg(
-        F.collect_list(F.struct("lo", "n", "name", "single")).alias("opened"))
+        F.collect_set(F.struct("lo", "n", "name", "single")).alias("opened"))
+    # sets: rows that are equal in id and text bring the same passages, each once
     # both this join and the last one take the texts by the same exchange, which Spark fills once
     single = keyed.join(opened, ["dk", "tag"]).mapInArrow(
         _window_batches(window), "name long, mark long, dk long, tag int, p int, single boolean")
@@ -265,7 +266,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     hits = (single.where("single").join(again.select("name", "mark"), ["name", "mark"])
             .select("dk", "tag", F.col("p").alias("lo"), (F.col("p") + window).alias("hi")))
     covers = (cover.unionByName(hits).groupBy("dk", "tag")
-              .agg(F.collect_list(F.struct("lo", "hi")).alias("cover")))
+              .agg(F.collect_set(F.struct("lo", "hi")).alias("cover")))
     kind = base.schema["id"].dataType.simpleString()
     text = "kept_text string, " if with_text else ""
     return (keyed.join(covers, ["dk", "tag"], "left").select("id", "text", "cover")
