@@ -124,18 +124,67 @@ def test_warc_skips_payloads(tmp_path, monkeypatch):
     assert sum(read) < 20_000
 
 
-def test_fill():
+def fill(sizes, weights, total, passes=2.0):
+    """Targets by weight, none above ``passes`` times its size, stated plainly."""
+    targets, open_, rest = [0.0] * len(sizes), list(range(len(sizes))), float(total)
+    while open_:
+        unit = rest / sum(weights[k] for k in open_)
+        full = [k for k in open_ if weights[k] * unit >= passes * sizes[k]]
+        for k in full or open_:
+            targets[k] = passes * sizes[k] if full else weights[k] * unit
+        if not full:
+            break
+        rest -= sum(targets[k] for k in full)
+        open_ = [k for k in open_ if k not in full]
+    return targets
+
+
+def test_targets(spark):
     rng = random.Random(3)
-    for _ in range(200):
-        n = rng.randint(1, 6)
-        sizes = [rng.choice([0, rng.randint(1, 1000)]) for _ in range(n)]
-        weights = [rng.choice([3, 1, 2]) for _ in range(n)]
-        t = mixing.fill(sizes, weights, 1.5 * sum(sizes))
+    for _ in range(12):
+        n = rng.randint(1, 9)
+        sizes = [rng.choice([0, rng.randint(1, 1000), rng.randint(1, 10 ** 6)]) for _ in range(n)]
+        df = spark.createDataFrame(list(enumerate(sizes)), "k long, words long")
+        t = [r.target for r in mixing.with_targets(df, mixing.WEIGHTS, 1.5 * sum(sizes), 2.0).orderBy("k").collect()]
+        weights = [mixing.WEIGHTS[k % 3] for k in range(n)]
+        assert t == pytest.approx(fill(sizes, weights, 1.5 * sum(sizes)))
         assert sum(t) == pytest.approx(1.5 * sum(sizes))
-        assert all(x <= 2 * s + 1e-9 for x, s in zip(t, sizes))
-        free = [x / w for x, s, w in zip(t, sizes, weights) if x < 2 * s - 1e-9]
-        assert not free or max(free) == pytest.approx(min(free))
-        assert all(x / w <= free[0] + 1e-9 for x, s, w in zip(t, sizes, weights) if free)
+
+
+def taken_words(rows):
+    taken, target = collections.Counter(), {}
+    for r in rows:
+        assert len(r["_shards"]) <= 2
+        taken[r.source] += r["_size"] * len(r["_shards"])
+        target[r.source] = r["_target"]
+    return taken, target
+
+
+def test_mix_of_long_texts_and_equal_rows(spark, frame, monkeypatch):
+    """Long documents and rows that are all alike do not keep a source from its target."""
+    monkeypatch.setattr(mixing, "LEAST_BLOCK", 300)
+    rows = [(i, "w " * 20, "en", "long", 1) for i in range(3000)] + [(5000 + i, "w " * 20000, "en", "long", 1) for i in range(3)]
+    rows += [(9, "w " * 7, "en", "same", 1)] * 4000 + [(i, "w " * 500, "en", "p", 1) for i in range(400)]
+    got = mixing.mix(frame(rows, DOC)).collect()
+    assert len(got) == len(rows)
+    taken, target = taken_words(got)
+    assert abs(taken["long"] - target["long"]) <= 10
+    assert abs(taken["same"] - target["same"]) <= 3.5 and abs(taken["p"] - target["p"]) <= 250
+
+
+def test_mix_of_many_sources(spark, frame):
+    """Sources are planned in tasks; blocks of small ones spread over all shards."""
+    rows = [(i, "w " * (1 + i % 7), "en", f"s{i % 700:04}", 1) for i in range(2800)]
+    df = frame(rows, DOC)
+    got = mixing.mix(df, shards=10).collect()
+    size, (taken, target) = collections.Counter(), taken_words(got)
+    for r in got:
+        size[r.source] += r["_size"]
+    names = sorted(size)
+    want = fill([size[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(size.values()))
+    assert [target[s] for s in names] == pytest.approx(want)
+    assert all(abs(taken[s] - target[s]) <= 3.5 for s in names)
+    assert {s for r in got for s in r["_shards"]} == set(range(10))
 
 
 def test_split():
@@ -160,7 +209,7 @@ def test_mix(spark, frame):
         taken[r.source] += r["_size"] * len(r["_shards"])
         target[r.source] = r["_target"]
     names = sorted(s for s in size if s is not None) + [None]
-    want = mixing.fill([size[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(size.values()))
+    want = fill([size[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))], 1.5 * sum(size.values()))
     assert [target[s] for s in names] == pytest.approx(want)
     assert all(abs(taken[s] - target[s]) <= 16 for s in names)
     assert all(r["_source_size"] == size[r.source] for r in got)

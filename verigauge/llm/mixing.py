@@ -1,34 +1,38 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree.
 
-Documents fall into blocks, a fixed number per source, by a hash. One aggregation gives the words of every block.
-A source's target is met by whole passes over its blocks and a random part of them: blocks in a
-permuted order until the target is reached; in the one block where that happens, documents in hash order. These quotas
-of blocks are then split among the output shards by a tree: the number of blocks that goes to the left half of
-the shards is drawn, for all sources together, from the multivariate hypergeometric distribution, and so on
-down to single shards. So every quota is met exactly and every shard is a random mix. Each shard draws
+Documents fall into blocks by a hash, a source into as many as its own words and rows ask for. One aggregation
+gives the words of every block. A source's target is met by whole passes over its blocks and a random part of them: blocks in a
+permuted order, passing over those that no longer fit; what is then left comes from documents of the blocks passed over, in hash order
+and passing over those that no longer fit. These quotas of blocks are then split among the output shards by a tree: the number of
+blocks that goes to the left half of the shards is drawn, for many sources together, from the multivariate hypergeometric
+distribution, and so on down to single shards. So every quota is met exactly and every shard is a random mix. Each shard draws
 the next blocks of each source's permutation, so no two shards draw the same one, and shuffles its rows by hash.
 
-The driver sees one row per source and block, never more than ``PLAN_ROWS`` in all (one block per source from there
-on). Rows meet that plan by a join on source and block; texts only move for the last, local shuffle.
+Sources are numbered, given their targets and planned by Spark: one task draws the trees of ``SOURCES_AT_ONCE`` sources, and the
+driver sees sums only. There are about ``PLAN_BLOCKS`` blocks, and one more for each source. Ids, hashes and sizes are stored
+once for the plan; texts only move for the last, local shuffle.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verigauge.llm.store import unused
+from verigauge.llm.store import kept, unused
+from verigauge.operators.ranks import ranked
 
 #: Fixed values of the contract: weights of the sources in turn, words to take in all, passes at most.
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
 PASSES = 2.0
 
-BLOCKS = 1024
-PLAN_ROWS = 1 << 16
-#: Words in one output shard; there are never more shards than blocks drawn.
+#: Blocks of all sources together, and words and rows that a block has at least on average.
+PLAN_BLOCKS = 1 << 16
+LEAST_BLOCK = 1024
+SOURCES_AT_ONCE = 64
+#: Words in one output shard; there are never more shards than ``PLAN_BLOCKS`` or blocks.
 SHARD_WORDS = 1 << 22
 SEED = 20240917
 
@@ -37,21 +41,29 @@ def words_in(text):
     return F.coalesce(F.regexp_count(text, F.lit("[^\\x20\\x09-\\x0D]+")), F.lit(0)).cast("long")
 
 
-def fill(sizes: list[int], weights: list[float], total: float, passes: float = PASSES) -> list[float]:
-    """Targets by weight, none above ``passes`` times its size; the excess goes to the others by weight."""
-    targets = [0.0] * len(sizes)
-    open_ = [k for k in range(len(sizes)) if weights[k] > 0]
-    rest = float(total)
-    while open_:
-        unit = rest / sum(weights[k] for k in open_)
-        full = [k for k in open_ if weights[k] * unit >= passes * sizes[k]]
-        for k in full or open_:
-            targets[k] = float(passes * sizes[k]) if full else weights[k] * unit
-        if not full:
+def with_targets(sources: DataFrame, weights, total: float, passes: float) -> DataFrame:
+    """``sources`` (k, words, ...) with ``target``: by weight, none above ``passes`` times its words; the excess goes to the others by weight.
+
+    The level at which sources stop rises from round to round; a round is one aggregation to a row per weight.
+    Sums are taken over whole numbers, so the order of rows does not matter.
+    """
+    turn = F.col("k") % len(weights)
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (turn + 1).cast("int"))
+    most = F.lit(float(passes)) * F.col("words")
+    level, stopped = None, -1
+    while True:
+        full = F.lit(False) if level is None else F.lit(level) * weight >= most
+        rows = (sources.groupBy(turn.alias("turn"))
+                .agg(F.count_if(~full).alias("open"), F.count_if(full).alias("full"),
+                     F.sum(F.when(full, F.col("words")).otherwise(0)).alias("words")).collect())
+        rows = [r for r in rows if weights[r["turn"]] > 0]
+        now, rest = sum(r["full"] for r in rows), total - passes * sum(r["words"] for r in rows)
+        open_ = sum(float(weights[r["turn"]]) * r["open"] for r in sorted(rows))
+        if now == stopped or not open_:
             break
-        rest -= sum(targets[k] for k in full)
-        open_ = [k for k in open_ if k not in set(full)]
-    return targets
+        stopped, level = (now if level is not None else -1), rest / open_
+    level = F.lit(float(level or 0))
+    return sources.withColumn("target", F.when(weight <= 0, F.lit(0.0)).when(level * weight >= most, most).otherwise(level * weight))
 
 
 def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarray:
@@ -60,56 +72,99 @@ def split(quotas: np.ndarray, shards: int, rng: np.random.Generator) -> np.ndarr
     work = [(0, shards, quotas.astype(np.int64))]
     while work:
         lo, hi, have = work.pop()
-        if hi - lo == 1:
+        n = int(have.sum())
+        if hi - lo == 1 or not n:
             out[lo] = have
             continue
         mid = (lo + hi) // 2
-        n = int(have.sum())
-        left = rng.multivariate_hypergeometric(have, n * (mid - lo) // (hi - lo), method="marginals") if n else have * 0
+        left = rng.multivariate_hypergeometric(have, n * (mid - lo) // (hi - lo), method="marginals")
         work += [(lo, mid, left), (mid, hi, have - left)]
     return out
 
 
-def _plan(sums: list, weights, share: float, passes: float, shards: int | None, seed: int):
-    """(targets by source, rows (source number, block, shard, part)); ``part``: words to take of a block, -1 for all."""
-    names = sorted({r["source"] for r in sums if r["source"] is not None})
-    names += [None] if any(r["source"] is None for r in sums) else []
-    blocks: dict = {n: [] for n in names}
-    for r in sums:
-        blocks[r["source"]].append((r["block"], int(r["words"])))
-    sizes = [sum(w for _, w in blocks[n]) for n in names]
-    targets = fill(sizes, [weights[k % len(weights)] for k in range(len(names))], share * sum(sizes), passes)
-    draws = []
-    for k, name in enumerate(names):
-        rng = np.random.default_rng([seed, k])
-        own, mine = sorted(blocks[name]), []
-        left = targets[k]
-        while own and left > 0 and sizes[k]:
-            order = rng.permutation(len(own))
-            if left >= sizes[k]:
-                mine += [(own[i][0], -1) for i in order]
-                left -= sizes[k]
-                continue
-            for i in order:
-                b, w = own[i]
-                if w <= left:
-                    mine.append((b, -1))
-                    left -= w
-                else:
-                    mine.append((b, int(round(left))))
-                    break
+def _draws(blocks: np.ndarray, classes: np.ndarray, words: np.ndarray, target: float, rng: np.random.Generator):
+    """(blocks drawn in turn, those of them to be cut, words to take from these): sorted rows (block, class, words) of one source.
+
+    Class c holds documents of 2^(c-1) to 2^c - 1 words. Cut blocks are those passed over, as many as have enough documents that fit.
+    """
+    own, first = np.unique(blocks, return_index=True)
+    sums = np.add.reduceat(words, first)
+    size, left = int(sums.sum()), float(target)
+    if not size:
+        return [], [], 0
+    drawn: list[int] = []
+    while left >= size:
+        drawn += own[rng.permutation(len(own))].tolist()
+        left -= size
+    over = []
+    for i in rng.permutation(len(own)).tolist():
+        if sums[i] <= left:
+            drawn.append(int(own[i]))
+            left -= int(sums[i])
+        else:
+            over.append(i)
+    rest = int(round(left))
+    if not rest:
+        return drawn, [], 0
+    fits = np.add.reduceat(np.where((1 << classes) - 1 <= rest, words, 0), first)
+    least = np.minimum.reduceat(np.where(classes > 0, classes, 64), first)
+    cut, have = [], 0
+    for i in over:
+        if fits[i] and have < rest:
+            cut.append(i)
+            have += int(fits[i])
+    if have < rest:
+        # the nearest miss may be a document a little too long
+        near = min((i for i in over), key=lambda i: least[i])
+        cut += [near] if near not in cut else []
+    return drawn, [int(own[i]) for i in cut], rest
+
+
+def _plan_group(shards: int, seed: int):
+    """Rows (at_once, k, block, class, words, target) of some sources -> (k, block, all, some, part)."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["k", "block", "class"])
+        ks, first = np.unique(rows["k"].to_numpy(), return_index=True)
+        edges = [*first.tolist(), len(rows)]
+        block, kind, words, target = (rows[c].to_numpy() for c in ("block", "class", "words", "target"))
+        draws = []
+        for n, k in enumerate(ks.tolist()):
+            at = slice(edges[n], edges[n + 1])
+            draws.append(_draws(block[at], kind[at], words[at], float(target[edges[n]]), np.random.default_rng([seed, k])))
+        rng = np.random.default_rng([seed, int(ks[0]) // SOURCES_AT_ONCE, len(ks)])
+        dealt = split(np.array([len(d) + len(c) for d, c, _ in draws], np.int64), shards, rng)
+        # quotas too small for all shards end at the right of their part of the tree: another place for every group
+        turned = int(rng.integers(shards))
+        out: dict = {}
+        for n, (k, (drawn, cut, rest)) in enumerate(zip(ks.tolist(), draws, strict=True)):
+            spots = (np.repeat(np.arange(shards), dealt[:, n]) + turned) % shards
+            for b, shard in zip(drawn, spots[:len(drawn)].tolist(), strict=True):
+                out.setdefault((k, b), [[], None, None])[0].append(shard)
+            for b, shard in zip(cut, spots[len(drawn):].tolist(), strict=True):
+                out.setdefault((k, b), [[], None, None])[1:] = [shard, rest]
+        keys = sorted(out)
+        return pd.DataFrame({"k": [x for x, _ in keys], "block": [b for _, b in keys], "all": [sorted(out[x][0]) for x in keys],
+                             "some": pd.array([out[x][1] for x in keys], "Int32"), "part": pd.array([out[x][2] for x in keys], "Int64")})
+    return run
+
+
+def _fill_source(rows: pd.DataFrame) -> pd.DataFrame:
+    """Rows (k, spot, size, n, turn, part) of the cut blocks of a source -> (k, spot, size, n, take): documents in hash order while they fit."""
+    rows = rows.sort_values(["turn", "spot", "size"])
+    left = int(rows["part"].iloc[0])
+    sizes, counts = rows["size"].to_numpy(), rows["n"].to_numpy()
+    take = np.where(sizes == 0, counts, 0)
+    for i in np.flatnonzero((sizes > 0) & (sizes <= left)).tolist():
+        m = min(int(counts[i]), left // int(sizes[i]))
+        take[i] = m
+        left -= m * int(sizes[i])
+        if not left:
             break
-        draws.append(mine)
-    n_draws = sum(map(len, draws))
-    if shards is None:
-        shards = max(1, min(n_draws, -(-int(sum(targets)) // SHARD_WORDS)))
-    dealt = split(np.array([len(d) for d in draws], np.int64), shards, np.random.default_rng([seed, len(draws)])) if draws else []
-    rows, at = [], [0] * len(draws)
-    for shard, quota in enumerate(dealt):
-        for k, n in enumerate(quota.tolist()):
-            rows += [(k, b, shard, part) for b, part in draws[k][at[k]:at[k] + n]]
-            at[k] += n
-    return list(zip(names, sizes, targets, strict=True)), rows
+    over = np.flatnonzero((sizes > 0) & (take < counts))
+    if left and len(over):
+        i = over[np.argmin(sizes[over])]
+        take[i] += sizes[i] < 2 * left
+    return rows[["k", "spot", "size", "n"]].assign(take=take)
 
 
 def added(docs: DataFrame) -> list[str]:
@@ -123,48 +178,54 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     ``_size`` is the number of words ``[^\\x20\\x09-\\x0D]+`` of the text (null: 0). Sources in code point order, null last,
     take ``weights`` in turn and share ``share`` times all words; no row is drawn more than ``passes`` times
-    (rounded up). A row of no words is drawn with its block. Equal rows share a block and are separate rows of the mix; ids may be null.
+    (rounded up). The words taken of a source miss its target by less than half the smallest document that could still be taken.
+    A row of no words is drawn with its block. Equal rows share a block and are separate rows of the mix; ids may be null.
     The same table and seed give the same mix. An empty table gives no rows. Other columns pass through; where
     one of them has the name of a new column, the new one gets the name that :func:`added` tells.
     """
-    spark = docs.sparkSession
     size, source_size, target, shards_of, spot = added(docs)
-    block, k = unused(docs, "_block", "_k")
-    name, all_, some, part = unused(docs, "_name", "_all", "_some", "_part")
-    n_sources = docs.select(F.col(source_col).alias("source")).distinct().count()
-    n_blocks = max(1, min(BLOCKS, PLAN_ROWS // max(1, n_sources)))
+    k, block, name, blocks, all_, some, place, rows_alike, take, n = unused(
+        docs, "_k", "_block", "_name", "_blocks", "_all", "_some", "_place", "_alike", "_take", "_n")
+    source = F.col(source_col).cast("string")
     where = F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col))
-    sized = docs.withColumns({size: words_in(F.col(text_col)), spot: where}).withColumn(
-        block, F.pmod(F.col(spot), F.lit(n_blocks)).cast("int"))
-    sums = (sized.groupBy(F.col(source_col).cast("string").alias("source"), F.col(block).alias("block"))
-            .agg(F.sum(size).alias("words")).collect())
-    totals, rows = _plan(sums, weights, share, passes, shards, seed)
-    targets = spark.createDataFrame(pa.table({
-        name: pa.array([t[0] for t in totals], pa.string()), k: pa.array(range(len(totals)), pa.int32()),
-        source_size: pa.array([t[1] for t in totals], pa.int64()), target: pa.array([t[2] for t in totals], pa.float64())}))
-    by_block: dict = {}
-    for n, b, shard, words in rows:
-        held = by_block.setdefault((n, b), [[], None, -1])
-        if words < 0:
-            held[0].append(shard)
-        else:
-            held[1:] = [shard, words]
-    keys = sorted(by_block)
-    plan = spark.createDataFrame(pa.table({
-        k: pa.array([n for n, _ in keys], pa.int32()), block: pa.array([b for _, b in keys], pa.int32()),
-        all_: pa.array([by_block[x][0] for x in keys], pa.list_(pa.int32())),
-        some: pa.array([by_block[x][1] for x in keys], pa.int32()), part: pa.array([by_block[x][2] for x in keys], pa.int64())}))
-    # both tables have at most PLAN_ROWS rows or one row per source
-    near = (sized.join(targets, F.col(source_col).cast("string").eqNullSafe(F.col(name)))
-            .join(plan, [k, block], "left")
-            .withColumn(all_, F.coalesce(all_, F.array().cast("array<int>"))))
-    whole, cut = near.where(F.col(some).isNull()), near.where(F.col(some).isNotNull())
-    before = F.sum(size).over(Window.partitionBy(k).orderBy(F.xxhash64(spot), spot, size)
-                              .rowsBetween(Window.unboundedPreceding, -1))
-    cut = cut.withColumn(all_, F.when(F.coalesce(before, F.lit(0)) + F.col(size) / 2 <= F.col(part),
-                                      F.concat(all_, F.array(some))).otherwise(F.col(all_)))
+    slim = kept(docs.select(source.alias("source"), where.alias("spot"), words_in(F.col(text_col)).alias("size")))
+    sources = kept(slim.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")))
+    words, rows = sources.agg(F.coalesce(F.sum("words"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    unit = max(LEAST_BLOCK, -(-(words + rows) // PLAN_BLOCKS))
+    sources = kept(ranked(sources, [], [F.col("source").asc_nulls_last()], "k", "of")
+                   .withColumn("blocks", F.ceil((F.col("words") + F.col("rows")) / unit)))
+    if shards is None:
+        shards = max(1, min(PLAN_BLOCKS, -(-int(share * words) // SHARD_WORDS), -(-(words + rows) // unit)))
+    goals = kept(with_targets(sources, weights, share * words, passes))
+
+    near = slim.join(goals.select(F.col("source").alias("name"), "k", "blocks", "target"), F.col("source").eqNullSafe(F.col("name")))
+    near = near.select("k", F.pmod("spot", "blocks").alias("block"), "spot", "size", "target")
+    kind = F.when(F.col("size") == 0, 0).otherwise(F.length(F.bin("size"))).alias("class")
+    sums = near.groupBy("k", "block", kind).agg(F.sum("size").alias("words"), F.first("target").alias("target"))
+    plan = kept(sums.groupBy(F.floor(F.col("k") / SOURCES_AT_ONCE).alias("at_once"))
+                .applyInPandas(lambda rows: _plan_group(shards, seed)(rows), "k long, block long, all array<int>, some int, part long"))
+    cut = (near.join(plan.where("some IS NOT NULL").select("k", "block", "part"), ["k", "block"])
+           .groupBy("k", "spot", "size", "part").agg(F.count("*").alias("n")).withColumn("turn", F.xxhash64("spot", "size")))
+    fills = kept(cut.groupBy("k").applyInPandas(_fill_source, "k long, spot long, size long, n long, take long").where("take > 0"))
+
+    found = (docs.withColumns({size: words_in(F.col(text_col)), spot: where})
+             .join(goals.select(F.col("source").alias(name), F.col("k").alias(k), F.col("blocks").alias(blocks),
+                                F.col("words").alias(source_size), F.col("target").alias(target)), source.eqNullSafe(F.col(name)))
+             .withColumn(block, F.pmod(spot, blocks))
+             .join(plan.select(F.col("k").alias(k), F.col("block").alias(block), F.col("all").alias(all_), F.col("some").alias(some)),
+                   [k, block], "left")
+             .join(fills.toDF(k, spot, size, n, take), [k, spot, size], "left")
+             .withColumn(all_, F.coalesce(all_, F.array().cast("array<int>"))))
     names = [*[F.col(f"`{c}`") for c in docs.columns], F.col(size), source_size, target, F.col(all_).alias(shards_of), F.col(spot)]
-    return whole.select(names).unionByName(cut.select(names))
+    more = F.concat(all_, F.array(some))
+    if fills.where("take < n").isEmpty():
+        return found.withColumn(all_, F.when(F.col(take).isNotNull(), more).otherwise(F.col(all_))).select(names)
+    # some of several equal rows: numbered without a window over them
+    some_alike = F.coalesce(F.col(take) < F.col(n), F.lit(False))
+    plain = [F.col(f"`{f.name}`") for f in docs.schema if "map<" not in f.dataType.simpleString()]
+    alike = ranked(kept(found.where(some_alike)), [k, spot, size], [F.xxhash64(*plain)], place, rows_alike)
+    return (found.where(~some_alike).withColumn(all_, F.when(F.col(take).isNotNull(), more).otherwise(F.col(all_))).select(names)
+            .unionByName(alike.withColumn(all_, F.when(F.col(place) < F.col(take), more).otherwise(F.col(all_))).select(names)))
 
 
 def shuffled(mixed: DataFrame, columns: list[str], shards: str = "_shards", spot: str = "_spot") -> DataFrame:
