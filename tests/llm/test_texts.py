@@ -231,10 +231,36 @@ def test_tile_order():
         item = [rng.choice("abc") for _ in range(14)]
         doc = [rng.choice("abc") for _ in range(20)]
         pairs = [(i, j) for i in range(12) for j in range(18) if item[i:i + 3] == doc[j:j + 3]]
-        got = tiles.tile(np.array(item), np.array(doc), pairs, 3)
+        one = np.ones(len(pairs), int)
+        i, j = np.array(pairs, int).reshape(-1, 2).T
+        got = tiles.tile(len(item), len(doc), tiles.common_runs(i, one, j, one, 3) if pairs else [], 3)
         assert sorted(got) == sorted(brute_tiles(item, doc, 3))
 
 
+def test_tiles_of_repeated_words(spark, frame, monkeypatch):
+    """Runs of one word, items without ids and with equal ones, over many blocks."""
+    monkeypatch.setattr(tiles, "BLOCK_CHARS", 20)
+    items = [(None, "go " * 12), (None, "no " * 12), (3, "go " * 7 + "x y z " + "go " * 6), (3, "go go go go"), (4, "a b c d e f g")]
+    texts = ["go " * 9, "go " * 30, "x y z " + "go " * 9 + "x y z " + "go " * 3, "no " * 11 + "go " * 5, "a b c d e f g " * 3, "ab " * 6]
+    want = collections.Counter()
+    for d, doc in enumerate(texts):
+        for i, item in items:
+            if len(item.split()) >= 5:
+                found = brute_tiles(item.split(), doc.split(), 5)
+                if sum(t[2] for t in found) >= 0.5 * len(item.split()):
+                    want[d, -1 if i is None else i, tuple(sorted(found))] += 1
+    rows = tiles.contamination(frame(docs(texts), DOC), frame(items, "item_id long, text string")).collect()
+    got = collections.Counter((r.doc_id, m.item_id, tuple(tuple(t) for t in m.tiles)) for r in rows for m in r.matches)
+    assert got == want and len({k[:2] for k in want}) >= 5
+
+
+def test_long_run_of_one_word_is_no_square():
+    p, q = np.array([496]), np.array([19996])
+    runs = tiles.common_runs(np.array([0]), p, np.array([0]), q, 5)
+    assert len(runs) == 496 + 19996 - 1 and max(r[0] for r in runs) == 500
+    assert tiles.tile(500, 20000, runs, 5) == [(0, 0, 500)]
+
+
 def brute_secrets(text):
     out = []
     for k, rule in enumerate(secret_scan.RULES):
@@ -338,3 +364,12 @@ def test_toxicity(spark, frame):
     assert toxicity.toxicity(frame([], DOC), table).count() == 0
     none = toxicity.toxicity(frame_docs, table.limit(0)).select("score").distinct().count()
     assert none == 1
+
+
+def test_toxicity_counts_texts():
+    """Evidence of a few toxic texts counts; a subword of one text has no weight, whatever pieces that text lends."""
+    one = lambda *b: (np.array(b, np.int32), np.ones(len(b), np.float32))
+    rows = [(0, *one(1, 2, 3, k + 100), True) for k in range(60)] + [(1, *one(1, 2, 3, 7), True)] * 2
+    rows += [(1, *one(1, 2, 9, 200 + k % 20), True) for k in range(40)] + [(0, *one(1, 2, 3, 8), True)] + [(0, *one(2, 8), False)] * 24
+    weights, _ = toxicity.fit(rows)
+    assert weights[7] > 0 and weights[9] > 0 and weights[8] == 0 and weights[100] == 0

@@ -16,6 +16,7 @@ import heapq
 import io
 import uuid
 from functools import lru_cache
+from itertools import batched
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,12 @@ LEAST_TILE = 5
 COVERAGE = 0.5
 #: Characters of benchmark text in one block.
 BLOCK_CHARS = 8 << 20
+#: Slices of text that one reading of a block serves.
+SLICES = 8
 
 
 def _build_batches(folder: str, least: int):
-    """The items of a partition -> one block file: sorted seeds with item and place, and the words of the items."""
+    """The items of a partition -> one block file: sorted seeds with item and place, and where the items start."""
     def run(batches):
         ids, words, sizes = [], [], []
         for batch in batches:
@@ -52,8 +55,13 @@ def _build_batches(folder: str, least: int):
         at = np.arange(len(seeds))
         at = at[item[at] == item[at + least - 1]] if len(at) else at
         order = at[np.argsort(seeds[at], kind="stable")]
+        # where one word repeats, equal seeds follow each other: such a run is one entry with its length
+        new = np.flatnonzero(np.r_[True, (seeds[order][1:] != seeds[order][:-1]) | (order[1:] != order[:-1] + 1)
+                                   | (item[order][1:] != item[order][:-1])]) if len(order) else order
+        length = np.diff(np.r_[new, len(order)])
+        order = order[new]
         out = io.BytesIO()
-        np.savez(out, seeds=seeds[order], at=order, item=item[order].astype(np.int32), first=first, words=words,
+        np.savez(out, seeds=seeds[order], at=order, length=length, item=item[order].astype(np.int32), first=first,
                  ids=np.array([-1 if x is None else x for x in ids], np.int64))
         # an attempt's own name: only those reported by finished tasks are read
         path = f"{folder}/{uuid.uuid4().hex}.npz"
@@ -69,18 +77,30 @@ def _block(path: str) -> dict[str, np.ndarray]:
         return dict(z)
 
 
-def tile(item: np.ndarray, doc: np.ndarray, pairs: list[tuple[int, int]], least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (place in item, place in document, words); ``pairs``: places of common seeds."""
-    runs = []
-    begun = set(pairs)
-    for i, j in pairs:
-        if (i - 1, j - 1) not in begun:
-            n = least
-            while (i + n - least + 1, j + n - least + 1) in begun:
-                n += 1
-            runs.append((-n, i, j))
+def common_runs(i: np.ndarray, p: np.ndarray, j: np.ndarray, q: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Longest common word runs (words, place in item, place in document) from runs of equal seeds.
+
+    ``p`` seeds from ``i`` in the item all equal ``q`` seeds from ``j`` in the document. Such a rectangle of places is
+    p + q - 1 diagonals, not p * q pairs; pieces that follow each other on a diagonal are one run.
+    """
+    n = p + q - 1
+    each = np.repeat(np.arange(len(i)), n)
+    e = np.arange(len(each)) - np.repeat(np.cumsum(n) - n, n)
+    di, dj = np.maximum(p[each] - 1 - e, 0), np.maximum(e - p[each] + 1, 0)
+    size = np.minimum(p[each] - di, q[each] - dj)
+    start, diagonal = i[each] + di, i[each] + di - j[each] - dj
+    order = np.lexsort((start, diagonal))
+    start, diagonal, size = start[order], diagonal[order], size[order]
+    new = np.flatnonzero(np.r_[True, (diagonal[1:] != diagonal[:-1]) | (start[1:] != start[:-1] + size[:-1])])
+    words = np.add.reduceat(size, new) + least - 1
+    return list(zip(words.tolist(), start[new].tolist(), (start - diagonal)[new].tolist(), strict=True))
+
+
+def tile(n_item: int, n_doc: int, common: list[tuple[int, int, int]], least: int) -> list[tuple[int, int, int]]:
+    """Greedy tiles (place in item, place in document, words) from the longest common runs of two texts."""
+    runs = [(-n, i, j) for n, i, j in common]
     heapq.heapify(runs)
-    taken_i, taken_j = np.zeros(len(item), bool), np.zeros(len(doc), bool)
+    taken_i, taken_j = np.zeros(n_item, bool), np.zeros(n_doc, bool)
     tiles = []
     while runs:
         n, i, j = heapq.heappop(runs)
@@ -112,27 +132,29 @@ def _scan(words: np.ndarray, first: np.ndarray, block: dict[str, np.ndarray], le
     if not len(hit):
         return
     begin = lo[hit]
+    new = np.flatnonzero(np.r_[True, (hit[1:] != hit[:-1] + 1) | (text[1:] != text[:-1]) | (begin[1:] != begin[:-1])])
+    repeat = np.diff(np.r_[new, len(hit)])
+    hit, text, begin = hit[new], text[new], begin[new]
     count = np.searchsorted(seeds, values[hit], "right") - begin
     each = np.repeat(np.arange(len(hit)), count)
     k = np.repeat(begin, count) + np.arange(len(each)) - np.repeat(np.cumsum(count) - count, count)
-    item, place = block["item"][k].astype(np.int64), block["at"][k]
-    text, at = text[each], hit[each]
+    item, place, text, at, repeat = block["item"][k].astype(np.int64), block["at"][k], text[each], hit[each], repeat[each]
     order = np.lexsort((at, place, item, text))
-    item, place, text, at = item[order], place[order], text[order], at[order]
+    item, place, text, at, repeat, k = item[order], place[order], text[order], at[order], repeat[order], k[order]
     edge = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (item[1:] != item[:-1]), True])
     starts = block["first"]
     for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
         x, d = int(item[a]), int(text[a])
         i0, j0 = int(starts[x]), int(first[d])
         n = int(starts[x + 1]) - i0
+        length = block["length"][k[a:b]]
         reach = np.zeros(n + 1, np.int64)
-        begun = np.unique(place[a:b]) - i0
-        np.add.at(reach, begun, 1)
-        np.add.at(reach, begun + least, -1)
+        np.add.at(reach, place[a:b] - i0, 1)
+        np.add.at(reach, place[a:b] - i0 + length + least - 1, -1)
         if np.count_nonzero(np.cumsum(reach)[:-1]) < coverage * n:
             continue
-        tiles = tile(block["words"][i0:i0 + n], words[j0:int(first[d + 1])],
-                     list(zip((place[a:b] - i0).tolist(), (at[a:b] - j0).tolist(), strict=True)), least)
+        common = common_runs(place[a:b] - i0, length, at[a:b] - j0, repeat[a:b], least)
+        tiles = tile(n, int(first[d + 1]) - j0, common, least)
         share = sum(t[2] for t in tiles) / n
         if share >= coverage:
             yield d, int(block["ids"][x]), share, tiles
@@ -143,13 +165,17 @@ def _match_batches(paths: list[str], text_col: str, least: int, coverage: float,
         for batch in batches:
             found: list[list] = [[] for _ in range(batch.num_rows)]
             column = W.strings(batch.column(batch.schema.get_field_index(text_col)), lower=True)
-            for lo, _, data, offsets in W.slices(column):
-                starts, ends, first = W.spans(data, offsets, W.MARKS)
-                words = W.hashes(data, starts, ends)
+            for some in batched(W.slices(column), SLICES):
+                cut = []
+                for lo, _, data, offsets in some:
+                    starts, ends, first = W.spans(data, offsets, W.MARKS)
+                    cut.append((lo, W.hashes(data, starts, ends), first))
                 for path in paths:
-                    for d, item, share, tiles in _scan(words, first, _block(path), least, coverage):
-                        found[lo + d].append({"item_id": item, "coverage": share, "tiles": [
-                            {"item_word": t[0], "doc_word": t[1], "n": t[2]} for t in sorted(tiles)]})
+                    block = _block(path)
+                    for lo, words, first in cut:
+                        for d, item, share, tiles in _scan(words, first, block, least, coverage):
+                            found[lo + d].append({"item_id": item, "coverage": share, "tiles": [
+                                {"item_word": t[0], "doc_word": t[1], "n": t[2]} for t in sorted(tiles)]})
             if keep_clean:
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
                 continue
