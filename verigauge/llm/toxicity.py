@@ -29,8 +29,8 @@ SAMPLE = 2000
 SCALE = 60.0
 EPOCHS = 8
 BATCH = 512
-#: Buckets in fewer texts of the sample keep no weight: what one text alone says proves nothing.
-LEAST_TEXTS = 4
+#: Buckets in fewer texts of the sample, of either label, keep no weight: what one text alone says proves nothing.
+LEAST_TEXTS = 2
 DECAY = 0.002
 #: Each clean text also lends this many pieces of so many words, so that no single clean word looks toxic.
 PIECES = 24
@@ -75,7 +75,7 @@ def _distinct(data: np.ndarray, offsets: np.ndarray):
 
 
 def _bags(batches):
-    """(label, text) -> (label, buckets, counts)."""
+    """(label, text) -> (label, buckets, counts, whole): a row per text, and one per piece of a clean text."""
     for batch in batches:
         labels = batch.column("label")
         for lo, hi, data, offsets in W.slices(W.strings(batch.column("text"), lower=True)):
@@ -91,6 +91,7 @@ def _bags(batches):
             # pieces of a clean text are clean
             bags += [(0, i, min(i + PIECE, first[t + 1])) for t, tag in enumerate(tags) if tag == 0 for i in np.unique(
                 np.linspace(first[t], max(first[t], first[t + 1] - PIECE), PIECES).astype(int)).tolist()]
+            whole = np.arange(len(bags)) < len(tags)
             for _, i, j in bags:
                 mine, times = np.unique(back[i:j], return_counts=True)
                 k = n[mine]
@@ -99,11 +100,11 @@ def _bags(batches):
                 rows.append((b.astype(np.int32), np.bincount(where, np.repeat(np.sqrt(times), k)).astype(np.float32)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([b[0] for b in bags], pa.int32()), pa.array([r[0] for r in rows], pa.list_(pa.int32())),
-                 pa.array([r[1] for r in rows], pa.list_(pa.float32()))], ["label", "buckets", "counts"])
+                 pa.array([r[1] for r in rows], pa.list_(pa.float32())), pa.array(whole)], ["label", "buckets", "counts", "whole"])
 
 
-def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
-    """(weight of each bucket, bias) of a fitted model; rows: (label, buckets, counts)."""
+def fit(rows: list[tuple[int, np.ndarray, np.ndarray, bool]], epochs: int = EPOCHS, seed: int = 7) -> tuple[np.ndarray, float]:
+    """(weight of each bucket, bias) of a fitted model; rows: (label, buckets, counts, whole text or piece of one)."""
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1, 1, (BUCKETS, DIM)).astype(np.float32) / DIM
     soft = np.zeros((DIM, 2), np.float32)
@@ -114,12 +115,13 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], epochs: int = EPOCHS, se
     if not share.all():
         return np.zeros(BUCKETS, np.float32), float(np.log((share[1] + 0.5) / (share[0] + 0.5))) if len(y) else -4.0
     # an empty text is clean: the bias alone must not say otherwise
-    rows = [*rows, *[(0, np.zeros(0, np.int32), np.zeros(0, np.float32))] * (len(rows) // 20 + 1)]
+    rows = [*rows, *[(0, np.zeros(0, np.int32), np.zeros(0, np.float32), True)] * (len(rows) // 20 + 1)]
     y = np.array([r[0] for r in rows], np.int64)
     share = np.bincount(y, minlength=2)
     seen = np.zeros(BUCKETS, np.int64)
-    for _, b, _ in rows:
-        seen[b] += 1
+    for _, b, _, whole in rows:
+        if whole:
+            seen[b] += 1
     known = seen >= LEAST_TEXTS
     # either class weighs half
     weight = (len(y) / 2 / share)[y]
@@ -171,8 +173,9 @@ def _fit_batches(batches):
     """All bags of the sample -> one row with the model."""
     rows = []
     for batch in batches:
-        for label, b, c in zip(batch.column("label").to_pylist(), batch.column("buckets"), batch.column("counts"), strict=True):
-            rows.append((label, b.values.to_numpy(), c.values.to_numpy()))
+        for label, b, c, whole in zip(batch.column("label").to_pylist(), batch.column("buckets"), batch.column("counts"),
+                                      batch.column("whole").to_pylist(), strict=True):
+            rows.append((label, b.values.to_numpy(), c.values.to_numpy(), whole))
     weights, bias = fit(rows)
     del rows
     release()
@@ -224,7 +227,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
              .where("text IS NOT NULL").join(F.broadcast(few), "doc_id")  # at most 2 * sample rows
              .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))
-    bags = texts.orderBy(*order).mapInArrow(_bags, "label int, buckets array<int>, counts array<float>")
+    bags = texts.orderBy(*order).mapInArrow(_bags, "label int, buckets array<int>, counts array<float>, whole boolean")
     row = bags.coalesce(1).mapInArrow(_fit_batches, "weights binary, bias double").first()
     return bytes(row["weights"]), row["bias"]
 
