@@ -39,8 +39,8 @@ PAIRS_AT_ONCE = 256
 #: Texts, and shingles of them, on either side of a block of a crowded bucket.
 BLOCK = 512
 BLOCK_SHINGLES = 400_000
-#: Of 40 sketches a pair of similarity 0.8 shares 27 on average, with a deviation of 3.
-LEAST_SHARED = 17
+#: Of 40 sketches a pair of similarity 0.8 shares 27 on average, with a deviation of 3: fewer than 10 in one of 10^8 pairs.
+LEAST_SHARED = 10
 
 _SEEDS = W.mix(np.arange(1, SKETCHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FACTORS = W.mix(_SEEDS) | np.uint64(1)
