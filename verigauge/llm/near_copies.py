@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
 from verigauge.llm.graphs import components
-from verigauge.llm.store import kept, release, unused
+from verigauge.llm.store import kept, release, tidy, unused
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -199,7 +199,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, threshold: float) -> DataFrame
     both = (plain.unionByName(dealt.join(copies, ["node", "share"]).select("a", "b", "side", "text")).groupBy("a", "b")
             .agg(F.max(F.when(F.col("side") == 0, F.col("text"))).alias("text_a"),
                  F.max(F.when(F.col("side") == 1, F.col("text"))).alias("text_b")))
-    return (both.mapInArrow(_verify_batches(threshold), "a binary, b binary, similarity double")
+    return (both.mapInArrow(tidy(_verify_batches(threshold)), "a binary, b binary, similarity double")
             .where(F.col("similarity") >= threshold))
 
 
@@ -211,7 +211,7 @@ def text_links(texts: DataFrame, threshold: float = SIMILARITY) -> DataFrame:
     links its texts with its smallest one; then only texts outside the largest part so found are compared
     with the others, in blocks, until all that belong together are. No bucket is cut and none is collected.
     """
-    sketches = kept(texts.mapInArrow(_sketch_batches, "node binary, shingles long, bands array<long>, "
+    sketches = kept(texts.mapInArrow(tidy(_sketch_batches), "node binary, shingles long, bands array<long>, "
                                                       "l0 long, l1 long, l2 long"))
     rows = _bucket_rows(sketches)
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n"), F.min("node").alias("head")).where("n > 1")

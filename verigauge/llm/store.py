@@ -79,6 +79,14 @@ def release() -> None:
         pass
 
 
+def tidy(run):
+    """A batch function that releases what its task held: only when its generator has ended are its last arrays free."""
+    def wrapped(batches):
+        yield from run(batches)
+        release()
+    return wrapped
+
+
 def put(uri: str, chunks) -> None:
     """Write a file in one step: readers see all of it or nothing, and attempts at a task do not disturb each other."""
     from pyarrow import fs

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
-from verigauge.llm.store import fresh, opened, put
+from verigauge.llm.store import fresh, opened, put, release, tidy
 
 LEAST_TILE = 5
 #: Share of an item's words that a document has to cover.
@@ -176,6 +176,8 @@ def _match_batches(paths: list[str], text_col: str, least: int, coverage: float,
                         for d, item, share, tiles in _scan(words, first, block, least, coverage):
                             found[lo + d].append({"item_id": item, "coverage": share, "tiles": [
                                 {"item_word": t[0], "doc_word": t[1], "n": t[2]} for t in sorted(tiles)]})
+            cut = words = first = data = offsets = starts = ends = None
+            release()
             if keep_clean:
                 yield batch.filter(pa.array([not f for f in found], pa.bool_()))
                 continue
@@ -191,7 +193,7 @@ def _blocks(benchmark: DataFrame, item_col: str, text_col: str, least: int) -> l
     chars = items.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     folder = fresh(benchmark.sparkSession, "tiles")
     parts = items.repartition(max(1, -(-chars // BLOCK_CHARS)), F.xxhash64("item", "text"))
-    return sorted(r["path"] for r in parts.mapInArrow(_build_batches(folder, least), "path string").collect())
+    return sorted(r["path"] for r in parts.mapInArrow(tidy(_build_batches(folder, least)), "path string").collect())
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
@@ -205,7 +207,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     paths = _blocks(benchmark, item_col, item_text_col, least)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        _match_batches(paths, "text", least, coverage, False),
+        tidy(_match_batches(paths, "text", least, coverage, False)),
         f"doc_id {kind}, matches array<struct<item_id: long, coverage: double, "
         "tiles: array<struct<item_word: int, doc_word: int, n: int>>>>")
 
@@ -215,4 +217,4 @@ def without_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str =
     """The rows of ``docs``, all columns, that cover no benchmark item."""
     paths = _blocks(benchmark, item_col, item_text_col, least)
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in docs.columns)
-    return docs.mapInArrow(_match_batches(paths, text_col, least, coverage, True), kinds)
+    return docs.mapInArrow(tidy(_match_batches(paths, text_col, least, coverage, True)), kinds)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verigauge.llm.store import fresh, kept, mapped, opened, put, release
+from verigauge.llm.store import fresh, kept, mapped, opened, put, tidy
 
 MAGIC = b"PACKIDS1"
 BLOCK = 1 << 16
@@ -244,7 +244,6 @@ def _write_batches(folder: str, path: str, bits: int):
                         yield x
         uri = f"{folder}/ids-{part:06d}.bin"
         put(uri, file_chunks(documents(), bits))
-        release()
         if not ids:
             return
         out = io.BytesIO()
@@ -266,7 +265,7 @@ def write_ids(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col:
     slim = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     order = ["id", F.xxhash64("text")]
     ranged = slim.repartitionByRange(*order).sortWithinPartitions(*order)
-    files = kept(ranged.mapInArrow(_write_batches(folder, tokenizer, bits_for(vocabulary(tokenizer))),
+    files = kept(ranged.mapInArrow(tidy(_write_batches(folder, tokenizer, bits_for(vocabulary(tokenizer)))),
                                    "part int, uri string, documents long, ids long"))
     sizes = files.select("part", "ids").orderBy("part").collect()  # one row per file
     starts = np.cumsum([0, *[r["ids"] for r in sizes]]).tolist()
@@ -292,4 +291,4 @@ def _read_batches(batches):
 def read_ids(files: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, from the files; one task reads a file."""
     spread = files.select("uri", "start").repartitionByRange(max(1, files.count()), "start")
-    return spread.mapInArrow(_read_batches, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return spread.mapInArrow(tidy(_read_batches), "doc_id long, start long, n_tokens long, ids_crc32 long")

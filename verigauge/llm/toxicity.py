@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verigauge.llm import words as W
-from verigauge.llm.store import release
+from verigauge.llm.store import release, tidy
 
 BUCKETS = 1 << 18
 SIZES = (3, 4, 5)
@@ -227,8 +227,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     texts = (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
              .where("text IS NOT NULL").join(F.broadcast(few), "doc_id")  # at most 2 * sample rows
              .groupBy("doc_id").agg(F.min("text").alias("text"), F.min("label").alias("label")))
-    bags = texts.orderBy(*order).mapInArrow(_bags, "label int, buckets array<int>, counts array<float>, whole boolean")
-    row = bags.coalesce(1).mapInArrow(_fit_batches, "weights binary, bias double").first()
+    bags = texts.orderBy(*order).mapInArrow(tidy(_bags), "label int, buckets array<int>, counts array<float>, whole boolean")
+    row = bags.coalesce(1).mapInArrow(tidy(_fit_batches), "weights binary, bias double").first()
     return bytes(row["weights"]), row["bias"]
 
 
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: tuple[bytes, float], id_col: str = "doc_id", t
     kind = docs.schema[id_col].dataType.simpleString()
     held = docs.sparkSession.sparkContext.broadcast(model)
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-            .mapInArrow(_score_batches(held), f"doc_id {kind}, score double")
+            .mapInArrow(tidy(_score_batches(held)), f"doc_id {kind}, score double")
             .withColumn("predicted", (F.col("score") >= 0.5).cast("int")))
 
 
@@ -258,7 +258,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, text_col: str = "text") ->
     held = docs.sparkSession.sparkContext.broadcast(train(docs, labels, text_col=text_col))
     names = docs.columns
     kinds = ", ".join(f"`{n}` {docs.schema[n].dataType.simpleString()}" for n in names)
-    return docs.mapInArrow(_clean_batches(held, text_col), kinds)
+    return docs.mapInArrow(tidy(_clean_batches(held, text_col)), kinds)
 
 
 def _clean_batches(model, text_col: str):
